@@ -38,8 +38,8 @@ def _pack(text: Column, sep: str, size: int, overlap: int) -> Column:
             F.when(fits, joined).when(too_long, F.lit("")).otherwise(piece).alias("open"),
         )
 
-    packed = F.aggregate(F.split(text, sep.replace(".", r"\.")), start, step)
-    return _not_blank(F.array_append(packed["done"], strip(packed["open"])))
+    finish = lambda state: _not_blank(F.array_append(state["done"], strip(state["open"])))
+    return F.aggregate(F.split(text, sep.replace(".", r"\.")), start, step, finish)
 
 
 def chunk_packed(text: Column, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from lexspark import fixed_values as fv
-from lexspark.functions.text import distinct_in_order, matches_any, squeeze, strip
+from lexspark.functions.text import distinct_in_order, let, matches_any, squeeze, strip
 
 def _empty() -> Column:
     return F.lit("")
@@ -15,6 +15,10 @@ def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(group))
 
 
+def _prefixed(numbers: Column, prefix: str) -> Column:
+    return F.transform(numbers, lambda n: F.concat(F.lit(prefix), n))
+
+
 def handbook_cite(match: Column) -> Column:
     """'cobs  4.2.1r' -> 'COBS 4.2.1R'."""
     book = F.upper(F.regexp_extract(match, r"^[A-Za-z]+", 0))
@@ -27,15 +31,12 @@ def extract_citations(text: Column, document: Column | None = None) -> Column:
     """Canonical citations in a text: statutes, handbook, then bare references
     read against the text's own document."""
     body = F.coalesce(text, _empty())
-    found = [
-        F.transform(_all(body, qualified, 1), lambda n, prefix=prefix: F.concat(F.lit(prefix), n))
-        for _, prefix, qualified, _ in fv.STATUTES
-    ]
+    found = [_prefixed(_all(body, qualified, 1), prefix) for _, prefix, qualified, _ in fv.STATUTES]
     found.append(F.transform(_all(body, fv.HANDBOOK_PATTERN, 0), handbook_cite))
     if document is not None:
         inside = F.array().cast("array<string>")
         for label, prefix, _, bare in fv.STATUTES:
-            refs = F.transform(_all(body, bare, 1), lambda n, prefix=prefix: F.concat(F.lit(prefix), n))
+            refs = _prefixed(_all(body, bare, 1), prefix)
             inside = F.when(document == fv.STATUTE_DOCUMENTS[label], refs).otherwise(inside)
         found.append(inside)
     return distinct_in_order(F.concat(*found))
@@ -67,7 +68,7 @@ def rewrite_citations(text: Column, idempotent: bool = False) -> Column:
 
 
 def answer_citations(answer: Column) -> Column:
-    return extract_citations(rewrite_citations(answer))
+    return let(rewrite_citations(answer), lambda t: extract_citations(t))
 
 
 def on_allow_list(c: Column, mode: str = "strict") -> Column:

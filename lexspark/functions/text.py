@@ -9,6 +9,11 @@ from lexspark import fixed_values as fv
 _BLANKS = " \t\n\r\f\x0b"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluates value once per row and hands it to body, which may use it often."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANKS))
 

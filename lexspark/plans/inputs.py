@@ -57,32 +57,36 @@ RECORDS_SQL = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    # A text table in one small local file is one row group, hence one busy
-    # task; spread it over the cores. Tables in many files are left as they are.
-    if name in ("documents", "conversations", "pages") and os.path.isfile(path) and os.path.getsize(path) < 128 << 20:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table about to go through text work. In one small local file it is one
+    row group, hence one busy task, so it is spread over the cores first. Tables
+    in many or large files split by themselves and are left as they are."""
+    df, path = table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet"
+    if os.path.isfile(path) and os.path.getsize(path) < 128 << 20:
         return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
 def provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(*PROVISION_EXPRS)
+    return text_table(spark, sf_dir, "part").selectExpr(*PROVISION_EXPRS)
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*ANSWER_EXPRS)
+    return text_table(spark, sf_dir, "orders").selectExpr(*ANSWER_EXPRS)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         RECORDS_SQL.replace("FROM conversations u JOIN conversations a", "FROM {c} u JOIN {c} a"),
-        c=table(spark, sf_dir, "conversations"),
+        c=text_table(spark, sf_dir, "conversations"),
     )
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         F.concat(F.lit("static::"), F.col("doc_id").cast("string")).alias("doc_key"), "text")
 
 

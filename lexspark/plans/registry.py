@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexspark.plans import retrieval
+from lexspark.plans import graph, retrieval, verification
 
-MODULES = [retrieval]
+MODULES = [retrieval, graph, verification]
 
 
 def queries() -> dict:

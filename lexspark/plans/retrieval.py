@@ -71,7 +71,7 @@ def _c8(spark, sf):
     """A grown corpus: uploads get counter keys, re-delivered keys are ignored."""
     docs = src.corpus(spark, sf)
     new = src.questions(spark, sf).select(F.concat(F.lit("static::"), "query_id").alias("doc_key"), "text")
-    turns = src.table(spark, sf, "conversations")
+    turns = src.text_table(spark, sf, "conversations")
     numbered = hybrid.number_uploads(turns.select("conv_id", "turn", "text"), ["conv_id", "turn"], docs)
     grown = docs.unionByName(dense.unseen(new, docs)).unionByName(numbered)
     return grown.select("doc_key", F.length("text").alias("n_chars"))
@@ -151,7 +151,7 @@ def _cascade_inputs(spark, sf):
     """Questions without a vector and user turns, the first turn of a
     conversation being embedded as vector conv_id."""
     bench = src.questions(spark, sf).select(F.concat(F.lit("b"), "query_id").alias("query_id"), "text")
-    turns = src.table(spark, sf, "conversations").where("role = 'user'")
+    turns = src.text_table(spark, sf, "conversations").where("role = 'user'")
     key = F.concat(F.lit("t"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     users = turns.select(key.alias("query_id"), "text", "conv_id", "turn")
     emb = src.table(spark, sf, "embeddings")
@@ -181,7 +181,7 @@ def _c19(spark, sf):
 
 def _c20(spark, sf):
     docs = src.corpus(spark, sf)
-    turns = src.table(spark, sf, "conversations")
+    turns = src.text_table(spark, sf, "conversations")
     ups = hybrid.number_uploads(turns.select("conv_id", "turn", "text"), ["conv_id", "turn"], docs)
     return postings.index_stats(docs.unionByName(ups))
 
