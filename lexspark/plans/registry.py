@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexspark.plans import graph, retrieval, verification
+from lexspark.plans import graph, retrieval, text_rules, verification
 
-MODULES = [retrieval, graph, verification]
+MODULES = [text_rules, retrieval, graph, verification]
 
 
 def queries() -> dict:
