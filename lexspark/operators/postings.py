@@ -175,24 +175,25 @@ def _anchor_candidates(phrases: DataFrame) -> DataFrame:
     return phrases.select("query_id", "phrase", kind.alias("kind"), F.explode(anchors).alias("anchor"))
 
 
+def token_grams(vocabulary: DataFrame) -> DataFrame:
+    """Vocabulary rows with every gram of one, two and three characters, so that
+    any string up to its first three characters can be joined on equality."""
+    tok = F.col("tok")
+    at = lambda i: F.array(*[F.substr(tok, i, F.lit(n)) for n in (1, 2, 3)])
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(tok)), at)))
+    return vocabulary.select("*", F.explode(grams).alias("gram"))
+
+
+def substring_tokens(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, tok): vocabulary tokens that contain a word."""
+    keyed = words.withColumn("gram", F.substr("word", F.lit(1), F.lit(3)))
+    return keyed.join(token_grams(vocabulary), "gram").where(F.contains("tok", F.col("word"))).select("word", "tok")
+
+
 def _vocabulary_matches(anchors: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(query_id, phrase, tok): corpus tokens an anchor can stand for. Works on
     the vocabulary (one row per token), joined on equality of a short gram."""
     inner = anchors.where("kind = 'inner'").join(vocabulary, F.col("anchor") == F.col("tok"))
-    grams = vocabulary.select(
-        "tok", "df",
-        F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length("tok")), lambda i: F.substr(F.col("tok"), i, F.lit(3))
-        ))).alias("gram"),
-    )
-    # grams of length 1 and 2 inside longer tokens, for anchors that short
-    short = vocabulary.select(
-        "tok", "df",
-        F.explode(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.length("tok")),
-            lambda i: F.array(F.substr(F.col("tok"), i, F.lit(1)), F.substr(F.col("tok"), i, F.lit(2))),
-        )))).alias("gram"),
-    )
     rest = anchors.where("kind IN ('head', 'tail', 'inside')").withColumn("gram", F.substr("anchor", F.lit(1), F.lit(3)))
     a, t = F.col("anchor"), F.col("tok")
     fits = (
@@ -201,7 +202,7 @@ def _vocabulary_matches(anchors: DataFrame, vocabulary: DataFrame) -> DataFrame:
         .otherwise(F.contains(t, a))
     )
     by_gram = (
-        rest.join(grams.unionByName(short).distinct(), "gram").where(fits).drop("gram")
+        rest.join(token_grams(vocabulary), "gram").where(fits).drop("gram")
     )
     return inner.unionByName(by_gram)
 

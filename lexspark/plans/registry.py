@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexspark.plans import graph, retrieval, text_rules, verification
+from lexspark.plans import evaluation, graph, retrieval, text_rules, verification
 
-MODULES = [text_rules, retrieval, graph, verification]
+MODULES = [text_rules, retrieval, graph, verification, evaluation]
 
 
 def queries() -> dict:

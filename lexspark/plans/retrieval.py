@@ -14,7 +14,9 @@ from lexspark.plans.inputs import CORPUS_SQL, QUERY_VECTORS_SQL, QUESTIONS_SQL,
 QUERIES, ORACLE = {}, {}
 
 # --- shared DuckDB pieces ------------------------------------------------
-_CTE = f"""corpus AS ({CORPUS_SQL}), q AS ({QUESTIONS_SQL}), vec AS ({VECTORS_SQL}), qvec AS ({QUERY_VECTORS_SQL}),
+def sql_bm25() -> str:
+    """CTEs from corpus(doc_key, text) to bm(query_id, doc_key, score)."""
+    return f"""q AS ({QUESTIONS_SQL}),
 tok AS (SELECT doc_key, unnest({sql_tokens('text')}) AS tok FROM corpus),
 post AS (SELECT doc_key, tok, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT doc_key, len({sql_tokens('text')}) AS doc_len FROM corpus),
@@ -24,7 +26,10 @@ raw AS (SELECT tok, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, cs),
 idf AS (SELECT tok, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 qt AS (SELECT query_id, tok, count(*) AS qtf FROM (SELECT query_id, unnest({sql_tokens('text')}) AS tok FROM q) GROUP BY ALL),
 bm AS (SELECT query_id, doc_key, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avgdl))), 4) AS score
-  FROM qt JOIN idf USING (tok) JOIN post USING (tok) JOIN dl USING (doc_key), cs GROUP BY ALL),
+  FROM qt JOIN idf USING (tok) JOIN post USING (tok) JOIN dl USING (doc_key), cs GROUP BY ALL)"""
+
+
+_CTE = f"""corpus AS ({CORPUS_SQL}), {sql_bm25()}, vec AS ({VECTORS_SQL}), qvec AS ({QUERY_VECTORS_SQL}),
 sim AS (SELECT query_id, doc_key, round(list_dot_product(CAST(qvec.embedding AS DOUBLE[]), CAST(vec.embedding AS DOUBLE[])), 4) AS score FROM qvec, vec)"""
 
 

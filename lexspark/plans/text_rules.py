@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from lexspark import fixed_values as fv
 from lexspark.functions import chunking, citations as c, markdown, messages, text as t
-from lexspark.operators import hybrid
+from lexspark.operators import hybrid, postings
 from lexspark.plans import inputs as src
 from lexspark.plans.graph import sql_citations
 from lexspark.plans.inputs import ANSWERS_SQL, PROVISIONS_SQL, sql_in_order, sql_quote, sql_tokens
+from lexspark.plans.retrieval import _clean, _ranked, sql_bm25
 from lexspark.plans.verification import sql_claims, sql_rewrite
 
 QUERIES, ORACLE = {}, {}
@@ -183,11 +184,11 @@ def _b25(spark, sf):
 
 
 def _b26(spark, sf):
-    """Every conversation as one context block, and as uploads for conversation ids divisible by 3."""
-    key = F.concat(F.when(F.col("conv_id") % 3 == 0, "upload::").otherwise("static::"), F.col("turn").cast("string"))
-    hits = src.text_table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), key.alias("doc_key"), F.col("text").alias("snippet"))
-    return hybrid.assemble_context(hits)
+    """Context per question from its hits; French documents count as uploads."""
+    docs = src.text_table(spark, sf, "documents").select(
+        F.concat(F.when(F.col("lang") == "fr", "upload::").otherwise("static::"), F.col("doc_id").cast("string")).alias("doc_key"), "text")
+    hits = postings.bm25_scores(src.questions(spark, sf), docs, 3).join(docs, "doc_key")
+    return hybrid.assemble_context(hits.select("query_id", "rank", "doc_key", t.snippet(F.col("text")).alias("snippet")))
 
 
 def _b27(spark, sf):
@@ -390,8 +391,10 @@ ORACLE.update({
     "b23_intents": _INTENT,
     "b24_risk_sections": _risk_sql(),
     "b25_fallback_answers": f"SELECT answer_id, {_fallback_sql()} AS final FROM ({ANSWERS_SQL})",
-    "b26_context": """SELECT conv_id AS query_id, CASE WHEN conv_id % 3 = 0 THEN '**Full uploaded document:**' || chr(10) || left(string_agg(text, chr(10) || chr(10) ORDER BY turn), 2200) || chr(10) || chr(10)
-      ELSE left(string_agg('**Context (static::' || CAST(turn AS STRING) || '):**' || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn), 2200) END AS context FROM conversations GROUP BY conv_id""",
+    "b26_context": f"""WITH corpus AS (SELECT CASE WHEN lang = 'fr' THEN 'upload::' ELSE 'static::' END || CAST(doc_id AS STRING) AS doc_key, text FROM documents), {sql_bm25()}, {_ranked('bm', 3, 'r')},
+      h AS (SELECT query_id, doc_key, rank, {_clean('text')} AS snip FROM r JOIN corpus USING (doc_key))
+      SELECT query_id, CASE WHEN bool_and(doc_key LIKE 'upload::%') THEN '**Full uploaded document:**' || chr(10) || left(string_agg(snip, chr(10) || chr(10) ORDER BY rank), 2200) || chr(10) || chr(10)
+      ELSE left(string_agg('**Context (' || doc_key || '):**' || chr(10) || snip || chr(10) || chr(10), '' ORDER BY rank), 2200) END AS context FROM h GROUP BY query_id""",
     "b27_claims": f"""WITH src AS (SELECT 'o' || CAST(answer_id AS STRING) AS key, answer AS text FROM ({ANSWERS_SQL}) UNION ALL SELECT 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING), text FROM conversations)
       SELECT key, row_number() OVER (PARTITION BY key ORDER BY ln, sn) - 1 AS claim_no, claim FROM {sql_claims('src', 'key', 'text')} WHERE len(claim) >= 25""",
     "b28_scores": f"SELECT event_id, CASE WHEN isnan(d) OR isinf(d) THEN NULL ELSE d END AS score FROM (SELECT event_id, TRY_CAST({_RAW_SCORE} AS DOUBLE) AS d FROM events)",
