@@ -124,8 +124,11 @@ def relaxed_matches(answer: Column) -> Column:
 
 def first_distinct_ignoring_case(items: Column) -> Column:
     """Keeps the first spelling of each item when case is ignored."""
-    folded = F.transform(items, F.lower)
-    return F.filter(items, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+
+    def first_ones(s: Column) -> Column:
+        return F.filter(s["items"], lambda x, i: F.array_position(s["folded"], F.lower(x)) == i + 1)
+
+    return let(F.struct(items.alias("items"), F.transform(items, F.lower).alias("folded")), first_ones)
 
 
 def source_line(answer: Column) -> Column:

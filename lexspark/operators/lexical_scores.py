@@ -58,9 +58,9 @@ def rouge_l(answer: Column, reference: Column) -> Column:
 
 
 def citation_match(answer: Column, expected: Column) -> Column:
-    low = F.lower(F.coalesce(answer, F.lit("")))
-    return let(pipe_items(expected), lambda items: F.when(F.size(items) == 0, F.lit(0.0)).otherwise(
-        F.size(F.filter(items, lambda x: F.contains(low, F.lower(x)))) / F.size(items)))
+    parts = F.struct(pipe_items(expected).alias("items"), F.lower(F.coalesce(answer, F.lit(""))).alias("low"))
+    return let(parts, lambda s: F.when(F.size(s["items"]) == 0, F.lit(0.0)).otherwise(
+        F.size(F.filter(s["items"], lambda x: F.contains(s["low"], F.lower(x)))) / F.size(s["items"])))
 
 
 def keyword_hits(answer: Column, expected: Column) -> Column:

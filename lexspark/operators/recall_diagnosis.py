@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexspark import fixed_values as fv
 from lexspark.functions.citations import first_citation
-from lexspark.functions.text import citation_folded, is_placeholder
+from lexspark.functions.text import citation_folded, is_placeholder, let
 from lexspark.operators.postings import phrase_search
 
 
@@ -66,7 +66,8 @@ def ngram_in_corpus(needles: DataFrame, docs: DataFrame, n: int = fv.NGRAM_WORDS
     wanted = words.select("qid", F.explode(_keyed_windows(F.col("words"), n)).alias("w")).select(
         "qid", "w.inner", F.col("w.first").alias("n_first"), F.col("w.last").alias("n_last"),
         F.right("w.first", F.lit(1)).alias("a"), F.left("w.last", F.lit(1)).alias("b"))
-    held = docs.select(F.explode(_keyed_windows(_folded_words(F.col("text")), n)).alias("w")).select("w.inner", "w.first", "w.last").distinct()
+    held = docs.select(_folded_words(F.col("text")).alias("words"))  # a column of its own: split once per text
+    held = held.select(F.explode(_keyed_windows(F.col("words"), n)).alias("w")).select("w.inner", "w.first", "w.last").distinct()
     held = held.select("inner", "first", "last", F.right("first", F.lit(1)).alias("a"), F.left("last", F.lit(1)).alias("b"))
     long_hits = wanted.join(held, ["inner", "a", "b"]).where(F.col("first").endswith(F.col("n_first")) & F.col("last").startswith(F.col("n_last"))).select("qid")
     short = words.where((F.size("words") > 0) & (F.size("words") < n)).select(F.col("qid").alias("query_id"), F.array_join("words", " ").alias("text"))
@@ -79,10 +80,14 @@ def ngram_in_corpus(needles: DataFrame, docs: DataFrame, n: int = fv.NGRAM_WORDS
 
 def ngram_in_text(needle: Column, text: Column, n: int = fv.NGRAM_WORDS) -> Column:
     """The same test of one needle against its own text."""
-    words, body = _folded_words(needle), citation_folded(text)
-    windows = F.transform(_windows(words, n), lambda w: F.array_join(w, " "))
-    whole = (F.size(words) > 0) & F.contains(body, citation_folded(needle))
-    return F.when(F.size(words) < n, whole).otherwise(F.exists(windows, lambda w: F.contains(body, w)))
+
+    def test(s: Column) -> Column:
+        windows = F.transform(_windows(s["words"], n), lambda w: F.array_join(w, " "))
+        whole = (F.size(s["words"]) > 0) & F.contains(s["body"], s["needle"])
+        return F.when(F.size(s["words"]) < n, whole).otherwise(F.exists(windows, lambda w: F.contains(s["body"], w)))
+
+    parts = F.struct(_folded_words(needle).alias("words"), citation_folded(needle).alias("needle"), citation_folded(text).alias("body"))
+    return let(parts, test)
 
 
 def diagnose(sample: DataFrame, docs: DataFrame) -> DataFrame:
