@@ -14,6 +14,7 @@ from lexspark.operators.postings import substring_tokens
 from lexspark.operators.ranking import top_k
 from lexspark.operators.sizing import query_blocks, union_all
 from lexspark.session import cut_lineage
+from lexspark.operators.rows import explode_rows, posexplode_rows
 
 _WORDS = "[a-z0-9]+"
 
@@ -23,14 +24,14 @@ def documents_sharing_words(questions: DataFrame, docs: DataFrame, min_words: in
     words as substrings. Words are matched against the vocabulary first; the
     per-document counting then happens in one partitioning by document."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(_WORDS), F.lit(0)))
-    asked = questions.select("query_id", F.explode(words(F.col("text"))).alias("word"))
+    asked = explode_rows(questions, ["query_id"], words(F.col("text")), "word")
     tokens = docs.select("doc_key", words(F.col("text")).alias("toks"))
-    vocabulary = tokens.select(F.explode("toks").alias("tok")).distinct()
+    vocabulary = explode_rows(tokens, [], "toks", "tok").distinct()
     pairs = substring_tokens(asked.select("word").distinct(), vocabulary)
     wanted = asked.join(pairs, "word").select("query_id", "word", "tok")
     hits = []
     for block in query_blocks(wanted, "query_id"):
-        kept = tokens.select("doc_key", F.explode("toks").alias("tok")).join(
+        kept = explode_rows(tokens, ["doc_key"], "toks", "tok").join(
             F.broadcast(block.select("tok").distinct()), "tok", "left_semi").repartition("doc_key")
         shared = kept.join(block, "tok").select("doc_key", "query_id", "word").distinct()
         enough = shared.groupBy("doc_key", "query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_words)
@@ -43,7 +44,7 @@ def gather_sources(questions: DataFrame, graph: Graph, docs: DataFrame) -> DataF
     expected_citations): cited provisions, else the three best provisions of a
     search, else up to two documents. Later layers see only unanswered rows."""
     cites = F.filter(F.transform(F.split(F.coalesce("expected_citations", F.lit("")), "[|,]"), strip), lambda c: c != "")
-    wanted = questions.select("query_id", F.posexplode(cites).alias("pos", "cite"))
+    wanted = posexplode_rows(questions, ["query_id"], cites, "pos", "cite")
     texts = provision_texts(wanted, graph.provisions, ignore_case=True).where("text <> ''")
     cited = wanted.join(texts, "cite").select(
         "query_id", F.lit("cites").alias("layer"), "pos", F.col("found_cite").alias("label"),

@@ -12,6 +12,7 @@ from lexspark.functions.citations import extract_citations
 from lexspark.functions.text import strip
 from lexspark.operators.sizing import union_all
 from lexspark.session import cut_lineage
+from lexspark.operators.rows import explode_rows
 
 STORED = ["cite", "title", "text", "module", "domain", "threshold", "deadline"]
 
@@ -89,9 +90,9 @@ def part_of(provisions: DataFrame) -> DataFrame:
 
 def citation_pairs(provisions: DataFrame) -> DataFrame:
     """(src, target_cite): references in a provision's text to other known cites."""
-    found = provisions.where("id <> '' AND text <> ''").select(
-        F.col("id").alias("src"), F.col("cite").alias("own"),
-        F.explode(extract_citations(F.col("text"), F.col("document"))).alias("target_cite"))
+    found = explode_rows(
+        provisions.where("id <> '' AND text <> ''"), [F.col("id").alias("src"), F.col("cite").alias("own")],
+        extract_citations(F.col("text"), F.col("document")), "target_cite")
     known = provisions.where("cite <> ''").select(F.col("cite").alias("target_cite")).distinct()
     others = found.where(F.col("own").isNull() | (F.col("own") != F.col("target_cite")))
     return others.join(known, "target_cite", "left_semi").select("src", "target_cite").distinct()
@@ -100,9 +101,9 @@ def citation_pairs(provisions: DataFrame) -> DataFrame:
 def cites_edges(provisions: DataFrame) -> DataFrame:
     """CITES edges to one representative chunk per target cite. The join with
     the representatives also drops unknown targets, so no dangling edges."""
-    found = provisions.where("id <> '' AND text <> ''").select(
-        F.col("id").alias("src"), F.col("cite").alias("own"),
-        F.explode(extract_citations(F.col("text"), F.col("document"))).alias("cite"))
+    found = explode_rows(
+        provisions.where("id <> '' AND text <> ''"), [F.col("id").alias("src"), F.col("cite").alias("own")],
+        extract_citations(F.col("text"), F.col("document")), "cite")
     others = found.where(F.col("own").isNull() | (F.col("own") != F.col("cite")))
     return others.join(representatives(provisions), "cite").select("src", F.col("rep_id").alias("dst")).distinct()
 

@@ -16,12 +16,13 @@ from lexspark.functions.text import word_tokens
 from lexspark.operators.ranking import top_k
 from lexspark.operators.sizing import query_blocks, union_all
 from lexspark.session import cut_lineage
+from lexspark.operators.rows import explode_rows, posexplode_rows
 
 
 def build_postings(docs: DataFrame, vocabulary_cap: int | None = None) -> DataFrame:
     """(doc_key, tok, tf, first_pos). The optional cap keeps the first distinct
     tokens of each document; the default indexes whole texts."""
-    words = docs.select("doc_key", F.posexplode(word_tokens(F.col("text"))).alias("pos", "tok"))
+    words = posexplode_rows(docs, ["doc_key"], word_tokens(F.col("text")), "pos", "tok")
     grouped = words.groupBy("doc_key", "tok").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
     if vocabulary_cap is None:
         return grouped
@@ -45,7 +46,7 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 def document_frequency(docs: DataFrame) -> DataFrame:
     """One row per token; distinct within the row first, so the shuffle only
     carries map-side combined counts."""
-    words = docs.select(F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("tok"))
+    words = explode_rows(docs, [], F.array_distinct(word_tokens(F.col("text"))), "tok")
     return words.groupBy("tok").agg(F.count("*").alias("df"))
 
 
@@ -66,8 +67,8 @@ def bm25_index(docs: DataFrame, epsilon: float = fv.BM25_EPSILON) -> Bm25Index:
     """
     toks = docs.select(word_tokens(F.col("text")).alias("toks"))
     entry = lambda tok, n: F.struct(tok.cast("string").alias("tok"), n.cast("bigint").alias("n"))
-    rows = toks.select(F.explode(F.array_append(
-        F.transform(F.array_distinct("toks"), lambda t: entry(t, F.lit(0))), entry(F.lit(None), F.size("toks")))).alias("e"))
+    entries = F.array_append(F.transform(F.array_distinct("toks"), lambda t: entry(t, F.lit(0))), entry(F.lit(None), F.size("toks")))
+    rows = explode_rows(toks, [], entries, "e")
     counted = cut_lineage(rows.groupBy("e.tok").agg(F.count("*").alias("df"), F.sum("e.n").alias("total_len")))
     totals = counted.where("tok IS NULL")
     n = totals.select("df").scalar()
@@ -81,7 +82,7 @@ def bm25_index(docs: DataFrame, epsilon: float = fv.BM25_EPSILON) -> Bm25Index:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, tok, qtf): repeated query tokens count as often as they occur."""
-    words = queries.select("query_id", F.explode(word_tokens(F.col("text"))).alias("tok"))
+    words = explode_rows(queries, ["query_id"], word_tokens(F.col("text")), "tok")
     return words.groupBy("query_id", "tok").agg(F.count("*").alias("qtf"))
 
 
@@ -93,7 +94,7 @@ def _score_documents(docs: DataFrame, terms: DataFrame, contribution: Column, vo
     query terms and the per-document sums then all happen in that partitioning,
     so the (query, document) pairs never cross the network before top-k.
     """
-    words = docs.select("doc_key", F.explode("toks").alias("tok"), F.size("toks").alias("doc_len"))
+    words = explode_rows(docs, ["doc_key", F.size("toks").alias("doc_len")], "toks", "tok")
     kept = words.join(vocabulary, "tok", "left_semi").repartition("doc_key")
     tf = kept.groupBy("doc_key", "tok").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
     scored = tf.join(terms, "tok").select("query_id", "doc_key", contribution.alias("part"))
@@ -134,7 +135,7 @@ def keyword_overlap(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     tokens = docs.select("doc_key", F.array_distinct(word_tokens(F.col("text"))).alias("toks"))
     hits = []
     for block in query_blocks(terms, "query_id"):
-        words = tokens.select("doc_key", F.explode("toks").alias("tok"))
+        words = explode_rows(tokens, ["doc_key"], "toks", "tok")
         kept = words.join(F.broadcast(block.select("tok").distinct()), "tok", "left_semi").repartition("doc_key")
         shared = kept.join(block, "tok").groupBy("doc_key", "query_id").agg(F.count("*").alias("score"))
         hits.append(top_k(shared, k))
@@ -233,7 +234,7 @@ def phrase_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         word_tokens(F.col("low")),
         F.array_distinct(F.regexp_extract_all("low", F.lit(r"[^a-z0-9£]"), F.lit(0))),
     )
-    words = low.select("doc_key", F.explode(keys).alias("tok"))
+    words = explode_rows(low, ["doc_key"], keys, "tok")
     pairs = words.join(lookups, "tok").select("query_id", "phrase", "doc_key").distinct()
     verified = pairs.join(low, "doc_key").where(F.contains("low", F.col("phrase")))
     hits = verified.select("query_id", "doc_key", (F.position("phrase", "low") - 1).alias("hit_pos"))

@@ -8,6 +8,7 @@ from lexspark import fixed_values as fv
 from lexspark.functions.citations import first_citation
 from lexspark.functions.text import citation_folded, is_placeholder, let
 from lexspark.operators.postings import phrase_search
+from lexspark.operators.rows import explode_rows
 
 
 def stratified_sample(rows: DataFrame, k: int, seed: int, stratum: str = "domain", key: str = "qid") -> DataFrame:
@@ -63,11 +64,11 @@ def ngram_in_corpus(needles: DataFrame, docs: DataFrame, n: int = fv.NGRAM_WORDS
     if n < 3:
         raise ValueError("windows need at least three words")
     words = needles.select("qid", _folded_words(F.col("text")).alias("words"))
-    wanted = words.select("qid", F.explode(_keyed_windows(F.col("words"), n)).alias("w")).select(
+    wanted = explode_rows(words, ["qid"], _keyed_windows(F.col("words"), n), "w").select(
         "qid", "w.inner", F.col("w.first").alias("n_first"), F.col("w.last").alias("n_last"),
         F.right("w.first", F.lit(1)).alias("a"), F.left("w.last", F.lit(1)).alias("b"))
     held = docs.select(_folded_words(F.col("text")).alias("words"))  # a column of its own: split once per text
-    held = held.select(F.explode(_keyed_windows(F.col("words"), n)).alias("w")).select("w.inner", "w.first", "w.last").distinct()
+    held = explode_rows(held, [], _keyed_windows(F.col("words"), n), "w").select("w.inner", "w.first", "w.last").distinct()
     held = held.select("inner", "first", "last", F.right("first", F.lit(1)).alias("a"), F.left("last", F.lit(1)).alias("b"))
     long_hits = wanted.join(held, ["inner", "a", "b"]).where(F.col("first").endswith(F.col("n_first")) & F.col("last").startswith(F.col("n_last"))).select("qid")
     short = words.where((F.size("words") > 0) & (F.size("words") < n)).select(F.col("qid").alias("query_id"), F.array_join("words", " ").alias("text"))

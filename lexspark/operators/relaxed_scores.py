@@ -12,12 +12,13 @@ from lexspark import fixed_values as fv
 from lexspark.functions import citations as c
 from lexspark.functions.text import lemma, lemma_tokens, let, plain_words
 from lexspark.operators.lexical_scores import jaccard, pipe_items
+from lexspark.operators.rows import posexplode_rows
 
 
 def frequent_tokens(records: DataFrame, key: str = "qid", text: str = "ground_truth") -> DataFrame:
     """(key, top, long_top): the 12 most frequent lemma tokens of a text and the
     10 most frequent of length >= 3, earlier ones first among equals."""
-    toks = records.select(key, F.posexplode(lemma_tokens(F.col(text))).alias("pos", "tok"))
+    toks = posexplode_rows(records, [key], lemma_tokens(F.col(text)), "pos", "tok")
     counted = toks.groupBy(key, "tok").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     w = Window.partitionBy(key).orderBy(F.col("n").desc(), "pos")
     wide = Window.partitionBy(key).orderBy((F.length("tok") >= 3).desc(), F.col("n").desc(), "pos")

@@ -12,6 +12,7 @@ from lexspark.plans.graph import sql_citations
 from lexspark.plans.inputs import ANSWERS_SQL, PROVISIONS_SQL, sql_in_order, sql_quote, sql_tokens
 from lexspark.plans.retrieval import _clean, _ranked, sql_bm25
 from lexspark.plans.verification import sql_claims, sql_rewrite
+from lexspark.operators.rows import posexplode_rows
 
 QUERIES, ORACLE = {}, {}
 
@@ -47,14 +48,14 @@ def _b7(spark, sf):
 
 def _chunks(fn):
     def run(spark, sf):
-        rows = _docs(spark, sf).select("doc_id", F.posexplode(fn(F.col("text"))).alias("chunk_no", "chunk"))
+        rows = posexplode_rows(_docs(spark, sf), ["doc_id"], fn(F.col("text")), "chunk_no", "chunk")
         return rows.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
     return run
 
 
 def _b9(spark, sf):
     spaced = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    rows = _docs(spark, sf).select("doc_id", F.posexplode(t.paragraphs(spaced)).alias("pos", "paragraph"))
+    rows = posexplode_rows(_docs(spark, sf), ["doc_id"], t.paragraphs(spaced), "pos", "paragraph")
     return rows.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("paragraph")).alias("chars"))
 
 
@@ -194,8 +195,7 @@ def _b26(spark, sf):
 def _b27(spark, sf):
     answers = src.answers(spark, sf).select(F.concat(F.lit("o"), F.col("answer_id").cast("string")).alias("key"), F.col("answer").alias("text"))
     turns = src.text_table(spark, sf, "conversations").selectExpr("'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS key", "text")
-    rows = answers.unionByName(turns).select("key", F.posexplode(markdown.claims(F.col("text"))).alias("claim_no", "claim"))
-    return rows
+    return posexplode_rows(answers.unionByName(turns), ["key"], markdown.claims(F.col("text")), "claim_no", "claim")
 
 
 _RAW_SCORE = "CASE WHEN event_id % 7 = 0 THEN 'NaN' WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'inf' WHEN event_id % 17 = 0 THEN 'n/a' ELSE CAST(user_id AS STRING) END"

@@ -15,6 +15,7 @@ from lexspark.functions.chunking import chunk_recursive
 from lexspark.functions.text import file_slug, file_stem, paragraphs
 from lexspark.operators.sizing import union_all
 from lexspark.plugins import extract_pages
+from lexspark.operators.rows import explode_rows, posexplode_rows
 
 SPLIT_BYTES = 64 << 20
 TEXT_GLOB, TABLE_GLOB, PARQUET_GLOB, BINARY_GLOB = "*.{txt,md}", "*.csv", "*.parquet", "*.{pdf,docx,xls,xlsx,pptx}"
@@ -101,7 +102,7 @@ def page_provisions(documents: DataFrame, max_chunks: int = 0, min_chars: int =
     """Provisions from page texts (folder, name, text): cite and title come from
     the file name. max_chunks > 0 keeps that many chunks per file."""
     stem, folder = file_stem(F.col("name")), F.col("folder")
-    rows = documents.where(F.length("text") >= min_chars).select("folder", "name", F.posexplode(chunker(F.col("text"))).alias("n", "chunk"))
+    rows = posexplode_rows(documents.where(F.length("text") >= min_chars), ["folder", "name"], chunker(F.col("text")), "n", "chunk")
     if max_chunks > 0:
         rows = rows.where(F.col("n") < max_chunks)
     number, page = F.col("n").cast("string"), (F.col("n") + 1).cast("string")
@@ -119,6 +120,6 @@ def training_records(legislation: DataFrame, handbook: DataFrame, slices: DataFr
     """(text, source, type): legislation rows (text, act, section_id), handbook
     paragraphs (name, text) and slices (name, text, answer)."""
     laws = legislation.select("text", F.concat(F.coalesce("act", F.lit("")), F.lit("§"), F.coalesce("section_id", F.lit(""))).alias("source"), F.lit("legislation").alias("type"))
-    paras = handbook.select(F.explode(paragraphs(F.col("text"))).alias("text"), F.col("name").alias("source"), F.lit("fca_pdf").alias("type"))
+    paras = explode_rows(handbook, ["name"], paragraphs(F.col("text")), "text").select("text", F.col("name").alias("source"), F.lit("fca_pdf").alias("type"))
     rest = slices.select(F.coalesce(F.nullif("text", F.lit("")), "answer", F.lit("")).alias("text"), F.col("name").alias("source"), F.lit("slice").alias("type"))
     return laws.unionByName(paras).unionByName(rest)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from lexspark.functions.text import slug, squeeze
+from lexspark.operators.rows import explode_rows
 
 _OPEN, _CLOSE = "\x01", "\x02"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
@@ -62,8 +63,7 @@ def absolute_url(base: Column, href: Column) -> Column:
 
 def links(pages: DataFrame) -> DataFrame:
     """Distinct (url, link): absolute targets of the anchors of a page."""
-    href = F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1)))
-    rows = pages.select("url", href.alias("href")).where("href <> '' AND href NOT IN ('./', '../') AND NOT startswith(href, '#')")
+    rows = explode_rows(pages, ["url"], F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1)), "href").where("href <> '' AND href NOT IN ('./', '../') AND NOT startswith(href, '#')")
     return rows.select("url", absolute_url(F.col("url"), F.col("href")).alias("link")).distinct()
 
 

@@ -14,6 +14,7 @@ from lexspark import fixed_values as fv
 from lexspark.functions import citations as c
 from lexspark.functions.chunking import chunk_recursive
 from lexspark.functions.text import file_stem, is_repealed_or_empty
+from lexspark.operators.rows import posexplode_rows
 
 _SCHEMA = "path string, ord int, number string, title string, text string"
 _NUMBER = re.compile(r"\d+[A-Za-z]?")
@@ -73,7 +74,7 @@ def provisions_from_elements(elements: DataFrame, sources: DataFrame, chunker=ch
     first = elements.groupBy("path", "number").agg(F.min(F.struct("ord", "title", "text")).alias("e")).select("path", "number", "e.title", "e.text")
     kept = first.where(~is_repealed_or_empty(F.col("text"))).withColumn("slug", file_stem(F.col("path")))
     rows = kept.join(sources, "slug").withColumn("chunks", chunker(F.col("text")))
-    rows = rows.withColumn("n_chunks", F.size("chunks")).select("*", F.posexplode("chunks").alias("n", "chunk"))
+    rows = posexplode_rows(rows.withColumn("n_chunks", F.size("chunks")), ["*"], "chunks", "n", "chunk")
     number, many = F.col("number"), F.col("n_chunks") > 1
     cite = c.legislation_cite(F.col("short_doc"), F.col("kind"), number)
     mark = lambda prefix: F.when(many, F.concat(F.lit(prefix), F.col("n").cast("string"))).otherwise(F.lit(""))

@@ -15,6 +15,7 @@ from lexspark.functions.chunking import chunk_fixed
 from lexspark.functions.messages import intent
 from lexspark.functions.text import clean_context, scrub_marks
 from lexspark.operators.verify import audit_citations
+from lexspark.operators.rows import posexplode_rows
 
 
 def _append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
@@ -42,7 +43,7 @@ def upload_chunks(uploads: DataFrame, chunker=chunk_fixed) -> DataFrame:
     """(chunk_key, session_id, filename, chunk_no, text) of uploaded files
     (session_id, filename, text): scrubbed, cleaned, chunked, keyed."""
     cleaned = uploads.withColumn("text", clean_context(scrub_marks(F.col("text"))))
-    chunks = cleaned.select("session_id", "filename", F.posexplode(chunker(F.col("text"))).alias("chunk_no", "text")).where("text <> ''")
+    chunks = posexplode_rows(cleaned, ["session_id", "filename"], chunker(F.col("text")), "chunk_no", "chunk").withColumnRenamed("chunk", "text").where("text <> ''")
     key = F.concat(F.lit("session::"), "filename", F.lit("::"), F.col("chunk_no").cast("string"))
     return chunks.select(key.alias("chunk_key"), "session_id", "filename", "chunk_no", "text")
 
