@@ -66,10 +66,10 @@ def bm25_index(docs: DataFrame, epsilon: float = fv.BM25_EPSILON) -> Bm25Index:
     Tokens in over half of the documents get epsilon x the mean idf.
     """
     toks = docs.select(word_tokens(F.col("text")).alias("toks"))
-    entry = lambda tok, n: F.struct(tok.cast("string").alias("tok"), n.cast("bigint").alias("n"))
-    entries = F.array_append(F.transform(F.array_distinct("toks"), lambda t: entry(t, F.lit(0))), entry(F.lit(None), F.size("toks")))
-    rows = explode_rows(toks, [], entries, "e")
-    counted = cut_lineage(rows.groupBy("e.tok").agg(F.count("*").alias("df"), F.sum("e.n").alias("total_len")))
+    entries = F.array_append(F.array_distinct("toks"), F.lit(None).cast("string"))
+    rows = toks.select(F.size("toks").alias("n"), entries.alias("entries")).select("n", F.explode_outer("entries").alias("tok"))
+    total = F.sum(F.when(F.col("tok").isNull(), F.col("n")))
+    counted = cut_lineage(rows.groupBy("tok").agg(F.count("*").alias("df"), total.alias("total_len")))
     totals = counted.where("tok IS NULL")
     n = totals.select("df").scalar()
     avgdl = totals.select((F.col("total_len") / F.col("df")).alias("avgdl")).scalar()
@@ -94,7 +94,7 @@ def _score_documents(docs: DataFrame, terms: DataFrame, contribution: Column, vo
     query terms and the per-document sums then all happen in that partitioning,
     so the (query, document) pairs never cross the network before top-k.
     """
-    words = explode_rows(docs, ["doc_key", F.size("toks").alias("doc_len")], "toks", "tok")
+    words = explode_rows(docs, ["doc_key", "doc_len"], "toks", "tok")
     kept = words.join(vocabulary, "tok", "left_semi").repartition("doc_key")
     tf = kept.groupBy("doc_key", "tok").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
     scored = tf.join(terms, "tok").select("query_id", "doc_key", contribution.alias("part"))
@@ -106,11 +106,16 @@ def bm25_scores(
 ) -> DataFrame:
     """(query_id, doc_key, score, rank) for documents sharing a token."""
     index = index or bm25_index(docs)
-    weighted = query_terms(queries).join(index.terms, "tok").select("query_id", "tok", (F.col("qtf") * F.col("idf")).alias("w"))
+    # one small row per query token; written out because the size check, the
+    # vocabulary filter and the scoring join all read it
+    weighted = cut_lineage(
+        query_terms(queries).join(index.terms, "tok").select("query_id", "tok", (F.col("qtf") * F.col("idf")).alias("w")))
     avgdl = index.avgdl
     tf = F.col("tf")
     part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / avgdl))
-    tokens = docs.select("doc_key", word_tokens(F.col("text")).alias("toks"))
+    # the length is taken before exploding, so the token array itself is not
+    # carried along with every token
+    tokens = docs.select("doc_key", word_tokens(F.col("text")).alias("toks")).withColumn("doc_len", F.size("toks"))
     hits = [
         top_k(_score_documents(tokens, block, part, F.broadcast(block.select("tok").distinct())), k)
         for block in query_blocks(weighted, "query_id")
@@ -131,7 +136,7 @@ def with_zero_fill(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int)
 
 def keyword_overlap(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Distinct shared tokens as score, over whole texts."""
-    terms = query_terms(queries).select("query_id", "tok")
+    terms = cut_lineage(query_terms(queries).select("query_id", "tok"))
     tokens = docs.select("doc_key", F.array_distinct(word_tokens(F.col("text"))).alias("toks"))
     hits = []
     for block in query_blocks(terms, "query_id"):

@@ -52,9 +52,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df):
-    """Materialise df in the shared checkpoint folder and restart its lineage there."""
-    spark = df.sparkSession
-    shared = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    """Writes df as a table in the shared folder and reads it back.
+
+    Work done so far survives lost executors, later uses do not repeat it, and
+    the optimizer knows the table's real size when it picks join strategies.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
