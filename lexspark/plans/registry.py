@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexspark.plans import evaluation, files_and_streams, graph, retrieval, text_rules, verification
+from lexspark.plans import evaluation, files_and_streams, full_audit, graph, retrieval, text_rules, verification
 
-MODULES = [files_and_streams, text_rules, retrieval, graph, verification, evaluation]
+MODULES = [files_and_streams, text_rules, retrieval, graph, verification, full_audit, evaluation]
 
 
 def queries() -> dict:

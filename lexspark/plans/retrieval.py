@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexspark import fixed_values as fv
-from lexspark.operators import dense, hybrid, postings, ranking, session_chunks
+from lexspark.operators import answering, dense, graph_build as gb, graph_walk as gw, hybrid, postings, ranking, session_chunks
 from lexspark.functions.citations import extract_citations
 from lexspark.functions.text import snippet
 from lexspark.plans import inputs as src
+from lexspark.plans.graph import sql_citations
+from lexspark.plugins import hashing_embedder
 from lexspark.plans.inputs import CORPUS_SQL, QUERY_VECTORS_SQL, QUESTIONS_SQL, VECTORS_SQL, sql_tokens
 
 QUERIES, ORACLE = {}, {}
 
 # --- shared DuckDB pieces ------------------------------------------------
-def sql_bm25() -> str:
+def sql_bm25(queries: str = QUESTIONS_SQL) -> str:
     """CTEs from corpus(doc_key, text) to bm(query_id, doc_key, score)."""
-    return f"""q AS ({QUESTIONS_SQL}),
+    return f"""q AS ({queries}),
 tok AS (SELECT doc_key, unnest({sql_tokens('text')}) AS tok FROM corpus),
 post AS (SELECT doc_key, tok, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT doc_key, len({sql_tokens('text')}) AS doc_len FROM corpus),
@@ -191,7 +193,57 @@ def _c20(spark, sf):
     return postings.index_stats(docs.unionByName(ups))
 
 
+def _c3_fill(spark, sf):
+    """Provision titles as questions: most titles match fewer than 400 texts."""
+    prov = src.provisions(spark, sf)
+    docs = prov.select(F.col("id").alias("doc_key"), F.concat_ws(" ", "title", "domain").alias("text"))
+    q = prov.select(F.col("title").alias("query_id"), F.col("title").alias("text")).distinct()
+    return postings.with_zero_fill(postings.bm25_scores(q, docs, 400), q, docs, 400)
+
+
+def _c6(spark, sf):
+    rows = hashing_embedder(src.corpus(spark, sf))
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return rows.select("doc_key", F.size("embedding").alias("dim"), F.round(F.sqrt(square), 4).alias("norm"), F.size(F.filter("embedding", lambda x: x > 0)).alias("filled"))
+
+
+def _c11_kept(spark, sf):
+    """Chunks left after clearing the sessions that bought something, and how
+    many of the known users still have a session."""
+    chunks = session_chunks.append_chunks(src.table(spark, sf, "events").selectExpr(*_UPLOAD_EVENTS))
+    buyers = chunks.where("filename = 'purchase'").select("session_id").distinct()
+    left = session_chunks.clear_sessions(chunks.where("filename <> 'view'"), buyers)
+    customers = src.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("session_id"))
+    alive = session_chunks.existing_sessions(customers, chunks)
+    return left.groupBy("session_id").agg(F.count("*").alias("n")).unionByName(alive.agg(F.lit("alive").alias("session_id"), F.count("*").alias("n")))
+
+
+def _c11_continued(spark, sf):
+    """A second delivery continues the running numbers of the first."""
+    ups = src.table(spark, sf, "events").selectExpr(*_UPLOAD_EVENTS)
+    first = session_chunks.append_chunks(ups.where("ts < '2024-01-10'"))
+    second = session_chunks.append_chunks(ups.where("ts >= '2024-01-10'"), first)
+    return first.select("session_id", "chunk_key", "seq").unionByName(second.select("session_id", "chunk_key", "seq"))
+
+
+def _c17(spark, sf):
+    graph = gb.build_graph(src.provisions(spark, sf))
+    boost = gw.graph_boost(src.questions(spark, sf), graph)
+    contexts = answering.wide_contexts(src.questions(spark, sf), boost, src.corpus(spark, sf), src.query_vectors(spark, sf), src.vectors(spark, sf))
+    return contexts.select("query_id", F.size("contexts").alias("n_contexts"), F.md5(F.array_join("contexts", "\n")).alias("contexts_md5"))
+
+
+def _c20_lookup(spark, sf):
+    docs = src.corpus(spark, sf)
+    turns = src.text_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    ups = hybrid.number_uploads(turns, ["conv_id", "turn"], docs)
+    wanted = postings.upload_keys(ups).unionByName(src.table(spark, sf, "orders").select(F.concat(F.lit("static::"), F.col("o_orderkey").cast("string")).alias("doc_key")))
+    return postings.lookup_documents(wanted, docs.unionByName(ups)).select("doc_key", F.length("text").alias("n_chars"))
+
+
 QUERIES.update({
+    "c3_zero_fill": _c3_fill, "c6_embeddings": _c6, "c11_cleared_sessions": _c11_kept, "c11_continued_numbers": _c11_continued,
+    "c17_contexts": _c17, "c20_document_lookup": _c20_lookup,
     "c1_postings": _c1, "c2_bm25_statistics": _c2, "c3_bm25_top_k": _c3, "c4_phrase_search": _c4,
     "c5_keyword_overlap": _c5, "c7_vector_knn": _c7, "c8_index_growth": _c8, "c9_min_score": _c9,
     "c10_session_knn": _c10, "c11_session_chunks": _c11, "c11_session_counts": _c11_counts,
@@ -236,6 +288,17 @@ def _hybrid_sql(mode: str) -> str:
 
 
 ORACLE.update({
+    "c3_zero_fill": f"""WITH prov AS ({src.PROVISIONS_SQL}), corpus AS (SELECT id AS doc_key, concat_ws(' ', title, domain) AS text FROM prov), {sql_bm25('SELECT DISTINCT title AS query_id, title AS text FROM prov')},
+      al AS (SELECT q.query_id AS query_id, c.doc_key AS doc_key, coalesce(score, 0.0) AS score FROM q CROSS JOIN corpus c LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_key = c.doc_key),
+      k AS (SELECT *, score <> 0 OR EXISTS (SELECT 1 FROM bm WHERE bm.query_id = al.query_id AND bm.doc_key = al.doc_key) AS hit FROM al), {_ranked('k', 400, 'r')} SELECT * FROM r""",
+    "c11_cleared_sessions": f"""WITH c AS ({_CHUNKS_SQL}), l AS (SELECT session_id, count(*) AS n FROM c WHERE filename <> 'view' AND session_id NOT IN (SELECT session_id FROM c WHERE filename = 'purchase') GROUP BY 1)
+      SELECT * FROM l UNION ALL SELECT 'alive', count(*) FROM customer WHERE CAST(c_custkey AS STRING) IN (SELECT session_id FROM c)""",
+    "c11_continued_numbers": f"""WITH u AS (SELECT * FROM ({_UPLOAD_SQL}) WHERE trim(text) <> '') SELECT session_id, seq, 'session::' || filename || '::' || CAST(row_number() OVER (PARTITION BY session_id, filename
+      ORDER BY ts >= TIMESTAMP '2024-01-10', seq) - 1 AS STRING) AS chunk_key FROM u""",
+    "c19_retrieved_citations": f"""WITH prov AS ({src.PROVISIONS_SQL}), corpus AS (SELECT id AS doc_key, text FROM prov), {sql_bm25('SELECT DISTINCT title AS query_id, title AS text FROM prov')}, {_ranked('bm', fv.TOP_K, 'r')}
+      SELECT DISTINCT query_id, unnest({sql_citations('snip')}) AS cite FROM (SELECT query_id, {_clean('text')} AS snip FROM r JOIN corpus USING (doc_key))""",
+    "c20_document_lookup": f"""WITH g AS (SELECT * FROM ({CORPUS_SQL}) UNION ALL SELECT * FROM ({_UPLOADED_SQL})), w AS (SELECT doc_key FROM g WHERE doc_key LIKE 'upload::%' UNION ALL SELECT 'static::' || CAST(o_orderkey AS STRING) FROM orders)
+      SELECT w.doc_key AS doc_key, len(coalesce(text, '')) AS n_chars FROM w LEFT JOIN g USING (doc_key)""",
     "c1_postings": f"SELECT tok, count(DISTINCT doc_key) AS docs, count(*) AS occurrences, min(pos) AS earliest FROM (SELECT doc_key,"
                    f" unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM (SELECT doc_key, {sql_tokens('text')} AS toks FROM ({CORPUS_SQL}))) GROUP BY tok",
     "c2_bm25_statistics": f"WITH {_CTE} SELECT tok, df, round(idf, 6) AS idf, n AS n_docs, round(avgdl, 4) AS avgdl FROM idf, cs",

@@ -325,24 +325,28 @@ def sql_source_line(a: str) -> str:
     return f"CASE WHEN {first} <> '' THEN {first} ELSE array_to_string({distinct}[1:4], ' | ') END"
 
 
-def _fallback_sql() -> str:
+def sql_fallback() -> str:
     cases = " ".join(f"WHEN regexp_matches(question, '(?i){p}') THEN {sql_quote(body + chr(10) + chr(10) + 'Source: ' + s)}" for p, body, s in fv.FALLBACK_ANSWERS)
     return f"CASE WHEN len(trim(answer, {_BLANKS})) < 80 AND (CASE {cases} ELSE '' END) <> '' THEN CASE {cases} END ELSE answer END"
 
 
-def _risk_sql() -> str:
-    names = [s[0] for s in fv.RISK_SECTIONS]
+def sql_risk_ctes(source: str, key: str) -> str:
+    """CTEs from source(key, text) to risk(key, rebuilt)."""
     head = " ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN '{n}'" for n, p, _, _ in fv.RISK_SECTIONS)
     dims = ", ".join(f"({i}, '{n}', {sql_quote(r)}, {sql_quote(d)})" for i, (n, _, r, d) in enumerate(fv.RISK_SECTIONS))
-    return f"""WITH src AS (SELECT o_orderkey, {_RISK} AS text FROM orders), ln AS (SELECT o_orderkey, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT o_orderkey, string_split(text, chr(10)) AS ls FROM src)),
+    return f"""ln AS (SELECT {key}, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT {key}, string_split(text, chr(10)) AS ls FROM {source})),
       tg AS (SELECT *, CASE {head} END AS header FROM ln),
-      cu AS (SELECT *, coalesce(last_value(header IGNORE NULLS) OVER (PARTITION BY o_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'yellow') AS cur FROM tg),
-      bu AS (SELECT o_orderkey, pos, trim(line) AS line, CASE WHEN lower(line) LIKE '%green%' THEN 'green' WHEN lower(line) LIKE '%yellow%' THEN 'yellow' WHEN regexp_matches(lower(line), 'amber|orange') THEN 'amber'
+      cu AS (SELECT *, coalesce(last_value(header IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'yellow') AS cur FROM tg),
+      bu AS (SELECT {key}, pos, trim(line) AS line, CASE WHEN lower(line) LIKE '%green%' THEN 'green' WHEN lower(line) LIKE '%yellow%' THEN 'yellow' WHEN regexp_matches(lower(line), 'amber|orange') THEN 'amber'
         WHEN regexp_matches(lower(line), 'red|critical|breach') THEN 'red' ELSE cur END AS sec FROM cu WHERE header IS NULL AND trim(line) LIKE '-%'),
       dim(i, sec, rendered, dflt) AS (VALUES {dims}),
-      blk AS (SELECT s.o_orderkey, i, rendered || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY pos), any_value(dflt)) || chr(10) AS block FROM src s CROSS JOIN dim LEFT JOIN bu ON bu.o_orderkey = s.o_orderkey AND bu.sec = dim.sec GROUP BY s.o_orderkey, i, rendered),
-      full_text AS (SELECT o_orderkey, string_agg(block, chr(10) ORDER BY i) AS rebuilt FROM blk GROUP BY o_orderkey)
-      SELECT o_orderkey, regexp_replace(CASE WHEN o_orderkey % 5 = 0 THEN text ELSE rebuilt END, '\\n{{3,}}', chr(10) || chr(10), 'g') AS sections FROM src JOIN full_text USING (o_orderkey)"""
+      blk AS (SELECT s.{key}, i, rendered || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY pos), any_value(dflt)) || chr(10) AS block FROM {source} s CROSS JOIN dim LEFT JOIN bu ON bu.{key} = s.{key} AND bu.sec = dim.sec GROUP BY s.{key}, i, rendered),
+      risk AS (SELECT {key}, regexp_replace(string_agg(block, chr(10) ORDER BY i), '\\n{{3,}}', chr(10) || chr(10), 'g') AS rebuilt FROM blk GROUP BY {key})"""
+
+
+def _risk_sql() -> str:
+    return f"""WITH src AS (SELECT o_orderkey, {_RISK} AS text FROM orders), {sql_risk_ctes('src', 'o_orderkey')}
+      SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g') ELSE rebuilt END AS sections FROM src JOIN risk USING (o_orderkey)"""
 
 
 _INTENT = f"""WITH m AS ({_MESSAGES_SQL}), n AS (SELECT msg_id, text, trim(text, {_BLANKS}) AS s,
@@ -390,7 +394,7 @@ ORACLE.update({
     "b22_first_citation": f"SELECT answer_id, regexp_extract(answer, '(?i){'|'.join(fv.FIRST_CITATION)}') AS first_cite FROM ({ANSWERS_SQL})",
     "b23_intents": _INTENT,
     "b24_risk_sections": _risk_sql(),
-    "b25_fallback_answers": f"SELECT answer_id, {_fallback_sql()} AS final FROM ({ANSWERS_SQL})",
+    "b25_fallback_answers": f"SELECT answer_id, {sql_fallback()} AS final FROM ({ANSWERS_SQL})",
     "b26_context": f"""WITH corpus AS (SELECT CASE WHEN lang = 'fr' THEN 'upload::' ELSE 'static::' END || CAST(doc_id AS STRING) AS doc_key, text FROM documents), {sql_bm25()}, {_ranked('bm', 3, 'r')},
       h AS (SELECT query_id, doc_key, rank, {_clean('text')} AS snip FROM r JOIN corpus USING (doc_key))
       SELECT query_id, CASE WHEN bool_and(doc_key LIKE 'upload::%') THEN '**Full uploaded document:**' || chr(10) || left(string_agg(snip, chr(10) || chr(10) ORDER BY rank), 2200) || chr(10) || chr(10)
