@@ -28,12 +28,12 @@ def documents_sharing_words(questions: DataFrame, docs: DataFrame, min_words: in
     tokens = docs.select("doc_key", words(F.col("text")).alias("toks"))
     vocabulary = explode_rows(tokens, [], "toks", "tok").distinct()
     pairs = substring_tokens(asked.select("word").distinct(), vocabulary)
-    wanted = asked.join(pairs, "word").select("query_id", "word", "tok")
+    wanted = cut_lineage(asked.join(pairs, "word").select("query_id", "word", "tok"))
     hits = []
     for block in query_blocks(wanted, "query_id"):
         kept = explode_rows(tokens, ["doc_key"], "toks", "tok").join(
-            F.broadcast(block.select("tok").distinct()), "tok", "left_semi").repartition("doc_key")
-        shared = kept.join(block, "tok").select("doc_key", "query_id", "word").distinct()
+            block.hint(block.rows.select("tok").distinct()), "tok", "left_semi").repartition("doc_key")
+        shared = kept.join(block.hint(block.rows), "tok").select("doc_key", "query_id", "word").distinct()
         enough = shared.groupBy("doc_key", "query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_words)
         hits.append(top_k(enough.withColumn("score", F.lit(0)), k))
     return union_all(hits).select("query_id", "doc_key", "rank")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lexspark.functions.text import provision_bullet
 from lexspark.operators.graph_build import Graph
 from lexspark.operators.postings import bm25_scores
+from lexspark.operators.sizing import union_all
 from lexspark.session import cut_lineage
 
 
@@ -40,12 +41,19 @@ def one_hop(seeds: DataFrame, graph: Graph, k_related: int = 6, k_terms: int = 1
     out = graph.links.where("type IN ('DEFINED_BY', 'CITES', 'RELATES_TO')").join(named, "dst")
     out = out.select("src", "to_cite").distinct()
     w = Window.partitionBy("src").orderBy("to_cite")
-    related = out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k_related).groupBy("src").agg(F.collect_set("to_cite").alias("related"))
-    rows = chunks.join(related, F.col("id") == F.col("src"), "left").join(terms_per_provision(graph, k_terms), "id", "left")
-    merged = rows.groupBy("query_id").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("must_terms"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("related")))).alias("related_cites"))
-    return merged
+    related = out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k_related).select(F.col("src").alias("id"), F.col("to_cite").alias("related"))
+    tw = Window.partitionBy("id").orderBy("term")
+    named_terms = graph.mentions.withColumn("n", F.row_number().over(tw)).where(F.col("n") <= k_terms).select("id", "term")
+    # sets are merged from distinct rows, so a cite shared by very many chunks
+    # adds each value once and not one list per chunk
+    none = F.lit(None).cast("string")
+    values = union_all([
+        chunks.join(named_terms, "id").select("query_id", "term", none.alias("related")),
+        chunks.join(related, "id").select("query_id", none.alias("term"), "related"),
+        chunks.select("query_id", none.alias("term"), none.alias("related")),
+    ]).distinct()
+    return values.groupBy("query_id").agg(
+        F.sort_array(F.collect_set("term")).alias("must_terms"), F.sort_array(F.collect_set("related")).alias("related_cites"))
 
 
 def two_hops(seeds: DataFrame, graph: Graph, limit: int = 20, max_hops: int = 2) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lexspark import fixed_values as fv
 from lexspark.functions.text import word_tokens
 from lexspark.operators.ranking import top_k
-from lexspark.operators.sizing import query_blocks, union_all
+from lexspark.operators.sizing import Block, query_blocks, union_all
 from lexspark.session import cut_lineage
 from lexspark.operators.rows import explode_rows, posexplode_rows
 
@@ -86,7 +86,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "tok").agg(F.count("*").alias("qtf"))
 
 
-def _score_documents(docs: DataFrame, terms: DataFrame, contribution: Column, vocabulary: DataFrame) -> DataFrame:
+def _score_documents(docs: DataFrame, block: Block, contribution: Column) -> DataFrame:
     """Sum of contributions per (query, document).
 
     Tokens outside the queries' vocabulary are dropped in the scan; what is left
@@ -95,9 +95,9 @@ def _score_documents(docs: DataFrame, terms: DataFrame, contribution: Column, vo
     so the (query, document) pairs never cross the network before top-k.
     """
     words = explode_rows(docs, ["doc_key", "doc_len"], "toks", "tok")
-    kept = words.join(vocabulary, "tok", "left_semi").repartition("doc_key")
+    kept = words.join(block.hint(block.rows.select("tok").distinct()), "tok", "left_semi").repartition("doc_key")
     tf = kept.groupBy("doc_key", "tok").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-    scored = tf.join(terms, "tok").select("query_id", "doc_key", contribution.alias("part"))
+    scored = tf.join(block.hint(block.rows), "tok").select("query_id", "doc_key", contribution.alias("part"))
     return scored.groupBy("doc_key", "query_id").agg(F.round(F.sum("part"), 4).alias("score"))
 
 
@@ -117,7 +117,7 @@ def bm25_scores(
     # carried along with every token
     tokens = docs.select("doc_key", word_tokens(F.col("text")).alias("toks")).withColumn("doc_len", F.size("toks"))
     hits = [
-        top_k(_score_documents(tokens, block, part, F.broadcast(block.select("tok").distinct())), k)
+        top_k(_score_documents(tokens, block, part), k)
         for block in query_blocks(weighted, "query_id")
     ]
     return union_all(hits).select("query_id", "doc_key", "score", "rank")
@@ -141,8 +141,8 @@ def keyword_overlap(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     hits = []
     for block in query_blocks(terms, "query_id"):
         words = explode_rows(tokens, ["doc_key"], "toks", "tok")
-        kept = words.join(F.broadcast(block.select("tok").distinct()), "tok", "left_semi").repartition("doc_key")
-        shared = kept.join(block, "tok").groupBy("doc_key", "query_id").agg(F.count("*").alias("score"))
+        kept = words.join(block.hint(block.rows.select("tok").distinct()), "tok", "left_semi").repartition("doc_key")
+        shared = kept.join(block.hint(block.rows), "tok").groupBy("doc_key", "query_id").agg(F.count("*").alias("score"))
         hits.append(top_k(shared, k))
     return union_all(hits).select("query_id", "doc_key", "score", "rank")
 

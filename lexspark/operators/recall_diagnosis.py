@@ -8,6 +8,7 @@ from lexspark import fixed_values as fv
 from lexspark.functions.citations import first_citation
 from lexspark.functions.text import citation_folded, is_placeholder, let
 from lexspark.operators.postings import phrase_search
+from lexspark.session import cut_lineage
 from lexspark.operators.rows import explode_rows
 
 
@@ -37,9 +38,12 @@ def sample_per_source(rows: DataFrame, n: int, seed: int, source: str = "source_
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def _starts(words: Column, n: int) -> Column:
+    return F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+
+
 def _windows(words: Column, n: int) -> Column:
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(words, i, n))
+    return F.transform(_starts(words, n), lambda i: F.slice(words, i, n))
 
 
 def _folded_words(c: Column) -> Column:
@@ -48,8 +52,8 @@ def _folded_words(c: Column) -> Column:
 
 def _keyed_windows(words: Column, n: int) -> Column:
     """Windows as (inner words, first word, last word)."""
-    return F.transform(_windows(words, n), lambda w: F.struct(
-        F.array_join(F.slice(w, 2, n - 2), " ").alias("inner"), F.element_at(w, 1).alias("first"), F.element_at(w, n).alias("last")))
+    return F.transform(_starts(words, n), lambda i: F.struct(
+        F.array_join(F.slice(words, i + 1, n - 2), " ").alias("inner"), F.get(words, i - 1).alias("first"), F.get(words, i + (n - 2)).alias("last")))
 
 
 def ngram_in_corpus(needles: DataFrame, docs: DataFrame, n: int = fv.NGRAM_WORDS) -> DataFrame:
@@ -59,16 +63,16 @@ def ngram_in_corpus(needles: DataFrame, docs: DataFrame, n: int = fv.NGRAM_WORDS
     agree on the inner words, the first ends with the window's first word and
     the last starts with the window's last. So both sides are joined on the
     inner words and the two touching letters - no text is tested against all
-    needles. Needles shorter than n words are searched as whole strings.
+    needles, and windows of the texts are not shuffled while the needles' are few. Needles shorter than n words are searched as whole strings.
     """
     if n < 3:
         raise ValueError("windows need at least three words")
-    words = needles.select("qid", _folded_words(F.col("text")).alias("words"))
+    words = cut_lineage(needles.select("qid", _folded_words(F.col("text")).alias("words")))
     wanted = explode_rows(words, ["qid"], _keyed_windows(F.col("words"), n), "w").select(
         "qid", "w.inner", F.col("w.first").alias("n_first"), F.col("w.last").alias("n_last"),
-        F.right("w.first", F.lit(1)).alias("a"), F.left("w.last", F.lit(1)).alias("b"))
+        F.right("w.first", F.lit(1)).alias("a"), F.left("w.last", F.lit(1)).alias("b")).distinct()
     held = docs.select(_folded_words(F.col("text")).alias("words"))  # a column of its own: split once per text
-    held = explode_rows(held, [], _keyed_windows(F.col("words"), n), "w").select("w.inner", "w.first", "w.last").distinct()
+    held = explode_rows(held, [], _keyed_windows(F.col("words"), n), "w").select("w.inner", "w.first", "w.last")
     held = held.select("inner", "first", "last", F.right("first", F.lit(1)).alias("a"), F.left("last", F.lit(1)).alias("b"))
     long_hits = wanted.join(held, ["inner", "a", "b"]).where(F.col("first").endswith(F.col("n_first")) & F.col("last").startswith(F.col("n_last"))).select("qid")
     short = words.where((F.size("words") > 0) & (F.size("words") < n)).select(F.col("qid").alias("query_id"), F.array_join("words", " ").alias("text"))

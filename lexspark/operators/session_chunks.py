@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lexspark import fixed_values as fv
 from lexspark.functions.text import strip
+from lexspark.operators.rows import number_in_order
 
 
 def append_chunks(uploads: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Numbers the non-blank chunks of (session_id, filename, seq, text, ...)
     per session and file, continuing after the chunks already stored."""
     fresh = uploads.where(strip(F.col("text")) != "")
-    w = Window.partitionBy("session_id", "filename").orderBy("seq")
-    numbered = fresh.withColumn("n", F.row_number().over(w) - 1)
+    numbered = number_in_order(fresh, ["session_id", "filename"], ["seq"], "n")
     if existing is not None:
         stored = existing.groupBy("session_id", "filename").agg(F.count("*").alias("offset"))
         numbered = numbered.join(stored, ["session_id", "filename"], "left").withColumn(

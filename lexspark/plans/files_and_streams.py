@@ -170,6 +170,11 @@ def _a13(spark, sf):
     return html.canonical_links(found, r"^/[^/?#]+/?$")
 
 
+def _a13_reachable(spark, sf):
+    pages = _pages(spark, sf)
+    return html.reachable(pages.select("url"), html.links(pages), 2)
+
+
 def _a14(spark, sf):
     rows = html.extract_page(_pages(spark, sf))
     return rows.select("url", slug(F.col("title")).alias("slug"), html.title_slug(F.col("title")).alias("folded_slug"), html.download_name(F.lit(""), F.col("url")).alias("file_name"))
@@ -275,7 +280,7 @@ QUERIES.update({
     "a1_corpus_scan": _a1, "a2_text_reader": _a2, "a3_table_reader": _a3, "a4_parquet_reader": _a4, "a5_page_reader": _a5, "a6_legislation_xml": _a6,
     "a7_multi_source": _a7, "a8_page_provisions": _a8, "a9_free_headers": _a9, "a10_question_csv": _a10, "a11_training_records": _a11,
     "a12_html_pages": lambda s, sf: html.extract_page(_pages(s, sf)), "a13_canonical_links": _a13, "a13_page_links": lambda s, sf: html.links(_pages(s, sf)),
-    "a14_slugs": _a14, "a15_result_sink": _a15, "a16_run_registry": _a16, "a16_latest_run": _a16_latest, "a17_exports": _a17, "a18_vector_cache": _a18,
+    "a13_reachable": _a13_reachable, "a14_slugs": _a14, "a15_result_sink": _a15, "a16_run_registry": _a16, "a16_latest_run": _a16_latest, "a17_exports": _a17, "a18_vector_cache": _a18,
     "a19_file_admission": _a19, "g1_stream_uploads": _g1, "g2_stream_audits": _g2, "g3_first_greeting": _g3,
 })
 
@@ -322,6 +327,9 @@ ORACLE.update({
       coalesce(nullif({_ENT.format('hn')}, ''), array_to_string(ps[1:2], ' ')) AS summary FROM ({_PG})""",
     "a13_page_links": _LINKS,
     "a13_canonical_links": f"""SELECT DISTINCT link FROM (SELECT link, regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM ({_LINKS})) WHERE regexp_matches(path, '^/[^/?#]+/?$') AND NOT regexp_matches(path, '/\\d{{4}}-\\d{{2}}-\\d{{2}}/?$')""",
+    "a13_reachable": f"""WITH l AS MATERIALIZED ({_LINKS}), v0 AS (SELECT DISTINCT url FROM pages), v1 AS (SELECT DISTINCT link AS url FROM l WHERE link NOT IN (SELECT url FROM v0)),
+      v2 AS (SELECT DISTINCT link AS url FROM l WHERE url IN (SELECT url FROM v1) AND link NOT IN (SELECT url FROM v0) AND link NOT IN (SELECT url FROM v1))
+      SELECT url, 0 AS depth FROM v0 UNION ALL SELECT url, 1 FROM v1 UNION ALL SELECT url, 2 FROM v2""",
     "a14_slugs": f"""WITH p AS (SELECT url, title, regexp_extract(url, '([^/]*)$', 1) AS last, array_to_string(list_transform(string_split(title, ''), lambda ch: CASE WHEN strip_accents(ch) <> ch THEN strip_accents(ch) || '_' ELSE ch END), '') AS ft FROM ({_PG}))
       SELECT url, lower(trim(regexp_replace(title, '[^0-9A-Za-z\\-]+', '_', 'g'), '_')) AS slug, lower(trim(regexp_replace(ft, '[^0-9A-Za-z\\-]+', '_', 'g'), '_')) AS folded_slug,
       lower(trim(regexp_replace(CASE WHEN lower(last) LIKE '%.pdf' THEN last ELSE CASE WHEN last = '' THEN 'part' ELSE last END || '.pdf' END, '[^0-9A-Za-z\\-]+', '_', 'g'), '_')) AS file_name FROM p""",

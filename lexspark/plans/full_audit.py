@@ -15,7 +15,7 @@ FULL_AUDIT_SQL = f"""WITH prov AS ({PROVISIONS_SQL}),
 p0 AS (SELECT answer_id, question, context_line, chunk_line, regexp_matches(question, '(?i)audit|issues') AS review, replace({sql_rewrite(sql_scrub('answer'))}, 'Â£', '£') AS answer FROM ({ANSWERS_SQL})),
 rsrc AS (SELECT answer_id, trim(answer, {_BLANKS}) AS text FROM p0 WHERE review), {sql_risk_ctes('rsrc', 'answer_id')},
 p1 AS (SELECT *, CASE WHEN review THEN answer ELSE {sql_fallback()} END AS f1 FROM p0),
-p2 AS (SELECT p1.*, CASE WHEN review THEN rebuilt WHEN regexp_matches(f1, '(?im)^source\s*:\s*') THEN f1 ELSE f1 || chr(10) || chr(10) || 'Source: ' || context_line END AS f2 FROM p1 LEFT JOIN risk USING (answer_id)),
+p2 AS (SELECT p1.*, CASE WHEN review THEN rebuilt WHEN regexp_matches(f1, '(?im)^source\\s*:\\s*') THEN f1 ELSE f1 || chr(10) || chr(10) || 'Source: ' || context_line END AS f2 FROM p1 LEFT JOIN risk USING (answer_id)),
 p3 AS (SELECT *, {sql_invalid('f2', 'strict')} AS inv FROM p2),
 p4 AS (SELECT answer_id, inv, [context_line, chunk_line] AS g, f2 || {_FOOT} AS full_text FROM p3),
 a1 AS (SELECT *, {sql_rewrite('full_text')} AS t FROM p4), a2 AS (SELECT *, {sql_citations('t')} AS raw FROM a1), a3 AS (SELECT *, {sql_in_order('raw')} AS cites FROM a2),

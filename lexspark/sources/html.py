@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 
 from lexspark.functions.text import slug, squeeze
 from lexspark.operators.rows import explode_rows
+from lexspark.session import cut_lineage
 
 _OPEN, _CLOSE = "\x01", "\x02"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
@@ -88,6 +89,18 @@ def pdf_link(pages: DataFrame) -> DataFrame:
     return first.select("url", absolute_url(F.col("url"), F.col("href")).alias("link"))
 
 
+def reachable(starts: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """(url, depth) of pages reached from the start urls over at most depth
+    links; each level is written out and known pages are removed from it."""
+    seen = starts.select("url").distinct().withColumn("depth", F.lit(0))
+    frontier = seen
+    for level in range(1, depth + 1):
+        step = frontier.select("url").join(found, "url").select(F.col("link").alias("url")).distinct()
+        frontier = cut_lineage(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(level)))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 @F.pandas_udf(StringType())
 def nfkd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))

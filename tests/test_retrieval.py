@@ -144,6 +144,19 @@ def test_rerank_keeps_small_pools(spark):
     assert hybrid.rerank(pool, q, 1, scorer=None).orderBy("query_id").first()["doc_key"] == "a"
 
 
+def test_running_numbers_of_a_hot_group(spark):
+    from lexspark.operators.rows import number_in_order
+
+    rows = [("hot" if i % 3 else f"k{i % 7}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, seq int")
+    got = {(r["k"], r["seq"]): r["n"] for r in number_in_order(df, ["k"], ["seq"], "n").collect()}
+    count = {}
+    for k, seq in sorted(rows):
+        assert got[k, seq] == count.setdefault(k, 0)
+        count[k] += 1
+    assert sorted(r["n"] for r in number_in_order(df, [], ["seq", "k"], "n").collect()) == list(range(300))
+
+
 def test_sessions(spark):
     rows = [("s1", "f", 1, "a", 1), ("s1", "f", 2, " ", 2), ("s1", "f", 3, "b", 3), ("s1", "g", 1, "c", 4), ("s2", "f", 1, "d", 9)]
     ups = spark.createDataFrame(rows, "session_id string, filename string, seq int, text string, ts int")
