@@ -196,21 +196,24 @@ def substring_tokens(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return keyed.join(token_grams(vocabulary), "gram").where(F.contains("tok", F.col("word"))).select("word", "tok")
 
 
-def _vocabulary_matches(anchors: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(query_id, phrase, tok): corpus tokens an anchor can stand for. Works on
-    the vocabulary (one row per token), joined on equality of a short gram."""
-    inner = anchors.where("kind = 'inner'").join(vocabulary, F.col("anchor") == F.col("tok"))
-    rest = anchors.where("kind IN ('head', 'tail', 'inside')").withColumn("gram", F.substr("anchor", F.lit(1), F.lit(3)))
+def _rarest_inner(inner: DataFrame, docs: DataFrame) -> DataFrame:
+    """The inner token of each phrase that fewest documents hold; only tokens
+    of phrases are counted."""
+    words = explode_rows(docs, [], F.array_distinct(word_tokens(F.col("text"))), "tok")
+    asked = inner.select(F.col("anchor").alias("tok")).distinct()
+    df = words.join(asked, "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("df"))
+    found = inner.join(df, F.col("anchor") == F.col("tok"))
+    return found.groupBy("query_id", "phrase").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"))
+
+
+def _edge_matches(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, phrase, tok): corpus tokens the edge of a phrase can be part
+    of. Works on the vocabulary, joined on equality of a short gram."""
+    vocabulary = explode_rows(docs, [], F.array_distinct(word_tokens(F.col("text"))), "tok").distinct()
+    keyed = edges.withColumn("gram", F.substr("anchor", F.lit(1), F.lit(3)))
     a, t = F.col("anchor"), F.col("tok")
-    fits = (
-        F.when(F.col("kind") == "head", t.endswith(a))
-        .when(F.col("kind") == "tail", t.startswith(a))
-        .otherwise(F.contains(t, a))
-    )
-    by_gram = (
-        rest.join(token_grams(vocabulary), "gram").where(fits).drop("gram")
-    )
-    return inner.unionByName(by_gram)
+    fits = F.when(F.col("kind") == "head", t.endswith(a)).when(F.col("kind") == "tail", t.startswith(a)).otherwise(F.contains(t, a))
+    return keyed.join(token_grams(vocabulary), "gram").where(fits).select("query_id", "phrase", "tok")
 
 
 def phrase_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -220,25 +223,21 @@ def phrase_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     by its rarest inner token (or, for one- and two-token phrases, by the corpus
     tokens its edge can be part of), and only those texts are tested. Exact: a
     text holding the phrase always holds the looked-up token. Empty phrases
-    match nothing.
+    match nothing. Kinds of phrases that do not occur cost nothing.
     """
     phrases = queries.select("query_id", F.lower("text").alias("phrase"))
-    vocabulary = document_frequency(docs)
-    anchors = _anchor_candidates(phrases)
-    matched = _vocabulary_matches(anchors, vocabulary)
-    rarest = (
-        matched.where("kind = 'inner'")
-        .groupBy("query_id", "phrase")
-        .agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"))
-    )
-    lookups = rarest.unionByName(matched.where("kind <> 'inner'").select("query_id", "phrase", "tok"))
-    marks = anchors.where("kind = 'mark'").select("query_id", "phrase", F.col("anchor").alias("tok"))
-    lookups = lookups.unionByName(marks)
+    anchors = cut_lineage(_anchor_candidates(phrases))
+    kinds = {r["kind"] for r in anchors.select("kind").distinct().collect()}  # five at most
+    parts = [anchors.where("kind = 'mark'").select("query_id", "phrase", F.col("anchor").alias("tok"))]
+    if "inner" in kinds:
+        parts.append(_rarest_inner(anchors.where("kind = 'inner'"), docs))
+    if kinds & {"head", "tail", "inside"}:
+        parts.append(_edge_matches(anchors.where("kind IN ('head', 'tail', 'inside')"), docs))
+    lookups = cut_lineage(union_all(parts))
     low = docs.select("doc_key", F.lower("text").alias("low"))
-    keys = F.array_union(
-        word_tokens(F.col("low")),
-        F.array_distinct(F.regexp_extract_all("low", F.lit(r"[^a-z0-9£]"), F.lit(0))),
-    )
+    keys = F.array_distinct(word_tokens(F.col("low")))
+    if "mark" in kinds:
+        keys = F.concat(keys, F.array_distinct(F.regexp_extract_all("low", F.lit(r"[^a-z0-9£]"), F.lit(0))))
     words = explode_rows(low, ["doc_key"], keys, "tok")
     pairs = words.join(lookups, "tok").select("query_id", "phrase", "doc_key").distinct()
     verified = pairs.join(low, "doc_key").where(F.contains("low", F.col("phrase")))
