@@ -337,7 +337,7 @@ ORACLE.update({
     "a16_run_registry": f"""SELECT run_id, count(*) AS n_rows, bool_or(event_type = 'purchase' AND value > 20) AS has_summary FROM (SELECT *, {_RUN} AS run_id FROM events) GROUP BY run_id ORDER BY run_id DESC LIMIT 30""",
     "a16_latest_run": f"SELECT run_id, event_id, value FROM (SELECT *, {_RUN} AS run_id FROM events) WHERE run_id = (SELECT max({_RUN}) FROM events)",
     "a17_exports": "SELECT fmt, doc_id, lang, md5(regexp_replace(text, '\\s+', ' ', 'g')) AS summary_md5 FROM documents, (VALUES ('json'), ('csv'), ('tsv')) f(fmt)",
-    "a18_vector_cache": "SELECT count(*) AS n_rows, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 3) AS total, true AS same, false AS other_corpus, false AS other_model FROM embeddings",
+    "a18_vector_cache": "SELECT count(*) AS n_rows, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 3) AS total, true AS same, NOT EXISTS (SELECT 1 FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS other_corpus, false AS other_model FROM embeddings",
     "a19_file_admission": f"SELECT p_partkey, contains(name, '.') AND lower(string_split(name, '.')[-1]) IN ('pdf', 'docx', 'txt', 'md') AS allowed FROM (SELECT p_partkey, {_NAME} AS name FROM part)",
     "g1_stream_uploads": f"""WITH d AS (SELECT source, doc_id, trim(regexp_replace(regexp_replace({sql_scrub('text')}, '(?s)<think>.*?</think>', '', 'gi'), '</?json>', '', 'gi'), {_BLANKS}) AS text FROM documents), e AS (SELECT *, {_CUT} AS cs FROM d),
       u AS (SELECT source, doc_id, unnest(cs) AS chunk, generate_subscripts(cs, 1) - 1 AS n FROM e)

@@ -284,7 +284,8 @@ def _hybrid_sql(mode: str) -> str:
              + _RRF.format(lists="(" + " UNION ALL ".join(f"SELECT query_id, doc_key, rank FROM {x}" for x in lists) + ")")
              + f") WHERE rank <= {fv.TOP_K})")
     return ("WITH " + _CTE + ", " + _ranked("bm", 16, "b16") + ", " + _ranked("sim", 16, "d16", "WHERE score >= 0.35") + ", " + fused
-            + f" SELECT '{mode}' AS mode, query_id, doc_key, rank FROM fused JOIN corpus USING (doc_key) WHERE text <> ''")
+            # keys without a text drop out of the list, the rest move up
+            + f" SELECT '{mode}' AS mode, query_id, doc_key, row_number() OVER (PARTITION BY query_id ORDER BY fused.rank) AS rank FROM fused JOIN corpus USING (doc_key) WHERE text <> ''")
 
 
 ORACLE.update({
