@@ -11,7 +11,7 @@ GROUPS = {"a": 19, "b": 31, "c": 20, "d": 22, "e": 3, "f": 26, "g": 3}
 
 
 def test_every_operator_has_a_query():
-    numbers = {re.match(r"([a-g]\d+)_", name).group(1) for name in entry.queries()}
+    numbers = {m.group(1) for name in entry.queries() if (m := re.match(r"([a-g]\d+)_", name))}
     assert numbers == {f"{g}{i}" for g, n in GROUPS.items() for i in range(1, n + 1)}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
