@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexspark.llm import bpe, decontamination, language_id, link_rank, secret_scan, sharding, simhash
+from lexspark.llm import bpe, decontamination, language_id, link_rank, recompression, secret_scan, sharding, simhash, suffix_dedup
 from lexspark.llm.common import read
 
 
@@ -44,6 +44,15 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeated_words(read(spark, sf_dir, "documents"))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scans, op2_benchmark_decontamination, op4_sharding, op5_simhash_near_dedup, op6_language_id, op7_url_filters, op8_bpe_round_trip)}
+    op1_secret_scans, op2_benchmark_decontamination, op4_sharding, op5_simhash_near_dedup, op6_language_id, op7_url_filters, op8_bpe_round_trip,
+    op9_substring_dedup, op10_suffix_array_dedup)}
 ORACLE: dict[str, str] = {}
