@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from lexspark.llm.common import arrow_kinds, record_batch
 from lexspark.operators.sizing import BROADCAST_ROWS
 from lexspark.session import cut_lineage
 
@@ -68,9 +69,10 @@ class Sums:
 
 
 class Anchors(NamedTuple):
+    text: np.ndarray  # number of the text in the list
     name: np.ndarray  # of the anchor's own symbols
     region: np.ndarray  # of all symbols of the windows that it stands for
-    low: np.ndarray  # first and last start of those windows
+    low: np.ndarray  # first and last start of those windows in the text
     high: np.ndarray
 
 
@@ -90,23 +92,43 @@ class Layout:
     units: Callable
     eligible: Callable | None = None
 
-    def anchors(self, symbols: np.ndarray) -> Iterator[tuple[int, Anchors]]:
-        """(offset, anchors of the windows that start in the block at that offset), over the whole text."""
-        for offset in range(0, max(0, len(symbols) - self.window + 1), BLOCK - self.window + 1):
-            yield offset, self._block(symbols[offset : offset + BLOCK])
-
-    def _block(self, symbols: np.ndarray) -> Anchors:
-        first = Sums(symbols, 0)
-        names = first.each(self.context)
+    def anchors(self, texts: list[np.ndarray]) -> Iterator[Anchors]:
+        """Anchors of all windows of the texts. Short texts share a block, long ones are cut into overlapping blocks."""
+        pieces: list[tuple[int, int, np.ndarray]] = []
+        size = 0
+        for i, symbols in enumerate(texts):
+            for offset in range(0, max(0, len(symbols) - self.window + 1), BLOCK - self.window + 1):
+                part = symbols[offset : offset + BLOCK]
+                if size + len(part) > BLOCK:
+                    yield self._block(pieces)
+                    pieces, size = [], 0
+                pieces.append((i, offset, part))
+                size += len(part)
+        if pieces:
+            yield self._block(pieces)
+
+    def _block(self, pieces: list[tuple[int, int, np.ndarray]]) -> Anchors:
+        symbols = np.concatenate([p[2] for p in pieces])
+        lengths = np.array([len(p[2]) for p in pieces])
+        ends = np.cumsum(lengths)
+        names = Sums(symbols, 0).each(self.context)
         ranks = mix(names, 1) >> np.uint64(_POSITION_BITS) << np.uint64(_POSITION_BITS) | np.arange(len(names), dtype=np.uint64)
         if self.eligible:
             ranks[~self.eligible(symbols)[: len(names)]] = np.uint64(2**64 - 1)
         owner = (sliding_min(ranks, self.window - self.context + 1) & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
-        low = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        for end in ends[:-1].tolist():  # windows that would cross into the next text
+            owner[end - self.window + 1 : end] = -1
+        first = np.concatenate([[True], owner[1:] != owner[:-1]])
+        low = np.flatnonzero(first)
         high = np.concatenate([low[1:], [len(owner)]]) - 1
+        inside = owner[low] >= 0
+        low, high = low[inside], high[inside]
         at = owner[low]
         region = Sums(mix(symbols, 2), 1).stretch(low, high + self.window)
-        return Anchors(names[at] & _NAME_BITS, mix(region + (at - low).astype(np.uint64), 3) & _NAME_BITS, low, high)
+        piece = np.searchsorted(ends, low, "right")
+        shift = np.array([p[1] for p in pieces])[piece] - (ends - lengths)[piece]
+        return Anchors(np.array([p[0] for p in pieces])[piece], names[at] & _NAME_BITS,
+                       mix(region + (at - low).astype(np.uint64), 3) & _NAME_BITS, low + shift, high + shift)
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -121,23 +143,33 @@ def _batch(names: list[str], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
+def _portions(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[tuple[list, list[np.ndarray], list[Callable]]]:
+    """(rows, symbols, readers) of about BLOCK units at a time; a row is the tuple of its columns, doc and text first."""
+    rows, symbols, readers, size = [], [], [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *(c[i] for c in batch.columns[2:])
+            own, data = layout.units(row[1])
+            rows.append(row)
+            symbols.append(own)
+            readers.append(data)
+            size += len(own)
+            if size >= BLOCK:
+                yield rows, symbols, readers
+                rows, symbols, readers, size = [], [], [], 0
+    if rows:
+        yield rows, symbols, readers
+
+
 def anchor_rows(docs: DataFrame, layout: Layout) -> DataFrame:
-    """(name, region, doc): distinct anchors of every document (columns doc, text)."""
+    """(name, region, doc): anchors of every document (columns doc, text), one row for equal neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[np.ndarray] = []
-            size = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for _, a in layout.anchors(layout.units(text.as_py())[0]):
-                    pairs = np.unique(np.stack([a.name, a.region], axis=1), axis=0) if len(np.unique(a.region)) < len(a.region) else np.stack([a.name, a.region], axis=1)
-                    out.append(np.concatenate([pairs.view(np.int64), np.full((len(pairs), 1), doc, np.int64)], axis=1))
-                    size += len(pairs)
-                if size >= 1 << 16:
-                    yield _batch(["name", "region", "doc"], list(np.concatenate(out).T.copy()))
-                    out, size = [], 0
-            if out:
-                yield _batch(["name", "region", "doc"], list(np.concatenate(out).T.copy()))
+        for rows, symbols, _ in _portions(batches, layout):
+            keys = np.array([r[0] for r in rows], np.int64)
+            for a in layout.anchors(symbols):
+                new = np.concatenate([[True], (a.region[1:] != a.region[:-1]) | (a.text[1:] != a.text[:-1])])
+                yield _batch(["name", "region", "doc"], [a.name[new].view(np.int64), a.region[new].view(np.int64), keys[a.text[new]]])
 
     return docs.mapInArrow(run, "name long, region long, doc long")
 
@@ -146,20 +178,15 @@ def window_rows(docs: DataFrame, layout: Layout) -> DataFrame:
     """(a, b, doc): 128-bit names of the distinct windows for which the wanted anchors (column wanted, struct<name, region>) of a document stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                symbols, data = layout.units(text.as_py())
-                found: set[tuple[int, int]] = set()
-                for offset, a in layout.anchors(symbols):
-                    for i in np.flatnonzero(_chosen(a, wanted)):
-                        found.update(window_name(data(s, s + layout.window)) for s in range(offset + a.low[i], offset + a.high[i] + 1))
-                out += [(x, y, doc) for x, y in found]
-                if len(out) >= 1 << 16:
-                    yield _batch(["a", "b", "doc"], list(np.array(out, np.int64).T.copy()))
-                    out = []
+        for rows, symbols, readers in _portions(batches, layout):
+            wanted = [_regions(r[2]) for r in rows]
+            out: set[tuple[int, int, int]] = set()
+            for a in layout.anchors(symbols):
+                for i, region, low, high in zip(a.text.tolist(), a.region.tolist(), a.low.tolist(), a.high.tolist()):
+                    if region in wanted[i]:
+                        out.update((*window_name(readers[i](s, s + layout.window)), rows[i][0]) for s in range(low, high + 1))
             if out:
-                yield _batch(["a", "b", "doc"], list(np.array(out, np.int64).T.copy()))
+                yield _batch(["a", "b", "doc"], list(np.array(list(out), np.int64).T.copy()))
 
     return docs.mapInArrow(run, "a long, b long, doc long")
 
@@ -169,12 +196,9 @@ def window_name(data: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _chosen(a: Anchors, wanted: pa.Scalar) -> np.ndarray:
-    if not wanted.is_valid or not len(wanted.values):
-        return np.zeros(len(a.name), bool)
-    pairs = wanted.values
-    chosen = np.isin(a.region, pairs.field("region").to_numpy().view(np.uint64))  # the region's name covers the anchor
-    return chosen & np.isin(a.name, pairs.field("name").to_numpy().view(np.uint64))
+def _regions(pairs: pa.Scalar) -> set[int]:
+    """Names of regions, which tell their anchors' names as well."""
+    return set(pairs.values.field("region").to_pylist()) if pairs.is_valid else set()
 
 
 def split_by_keys(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -216,40 +240,36 @@ def repeated_passages(docs: DataFrame, layout: Layout) -> DataFrame:
     return cut_lineage(settled.join(windows, "doc", "full"))
 
 
-def covered(symbols: np.ndarray, data: Callable, layout: Layout, settled: pa.Scalar | None, windows: pa.Scalar | None) -> np.ndarray:
-    """Mask of the units inside any window that the marks of the document name."""
-    steps = np.zeros(len(symbols) + 1, np.int64)
-    if settled is None:
-        return steps[:-1] > 0
-    names = set(zip(*(windows.values.field(c).to_pylist() for c in ("a", "b")))) if windows.is_valid else set()
-    for offset, a in layout.anchors(symbols):
-        done = _chosen(a, settled)
-        np.add.at(steps, offset + a.low[done], 1)
-        np.add.at(steps, offset + a.high[done] + layout.window, -1)
-        if names:
-            for i in np.flatnonzero(~done):
-                for s in range(offset + a.low[i], offset + a.high[i] + 1):
-                    if window_name(data(s, s + layout.window)) in names:
-                        steps[s] += 1
-                        steps[s + layout.window] -= 1
-    return np.cumsum(steps[:-1]) > 0
+def covered(rows: list, symbols: list[np.ndarray], readers: list[Callable], layout: Layout) -> list[np.ndarray]:
+    """Per text the mask of the units inside any window that the marks of its row (doc, text, settled, windows) name."""
+    steps = [np.zeros(len(s) + 1, np.int64) for s in symbols]
+    if len(rows[0]) > 2:
+        settled = [_regions(r[2]) for r in rows]
+        windows = [set(zip(*(r[3].values.field(c).to_pylist() for c in ("a", "b")))) if r[3].is_valid else set() for r in rows]
+        for a in layout.anchors(symbols):
+            for i, region, low, high in zip(a.text.tolist(), a.region.tolist(), a.low.tolist(), a.high.tolist()):
+                if region in settled[i]:
+                    steps[i][low] += 1
+                    steps[i][high + layout.window] -= 1
+                elif windows[i]:
+                    for s in range(low, high + 1):
+                        if window_name(readers[i](s, s + layout.window)) in windows[i]:
+                            steps[i][s] += 1
+                            steps[i][s + layout.window] -= 1
+    return [np.cumsum(s[:-1]) > 0 for s in steps]
 
 
 def without_repeats(docs: DataFrame, layout: Layout, key: str, text: str, schema: str, result: Callable) -> DataFrame:
     """result(text, symbols, mask of removed units) per row of docs, keyed by `key`."""
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     marks = repeated_passages(texts.where("doc is not null"), layout)
+    names, kinds = [p.split()[0] for p in schema.split(",")], arrow_kinds(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                body = batch.column(1)[i].as_py()
-                symbols, data = layout.units(body)
-                more = [batch.column(c)[i] for c in (2, 3)] if batch.num_columns > 2 else [None, None]
-                out.append((batch.column(0)[i].as_py(), *result(body, symbols, covered(symbols, data, layout, *more))))
-            if out:
-                yield _batch([p.split()[0] for p in schema.split(",")], list(zip(*out)))
+        for rows, symbols, readers in _portions(batches, layout):
+            masks = covered(rows, symbols, readers, layout)
+            out = [(r[0], *result(r[1], s, m)) for r, s, m in zip(rows, symbols, masks)]
+            yield record_batch(names, kinds, list(zip(*out)))
 
     marked, rest = split_by_keys(texts, marks)
     done = marked.select("doc", "text", "settled", "windows").mapInArrow(run, schema)

@@ -58,14 +58,18 @@ def test_anchors_depend_on_their_window_alone():
     symbols = repeats.mix(rng.integers(0, 6, 600).astype(np.uint64))
     symbols[100:130] = symbols[100]
     for layout in (recompression.LAYOUT, suffix_dedup.LAYOUT):
-        for _, a in layout.anchors(symbols):
+        for a in layout.anchors([symbols]):
             for name, low, high in zip(a.name, a.low, a.high):
                 for s in range(low, high + 1):
-                    (_, own), = layout.anchors(symbols[s : s + layout.window])
+                    (own,) = layout.anchors([symbols[s : s + layout.window]])
                     assert own.name[0] == name
-    names = [x for _, a in recompression.LAYOUT.anchors(symbols) for x in a.name]
+    names = [x for a in recompression.LAYOUT.anchors([symbols]) for x in a.name]
     repeats.BLOCK, old = 100, repeats.BLOCK
     try:
-        assert {*names} == {x for _, a in recompression.LAYOUT.anchors(symbols) for x in a.name}
+        assert {*names} == {x for a in recompression.LAYOUT.anchors([symbols]) for x in a.name}
     finally:
         repeats.BLOCK = old
+    many = [symbols[:40], symbols[:5], symbols[40:300], symbols[:0], symbols[290:]]
+    (together,) = recompression.LAYOUT.anchors(many)
+    apart = [(i, *x) for i, m in enumerate(many) for a in recompression.LAYOUT.anchors([m]) for x in zip(a.name, a.region, a.low, a.high)]
+    assert list(zip(*together)) == apart
