@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexspark.llm import bpe, decontamination, language_id, link_rank, recompression, secret_scan, sharding, simhash, suffix_dedup
+from lexspark.llm import ann_forest, bpe, decontamination, language_id, link_rank, recompression, secret_scan, sharding, simhash, suffix_dedup
 from lexspark.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"), 40)
 
@@ -53,6 +57,6 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scans, op2_benchmark_decontamination, op4_sharding, op5_simhash_near_dedup, op6_language_id, op7_url_filters, op8_bpe_round_trip,
+    op1_secret_scans, op2_benchmark_decontamination, op3_nearest_neighbours, op4_sharding, op5_simhash_near_dedup, op6_language_id, op7_url_filters, op8_bpe_round_trip,
     op9_substring_dedup, op10_suffix_array_dedup)}
 ORACLE: dict[str, str] = {}
