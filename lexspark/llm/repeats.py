@@ -24,8 +24,10 @@ from lexspark.session import cut_lineage
 # units of a text handled at once; longer texts go through in overlapping blocks
 BLOCK = 1 << 18
 _POSITION_BITS = 18
+# open regions of a name that are merged in one task, at most
+GROUP = 4096
 _BASES = (0x9E3779B97F4A7C17 | 3, 0xC2B2AE3D27D4EB4F | 3)
-_NAME_BITS = np.uint64((1 << 56) - 1)
+_NAME_BITS = np.uint64((1 << 48) - 1)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -85,12 +87,16 @@ class Layout:
     eligible: symbols -> mask of the context starts that may be anchors; every
     window - context + 1 consecutive starts hold one, and whether a start is
     one depends on its context alone. None: all starts.
+    merge: (stretches, docs, window) -> per stretch a bit mask of the windows that a smaller
+    doc's stretch holds too; it gets all stretches that share an anchor's name
+    together. window - context is below 63 then. None: windows are compared by their hashes.
     """
 
     window: int
     context: int
     units: Callable
     eligible: Callable | None = None
+    merge: Callable | None = None
 
     def anchors(self, texts: list[np.ndarray]) -> Iterator[Anchors]:
         """Anchors of all windows of the texts. Short texts share a block, long ones are cut into overlapping blocks."""
@@ -112,7 +118,8 @@ class Layout:
         lengths = np.array([len(p[2]) for p in pieces])
         ends = np.cumsum(lengths)
         names = Sums(symbols, 0).each(self.context)
-        ranks = mix(names, 1) >> np.uint64(_POSITION_BITS) << np.uint64(_POSITION_BITS) | np.arange(len(names), dtype=np.uint64)
+        # the smallest high bits win, a name is the low bits
+        ranks = names >> np.uint64(_POSITION_BITS) << np.uint64(_POSITION_BITS) | np.arange(len(names), dtype=np.uint64)
         if self.eligible:
             ranks[~self.eligible(symbols)[: len(names)]] = np.uint64(2**64 - 1)
         owner = (sliding_min(ranks, self.window - self.context + 1) & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
@@ -124,7 +131,7 @@ class Layout:
         inside = owner[low] >= 0
         low, high = low[inside], high[inside]
         at = owner[low]
-        region = Sums(mix(symbols, 2), 1).stretch(low, high + self.window)
+        region = Sums(symbols, 1).stretch(low, high + self.window)
         piece = np.searchsorted(ends, low, "right")
         shift = np.array([p[1] for p in pieces])[piece] - (ends - lengths)[piece]
         return Anchors(np.array([p[0] for p in pieces])[piece], names[at] & _NAME_BITS,
@@ -191,6 +198,49 @@ def window_rows(docs: DataFrame, layout: Layout) -> DataFrame:
     return docs.mapInArrow(run, "a long, b long, doc long")
 
 
+def stretch_rows(docs: DataFrame, layout: Layout) -> DataFrame:
+    """(name, region, doc, data): the units under the windows of every wanted anchor of a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, symbols, readers in _portions(batches, layout):
+            wanted = [_regions(r[2]) for r in rows]
+            out: dict[tuple[int, int], tuple] = {}
+            for a in layout.anchors(symbols):
+                for i, region, name, low, high in zip(a.text.tolist(), a.region.tolist(), a.name.tolist(), a.low.tolist(), a.high.tolist()):
+                    if region in wanted[i]:
+                        out[rows[i][0], region] = name, region, rows[i][0], readers[i](low, high + layout.window)
+            if out:
+                yield _batch(["name", "region", "doc", "data"], list(zip(*out.values())))
+
+    return docs.mapInArrow(run, "name long, region long, doc long, data binary")
+
+
+def merged_rows(stretches: DataFrame, layout: Layout) -> DataFrame:
+    """(region, doc, mask): windows of a stretch that a smaller doc's stretch holds too. Stretches of a name lie together, GROUP at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def merged() -> pa.RecordBatch:
+            masks = layout.merge([r[3] for r in held], np.array([r[2] for r in held], np.int64), layout.window)
+            some = np.flatnonzero(masks)
+            return _batch(["region", "doc", "mask"], [np.array([held[i][c] for i in some], np.int64) for c in (1, 2)] + [masks[some]])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if size >= BLOCK and row[0] != held[-1][0]:
+                    yield merged()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield merged()
+
+    placed = stretches.repartition("name").sortWithinPartitions("name").select("name", "region", "doc", "data")
+    return placed.mapInArrow(run, "region long, doc long, mask long")
+
+
 def window_name(data: bytes) -> tuple[int, int]:
     digest = xxhash.xxh3_128_digest(data)
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
@@ -214,7 +264,7 @@ def split_by_keys(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def repeated_passages(docs: DataFrame, layout: Layout) -> DataFrame:
-    """(doc, settled array<struct<name, region>>, windows array<struct<a, b>>): what an earlier document holds too, per document
+    """(doc, settled array<struct<name, region>>, windows array<struct<a, b>>, partial array<struct<region, mask>>): what an earlier document holds too, per document
     (columns doc, text; doc not null) with any.
 
     Rounds, each over what the last left open:
@@ -222,36 +272,53 @@ def repeated_passages(docs: DataFrame, layout: Layout) -> DataFrame:
     2. anchors by region: a region that starts in an earlier document settles
        all windows of the anchor, and such windows are nobody's first
        occurrence, so they need not be looked at again;
-    3. only where a name has several open regions, their windows by content.
+    3. only where a name has several open regions, their windows: by merging
+       the stretches of a name (layout.merge), or, for names with more than
+       GROUP open regions and layouts without a merge, by content.
     Minima are combined before every shuffle; a name that many documents share
     is one row per task there, and joins against unique rows after that.
     """
     rows = anchor_rows(docs, layout)
     shared = rows.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("name")
     rows = cut_lineage(rows.join(shared, "name"))
+    del shared  # the written rows are all that is needed; without references Spark may drop the shuffle files
     classes = cut_lineage(rows.groupBy("name", "region").agg(F.min("doc").alias("first")))
     settled = rows.join(classes, ["name", "region"]).where("first < doc").groupBy("doc").agg(F.collect_set(F.struct("name", "region")).alias("settled"))
-    several = classes.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    wanted = classes.join(several, "name").groupBy(F.col("first").alias("doc")).agg(F.collect_set(F.struct("name", "region")).alias("wanted"))
-    wanted = cut_lineage(wanted)
-    open_windows = cut_lineage(window_rows(split_by_keys(docs, wanted)[0].select("doc", "text", "wanted"), layout))
+    several = classes.groupBy("name").agg(F.count("*").alias("n"), F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("name", "n")
+    opened = classes.join(several, "name").withColumn("alone", F.col("n") > (GROUP if layout.merge else 0))
+    wanted = cut_lineage(opened.groupBy("alone", F.col("first").alias("doc")).agg(F.collect_set(F.struct("name", "region")).alias("wanted")))
+    texts = lambda alone: split_by_keys(docs, wanted.where(F.col("alone") == alone).drop("alone"))[0].where("wanted is not null").select("doc", "text", "wanted")
+    open_windows = cut_lineage(window_rows(texts(True), layout))
     firsts = open_windows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first")
     windows = open_windows.join(firsts, ["a", "b"]).where("first < doc").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("windows"))
-    return cut_lineage(settled.join(windows, "doc", "full"))
+    marks = settled.join(windows, "doc", "full")
+    if layout.merge:
+        masks = merged_rows(stretch_rows(texts(False), layout), layout)
+        marks = marks.join(masks.groupBy("doc").agg(F.collect_set(F.struct("region", "mask")).alias("partial")), "doc", "full")
+    else:
+        marks = marks.withColumn("partial", F.lit(None).cast("array<struct<region:long,mask:long>>"))
+    return cut_lineage(marks)
 
 
 def covered(rows: list, symbols: list[np.ndarray], readers: list[Callable], layout: Layout) -> list[np.ndarray]:
-    """Per text the mask of the units inside any window that the marks of its row (doc, text, settled, windows) name."""
+    """Per text the mask of the units inside any window that the marks of its row (doc, text, settled, windows, partial) name."""
     steps = [np.zeros(len(s) + 1, np.int64) for s in symbols]
     if len(rows[0]) > 2:
         settled = [_regions(r[2]) for r in rows]
+        partial = [dict(zip(*(r[4].values.field(c).to_pylist() for c in ("region", "mask")))) if r[4].is_valid else {} for r in rows]
         windows = [set(zip(*(r[3].values.field(c).to_pylist() for c in ("a", "b")))) if r[3].is_valid else set() for r in rows]
         for a in layout.anchors(symbols):
             for i, region, low, high in zip(a.text.tolist(), a.region.tolist(), a.low.tolist(), a.high.tolist()):
                 if region in settled[i]:
                     steps[i][low] += 1
                     steps[i][high + layout.window] -= 1
-                elif windows[i]:
+                    continue
+                if mask := partial[i].get(region):
+                    for s in range(high - low + 1):
+                        if mask >> s & 1:
+                            steps[i][low + s] += 1
+                            steps[i][low + s + layout.window] -= 1
+                if windows[i]:
                     for s in range(low, high + 1):
                         if window_name(readers[i](s, s + layout.window)) in windows[i]:
                             steps[i][s] += 1
@@ -272,7 +339,7 @@ def without_repeats(docs: DataFrame, layout: Layout, key: str, text: str, schema
             yield record_batch(names, kinds, list(zip(*out)))
 
     marked, rest = split_by_keys(texts, marks)
-    done = marked.select("doc", "text", "settled", "windows").mapInArrow(run, schema)
+    done = marked.select("doc", "text", "settled", "windows", "partial").mapInArrow(run, schema)
     return done if rest is None else done.unionByName(rest.select("doc", "text").mapInArrow(run, schema))
 
 

@@ -1,4 +1,4 @@
-"""Substring dedup on bytes over sampled suffixes whose shards are merged by refinement rounds."""
+"""Substring dedup on bytes: Burrows-Wheeler transforms of stretches, merged by interleave refinement."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from lexspark.llm.repeats import Layout, mix, sha256, without_repeats
 
 WINDOW = 50
-CONTEXT = 10
+# bytes that name an anchor: long enough that few texts share one by chance
+CONTEXT = 20
 _SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64), 7)
 
 
@@ -17,12 +18,68 @@ def units(text: str | None):
     return _SYMBOLS[np.frombuffer(data, np.uint8)], lambda start, end: data[start:end]
 
 
-LAYOUT = Layout(WINDOW, CONTEXT, units)
+class Transform:
+    """Burrows-Wheeler transforms of byte strings, one shard each, as one row of places: a place is a rotation of its own string,
+    before is the place one byte earlier, and last is the transform's symbol, the byte before the rotation."""
+
+    def __init__(self, strings: list[bytes]):
+        lengths = np.array([len(s) for s in strings])
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        self.text = np.frombuffer(b"".join(strings), np.uint8)
+        self.before = np.arange(-1, len(self.text) - 1, dtype=np.int32)
+        self.before[self.starts] = self.ends - 1
+        self.last = self.text[self.before]
+
+    def merge(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(order, heads): the interleave of all shards that is right for the first `depth` bytes, and where its intervals of rotations
+        with `depth` bytes in common begin.
+
+        A round walks the interleave and deals every place's predecessor out by
+        the transform's symbol, keeping the order within a symbol. What was right
+        for k bytes then is right for k + 1; an interval splits where the symbol
+        or the interval walked changes, and there the common prefix has k bytes.
+        Two symbols are dealt by at once, so a round adds two bytes. No suffix is ever compared with another.
+        """
+        order = np.arange(len(self.text), dtype=np.int32)
+        heads = np.zeros(len(order), bool)
+        heads[:1] = True
+        two = self.last[self.before].astype(np.uint16) << 8 | self.last
+        steps = [(self.last, self.before)] * (depth % 2) + [(two, self.before[self.before])] * (depth // 2)
+        for dealt_by, back in steps:
+            symbols = dealt_by[order]
+            deal = np.argsort(symbols, kind="stable")
+            interval = np.cumsum(heads, dtype=np.int32)[deal]
+            symbols = symbols[deal]
+            order = back[order[deal]]
+            heads[1:] = (symbols[1:] != symbols[:-1]) | (interval[1:] != interval[:-1])
+        return order, heads
+
+
+def repeated_windows(stretches: list[bytes], docs: np.ndarray, window: int) -> np.ndarray:
+    """Per stretch the bit mask of the starts of windows that a stretch of a smaller doc holds too."""
+    shards = Transform(stretches)
+    order, heads = shards.merge(window)
+    string = np.searchsorted(shards.ends, order, "right")
+    whole = order + window <= shards.ends[string]  # rotations that wrap within the window are no window
+    owner = np.where(whole, docs[string], np.iinfo(np.int64).max)
+    least = np.minimum.reduceat(owner, np.flatnonzero(heads))[np.cumsum(heads) - 1]
+    late = whole & (least < owner)
+    masks = np.zeros(len(stretches), np.int64)
+    np.bitwise_or.at(masks, string[late], np.int64(1) << (order[late] - shards.starts[string[late]]))
+    return masks
+
+
+LAYOUT = Layout(WINDOW, CONTEXT, units, merge=repeated_windows)
 
 
 def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) and, with keep_bytes, kept binary; one row per row of docs.
 
+    Whole repeats are found by anchors (see repeats.repeated_passages); where
+    texts part within reach of an anchor, the stretches around it are merged as
+    Burrows-Wheeler transforms, whose repeated intervals tell the windows.
+
     Bytes inside a string of 50 that also starts in a document with a smaller
     key are removed; strings are judged on the input and never cross documents.
     Null and empty texts have no bytes, shorter texts no string. Rows with a

@@ -73,3 +73,26 @@ def test_anchors_depend_on_their_window_alone():
     (together,) = recompression.LAYOUT.anchors(many)
     apart = [(i, *x) for i, m in enumerate(many) for a in recompression.LAYOUT.anchors([m]) for x in zip(a.name, a.region, a.low, a.high)]
     assert list(zip(*together)) == apart
+
+
+def test_merged_transforms():
+    rng = random.Random(6)
+    stretches = [bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 30))) for _ in range(60)] + [b"a" * 20, b"a" * 12]
+    docs = np.array([rng.randint(0, 20) for _ in stretches], np.int64)
+    order, heads = suffix_dedup.Transform(stretches).merge(8)
+    places = [(s + s)[i : i + 8] for s in stretches for i in range(len(s))]
+    assert [places[i] for i in order] == sorted(places)
+    assert heads.sum() == len({*places})
+    first = {}
+    for s, d in sorted(zip(stretches, docs.tolist()), key=lambda x: x[1]):
+        for i in range(len(s) - 7):
+            first.setdefault(s[i : i + 8], d)
+    want = [sum(1 << i for i in range(len(s) - 7) if first[s[i : i + 8]] < d) for s, d in zip(stretches, docs.tolist())]
+    assert suffix_dedup.repeated_windows(stretches, docs, 8).tolist() == want
+
+
+def test_names_with_too_many_regions(frame, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", 2)
+    rows = planted(5)
+    got = suffix_dedup.remove_repeated_bytes(frame(rows)).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["n_spans"]) for r in got) == sorted((k, n, m) for k, _, n, m, _ in brute.repeated_bytes(rows))
