@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexspark import fixed_values as fv
 from lexspark.functions.markdown import claims
 from lexspark.functions.text import is_placeholder, strip
 from lexspark.operators.graph_build import Graph
@@ -59,14 +58,17 @@ def gather_sources(questions: DataFrame, graph: Graph, docs: DataFrame) -> DataF
     found = documents_sharing_words(left.select("query_id", "text"), docs).join(docs, "doc_key")
     loose = found.select(
         "query_id", F.lit("documents").alias("layer"), F.col("rank").alias("pos"), F.col("doc_key").alias("label"),
-        F.concat(F.lit("["), "doc_key", F.lit("]\n"), F.substr("text", F.lit(1), F.lit(fv.CHUNK_SIZE))).alias("body"))
+        F.concat(F.lit("["), "doc_key", F.lit("]\n"), "text").alias("body"))
     return union_all([cited, searched, loose])
 
 
-def extractive_draft(sources: DataFrame) -> DataFrame:
+def extractive_draft(sources: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Default drafter: the first sentence of the first source that reads as a
-    claim; (query_id, draft) only where there is one."""
+    claim; (query_id, draft) only where there is one. max_chars limits what is
+    read of a source."""
     first = sources.groupBy("query_id").agg(F.min_by("body", "pos").alias("body"))
+    if max_chars is not None:
+        first = first.withColumn("body", F.substr("body", F.lit(1), F.lit(max_chars)))
     drafted = first.select("query_id", F.try_element_at(claims(F.regexp_replace("body", r"^\[[^\]]*\][^\n]*\n", "")), F.lit(1)).alias("draft"))
     return drafted.where("draft IS NOT NULL")
 

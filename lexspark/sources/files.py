@@ -1,8 +1,8 @@
 """Files to documents: text, tables, pages; one reader per extension.
 
-Every reader returns (doc_key, text). A file is one document; a table file
-larger than `split_bytes` becomes several documents (`key#n`, one per stretch
-of the file), so that no single task has to hold an arbitrarily large file.
+Every reader returns (doc_key, text). A file is one document; of a table file
+every ROWS_PER_PART rows are one (`key`, `key#1`, ...), so that no single task
+has to hold an arbitrarily large file and splits do not change the result.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from lexspark.functions.chunking import chunk_recursive
 from lexspark.functions.text import file_slug, file_stem, paragraphs
 from lexspark.operators.sizing import union_all
 from lexspark.plugins import extract_pages
-from lexspark.operators.rows import explode_rows, posexplode_rows
+from lexspark.operators.rows import explode_rows, number_in_order, posexplode_rows
 
-SPLIT_BYTES = 64 << 20
+# rows of a table file that make one document, whatever the file's size and splits
+ROWS_PER_PART = 100_000
 TEXT_GLOB, TABLE_GLOB, PARQUET_GLOB, BINARY_GLOB = "*.{txt,md}", "*.csv", "*.parquet", "*.{pdf,docx,xls,xlsx,pptx}"
 
 
@@ -43,33 +44,34 @@ def _joined_in_order(cell: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "i", cell.alias("v")))), lambda s: s["v"]), " ")
 
 
-def _rows_to_documents(rows: DataFrame, root: str, cells: list[Column], split_bytes: int) -> DataFrame:
-    """Cells of a file in row order (or column by column for several cells)."""
-    part = F.when(F.col("_metadata.file_size") > split_bytes, F.col("_metadata.file_block_start")).otherwise(F.lit(-1))
+def _rows_to_documents(rows: DataFrame, root: str, cells: list[Column], rows_per_part: int) -> DataFrame:
+    """Cells of each rows_per_part rows of a file, in row order (or column by
+    column for several cells). Later parts of a file have #1, #2, ... in their key."""
     placed = rows.select(
-        static_key(root, F.col("_metadata.file_path")).alias("k"), part.alias("part"), F.col("_metadata.file_block_start").alias("b"),
+        static_key(root, F.col("_metadata.file_path")).alias("k"), F.col("_metadata.file_block_start").alias("b"),
         F.monotonically_increasing_id().alias("i"), *[x.alias(f"v{n}") for n, x in enumerate(cells)])
-    listed = placed.groupBy("k", "part").agg(
+    numbered = number_in_order(placed, ["k"], ["b", "i"], "at").withColumn("part", F.floor(F.col("at") / rows_per_part))
+    listed = numbered.groupBy("k", "part").agg(
         *[_joined_in_order(F.col(f"v{n}")).alias(f"t{n}") for n in range(len(cells))])
-    key = F.when(F.col("part") < 0, F.col("k")).otherwise(F.concat("k", F.lit("#"), F.col("part").cast("string")))
+    key = F.when(F.col("part") == 0, F.col("k")).otherwise(F.concat("k", F.lit("#"), F.col("part").cast("string")))
     return listed.select(key.alias("doc_key"), F.concat_ws(" ", *[f"t{n}" for n in range(len(cells))]).alias("text"))
 
 
-def read_tables(spark: SparkSession, root: str, glob: str = TABLE_GLOB, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_tables(spark: SparkSession, root: str, glob: str = TABLE_GLOB, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """CSV files flattened row by row; files may differ in their columns. Empty
     cells are left out."""
     lines = _reader(spark, glob).text(root)
     widest = lines.agg(F.max(F.regexp_count("value", F.lit(","))).alias("n")).first()["n"]
     schema = ", ".join(f"c{i} string" for i in range((widest or 0) + 1))
     rows = _reader(spark, glob).schema(schema).option("header", "true").option("enforceSchema", "true").option("escape", '"').csv(root)
-    return _rows_to_documents(rows, root, [F.concat_ws(" ", *rows.columns)], split_bytes)
+    return _rows_to_documents(rows, root, [F.concat_ws(" ", *rows.columns)], rows_per_part)
 
 
-def read_parquet_texts(spark: SparkSession, root: str, glob: str = PARQUET_GLOB, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_parquet_texts(spark: SparkSession, root: str, glob: str = PARQUET_GLOB, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """The string columns of Parquet files, one column after the other."""
     rows = _reader(spark, glob).option("mergeSchema", "true").parquet(root)
     names = [f.name for f in rows.schema.fields if f.dataType.typeName() == "string"]
-    return _rows_to_documents(rows, root, [F.col(f"`{n}`") for n in names], split_bytes)
+    return _rows_to_documents(rows, root, [F.col(f"`{n}`") for n in names], rows_per_part)
 
 
 def read_pages(spark: SparkSession, root: str, extractor=None, glob: str = BINARY_GLOB) -> DataFrame:

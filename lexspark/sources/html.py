@@ -91,7 +91,9 @@ def pdf_link(pages: DataFrame) -> DataFrame:
 
 def reachable(starts: DataFrame, found: DataFrame, depth: int) -> DataFrame:
     """(url, depth) of pages reached from the start urls over at most depth
-    links; each level is written out and known pages are removed from it."""
+    links; the links are extracted once, each level is written out and known pages
+    are removed from it."""
+    found = cut_lineage(found)
     seen = starts.select("url").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for level in range(1, depth + 1):

@@ -16,6 +16,7 @@ from lexspark.functions.messages import intent
 from lexspark.functions.text import clean_context, scrub_marks
 from lexspark.operators.verify import audit_citations
 from lexspark.operators.rows import posexplode_rows
+from lexspark.operators.session_chunks import append_chunks
 
 
 def _append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
@@ -40,16 +41,38 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str],
 
 
 def upload_chunks(uploads: DataFrame, chunker=chunk_fixed) -> DataFrame:
-    """(chunk_key, session_id, filename, chunk_no, text) of uploaded files
-    (session_id, filename, text): scrubbed, cleaned, chunked, keyed."""
-    cleaned = uploads.withColumn("text", clean_context(scrub_marks(F.col("text"))))
-    chunks = posexplode_rows(cleaned, ["session_id", "filename"], chunker(F.col("text")), "chunk_no", "chunk").withColumnRenamed("chunk", "text").where("text <> ''")
-    key = F.concat(F.lit("session::"), "filename", F.lit("::"), F.col("chunk_no").cast("string"))
-    return chunks.select(key.alias("chunk_key"), "session_id", "filename", "chunk_no", "text")
+    """(session_id, filename, upload, seq, text) of uploaded files (session_id,
+    filename, text): scrubbed, cleaned, chunked. upload is a hash of the text."""
+    hashed = uploads.withColumn("upload", F.sha2(F.coalesce("text", F.lit("")), 256))
+    cleaned = hashed.withColumn("text", clean_context(scrub_marks(F.col("text"))))
+    return posexplode_rows(cleaned, ["session_id", "filename", "upload"], chunker(F.col("text")), "seq", "chunk").withColumnRenamed("chunk", "text").where("text <> ''")
 
 
-def stream_uploads(uploads: DataFrame, path: str, checkpoint: str, **options):
-    return run_to_table(upload_chunks(uploads), path, checkpoint, ["session_id", "chunk_key"], **options)
+def _append_uploads(batch: DataFrame, path: str) -> None:
+    """Appends the chunks of texts that the table does not hold under their
+    session and name yet; a name with another text goes on with its numbers."""
+    spark = batch.sparkSession
+    fresh = batch.dropDuplicates(["session_id", "filename", "upload", "seq"])
+    stored = None
+    try:
+        stored = spark.read.parquet(path)
+        fresh = fresh.join(stored.select("session_id", "filename", "upload").distinct(), ["session_id", "filename", "upload"], "left_anti")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    placed = fresh.withColumn("seq", F.struct("upload", "seq"))
+    numbered = append_chunks(placed, stored).withColumnRenamed("n", "chunk_no")
+    numbered.select("chunk_key", "session_id", "filename", "upload", "chunk_no", "text").write.mode("append").parquet(path)
+
+
+def stream_uploads(uploads: DataFrame, path: str, checkpoint: str, continuous: bool = False, chunker=chunk_fixed):
+    """A delivery is known by session, name and text: the same file again adds
+    nothing, another text under a used name adds its chunks after those stored."""
+    writer = upload_chunks(uploads, chunker).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, _: _append_uploads(b, path))
+    query = (writer if continuous else writer.trigger(availableNow=True)).start()
+    if not continuous:
+        query.awaitTermination()
+    return query
 
 
 def stream_audits(answers: DataFrame, provisions: DataFrame, path: str, checkpoint: str, **options):

@@ -28,15 +28,18 @@ def test_corpus_scan(spark, tmp_path):
     assert (report["n_files"], report["n_chars"]) == (2, 21)
 
 
-def test_large_table_files_become_several_documents(spark, tmp_path):
+def test_parts_of_table_files_do_not_depend_on_splits(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a\n" + "".join(f"row{i}\n" for i in range(2000)))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-    try:
-        got = files.read_tables(spark, str(tmp_path), split_bytes=1000).collect()
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert len(got) > 1
-    assert sorted(w for r in got for w in r["text"].split()) == sorted(f"row{i}" for i in range(2000))
+    seen = []
+    for split in ("4096", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            seen.append({r["doc_key"]: r["text"] for r in files.read_tables(spark, str(tmp_path), rows_per_part=700).collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1]
+    rows = [f"row{i}" for i in range(2000)]
+    assert seen[0] == {"static::t.csv": " ".join(rows[:700]), "static::t.csv#1": " ".join(rows[700:1400]), "static::t.csv#2": " ".join(rows[1400:])}
 
 
 def test_pages_survive_a_bad_file(spark, tmp_path):
@@ -155,6 +158,20 @@ def test_streams_ignore_what_was_delivered_before(spark, tmp_path):
     assert rows.where("filename = 'g'").first()["text"] == "hello"
 
 
+def test_another_text_under_a_used_name_is_kept(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "session_id string, filename string, text string"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    for text in ("first text", "second text", "first text", "z" * 1600):
+        spark.createDataFrame([("s", "f", text), ("t", "f", "own")], schema).coalesce(1).write.mode("append").parquet(src)
+    jobs.stream_uploads(stream(), out, str(tmp_path / "a"))
+    jobs.stream_uploads(stream(), out, str(tmp_path / "b"))
+    rows = spark.read.parquet(out)
+    assert sorted(r["chunk_no"] for r in rows.where("session_id = 's'").collect()) == [0, 1, 2, 3]
+    assert {r["text"] for r in rows.where("session_id = 's'").collect()} >= {"first text", "second text"}
+    assert rows.where("session_id = 't'").count() == 1 and rows.count() == rows.select("session_id", "chunk_key").distinct().count()
+
+
 def test_first_greeting_stream(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "session_id string, turn int, text string"
