@@ -15,8 +15,10 @@ from lexspark.session import cut_lineage
 # vectors that the trees' splits are fitted on, at most; every vector is indexed whatever their number
 FIT_ROWS = 50_000
 TREES = 16
-# fitted vectors of a leaf
+# fitted vectors of a leaf, or more where a tree would have over about LEAVES leaves:
+# so what a query emits, one short list a visited leaf, does not grow with the table
 LEAF = 256
+LEAVES = 64
 # a query visits leaves of all trees until they hold this share of the fitted vectors, counted with repeats
 SEARCH_SHARE = 1.0
 # vectors or queries that one block of a leaf holds
@@ -134,6 +136,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
     n = entries.count()
     sample = entries.where(F.pmod("entry", F.lit(1 << 20)) < F.lit(int(min(1.0, 1.2 * fit_rows / n) * (1 << 20)) + 1)).orderBy("entry").limit(fit_rows).select("v")
     fitted = _unit(_matrix(sample.toArrow().column(0).combine_chunks()))
+    leaf = max(leaf, -(-len(fitted) // LEAVES))
     rng = np.random.default_rng(seed)
     forest = spark.sparkContext.broadcast([fit_tree(fitted, leaf, rng) for _ in range(trees)])
     wanted = max(int(share * len(fitted)), 16 * leaf)
