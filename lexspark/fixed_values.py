@@ -315,20 +315,18 @@ COMPLIANCE_ALIASES = {
 }
 COMPLIANCE_ORDER = ["Compliant", "Potential issue", "Non-compliant"]
 
-# column aliases of the flexible-header reader, by priority
-QUESTION_ALIASES = (
-    "question question_text prompt prompt_text task task_text query query_text scenario scenario_text case case_like "
-    "instruction instructions title summary description body content doc_task document_task document_tasks"
-).split()
-COLUMN_ALIASES = {
-    "gold_answer": "gold_answer reference reference_answer ideal_answer target expected expected_output answer_ref label_text solution explanation".split(),
-    "domain": "domain legal_domain finance_domain area topic".split(),
-    "complexity": "complexity level difficulty grade".split(),
-    "expected_keywords": "expected_keywords keywords key_terms".split(),
-    "expected_citations": "expected_citations citations sources".split(),
-    "compliance_class": "compliance_class risk_class class risk_level compliance_status label category".split(),
-}
-COLUMN_DEFAULTS = {
-    "gold_answer": "", "domain": "unspecified", "complexity": "intermediate",
-    "expected_keywords": "", "expected_citations": "", "compliance_class": "",
+# question columns of the flexible-header reader: target -> (headers by priority, default where none is there)
+QUESTION_COLUMNS = {
+    "question": ("question question_text prompt prompt_text task task_text query query_text scenario scenario_text case case_like "
+                 "instruction instructions title summary description body content doc_task document_task document_tasks".split(), None),
+    "gold_answer": ("gold_answer reference reference_answer ideal_answer target expected expected_output answer_ref label_text solution explanation".split(), ""),
+    "domain": ("domain legal_domain finance_domain area topic".split(), "unspecified"),
+    "complexity": ("complexity level difficulty grade".split(), "intermediate"),
+    "expected_keywords": ("expected_keywords keywords key_terms".split(), ""),
+    "expected_citations": ("expected_citations citations sources".split(), ""),
+    "compliance_class": ("compliance_class risk_class class risk_level compliance_status label category".split(), ""),
 }
+# without a question header, a column of this median length can be the question
+QUESTION_MEDIAN_CHARS = 10
+# of files that share a base name the one with the first of these extensions is read
+QUESTION_EXTENSIONS = ["csv", "parquet"]

@@ -284,7 +284,7 @@ def _g3(spark, sf):
     msgs = _stream(spark, sf, "conversations").select(
         F.col("conv_id").alias("session_id"), "turn", F.when(F.col("role") == "user", F.concat(F.lit("thanks"), F.lit("!"))).otherwise(F.col("text")).alias("text"))
     jobs.stream_first_greetings(msgs, path, f"{path}-state")
-    return spark.read.parquet(path)
+    return jobs.stored_first_greetings(spark.read.parquet(path))
 
 
 QUERIES.update({

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexspark import fixed_values as fv
 from lexspark.functions.text import complexity_label, compliance_label
@@ -24,39 +24,55 @@ def _snake(name: str) -> str:
     return "_".join(name.strip().lower().split()).replace("-", "_")
 
 
+def _longest_column(rows: DataFrame) -> str | None:
+    """The column with the longest median text, if that is long enough for a question; the first one among equals."""
+    lengths = [F.struct(F.lit(at).alias("at"), F.length(_named(c).cast("string")).alias("n")) for at, c in enumerate(rows.columns)]
+    medians = rows.select(F.inline(F.array(*lengths))).groupBy("at").agg(F.percentile("n", 0.5).alias("median"))
+    best = medians.where(F.col("median") >= fv.QUESTION_MEDIAN_CHARS).agg(F.min(F.struct(-F.col("median"), "at")).alias("best")).first()["best"]
+    return rows.columns[best["at"]] if best else None
+
+
+def _named(column: str) -> Column:
+    return F.col(f"`{column}`")
+
+
 def align_columns(rows: DataFrame, source_file: str) -> DataFrame:
-    """Free headers to the question columns: aliases by priority, else the text
-    column with the longest median, else all columns composed."""
-    df = rows.toDF(*[_snake(c) for c in rows.columns])
-    pick = lambda names: next((n for n in names if n in df.columns), None)
-    question = pick(fv.QUESTION_ALIASES)
-    if question is None:
-        medians = df.agg(*[F.percentile(F.length(F.col(c).cast("string")), 0.5).alias(c) for c in df.columns]).first().asDict()
-        long = {c: m for c, m in medians.items() if m is not None and m >= 10}
-        if long:
-            question = max(long, key=long.get)
-        else:
-            question = "__composed__"
-            df = df.withColumn(question, F.concat_ws(" | ", *df.columns))
-    names = {question: "question"}
-    for target, aliases in fv.COLUMN_ALIASES.items():
-        found = pick(aliases)
-        if found and found not in names:
-            names[found] = target
-    df = df.withColumnsRenamed(names)
-    for column, default in fv.COLUMN_DEFAULTS.items():
-        if column not in df.columns:
-            df = df.withColumn(column, F.lit(default))
-    return df.withColumns({
-        "domain": F.replace(F.trim("domain"), F.lit("_"), F.lit(" ")),
-        "complexity": complexity_label(F.col("complexity")),
-        "compliance_class": compliance_label(F.col("compliance_class")),
+    """Free headers to the declared question columns, in one projection.
+
+    A target takes the present header of highest priority, or its default. A
+    table without a question header asks its longest column, else all its
+    columns in one line. Headers that serve no target are kept behind.
+    """
+    table = rows.toDF(*[_snake(c) for c in rows.columns])
+    present = {target: min(set(table.columns) & set(headers), key=headers.index, default=None) for target, (headers, _) in fv.QUESTION_COLUMNS.items()}
+    asked = present.pop("question") or _longest_column(table)
+    served = {target: header for target, header in present.items() if header not in (None, asked)}
+    value = lambda target: _named(served[target]) if target in served else F.lit(fv.QUESTION_COLUMNS[target][1])
+    shaped = {target: value(target) for target in present} | {
+        "question": _named(asked) if asked else F.concat_ws(" | ", *map(_named, table.columns)),
+        "domain": F.replace(F.trim(value("domain")), F.lit("_"), F.lit(" ")),
+        "complexity": complexity_label(value("complexity")),
+        "compliance_class": compliance_label(value("compliance_class")),
         "source_file": F.lit(source_file),
-    })
+    }
+    rest = [c for c in table.columns if c not in (asked, "source_file", *served.values())]
+    return table.select(*[column.alias(target) for target, column in shaped.items()], *map(_named, rest))
+
+
+def discover_files(spark: SparkSession, folder: str) -> list[str]:
+    """Question files of a folder, in order of their base names: one a base name, the first extension wins. Only names are read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(fv.QUESTION_EXTENSIONS) + "}").load(folder)
+    parts = listed.select("path", F.regexp_extract("path", r"([^/]+)[.][^./]+$", 1).alias("base"), F.regexp_extract("path", r"[.]([^./]+)$", 1).alias("extension"))
+    priority = F.array_position(F.array(*map(F.lit, fv.QUESTION_EXTENSIONS)), F.col("extension"))
+    return [r["path"] for r in parts.groupBy("base").agg(F.min_by("path", priority).alias("path")).orderBy("base").collect()]
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("header", "true").option("escape", '"').csv(path)
+    """One question file, or a folder of CSV parts."""
+    if path.endswith(".parquet"):
+        raw = spark.read.parquet(path)
+    else:
+        raw = spark.read.option("header", "true").option("escape", '"').csv(path)
     return align_columns(raw, path.rstrip("/").rsplit("/", 1)[-1])
 
 

@@ -87,4 +87,10 @@ def first_greetings(messages: DataFrame) -> DataFrame:
 
 
 def stream_first_greetings(messages: DataFrame, path: str, checkpoint: str, **options):
-    return run_to_table(messages, path, checkpoint, ["session_id"], first_greetings, **options)
+    """Every batch adds its smallest greeting turn per session; see stored_first_greetings."""
+    return run_to_table(messages, path, checkpoint, ["session_id", "turn"], first_greetings, **options)
+
+
+def stored_first_greetings(stored: DataFrame) -> DataFrame:
+    """(session_id, turn): the smallest turn that any batch found, whatever order the turns came in."""
+    return stored.groupBy("session_id").agg(F.min("turn").alias("turn"))

@@ -119,6 +119,16 @@ def test_questions(spark, tmp_path):
     plain = tmp_path / "p.csv"
     plain.write_text("a,b\nshort,this is the longest column\n")
     assert questions.read_any(spark, str(plain)).first()["question"] == "this is the longest column"
+    short = tmp_path / "c.csv"
+    short.write_text("Topic,n\nx_y,1\n")
+    row = questions.read_any(spark, str(short)).first()
+    assert (row["question"], row["domain"], row["n"], row["source_file"]) == ("x_y | 1", "x y", "1", "c.csv")
+    spark.createDataFrame([("which rule?",)], "query string").coalesce(1).write.parquet(str(tmp_path / "parts"))
+    for name in ("p.parquet", "r.parquet"):
+        (tmp_path / name).write_bytes(next((tmp_path / "parts").glob("part-*.parquet")).read_bytes())
+    found = questions.discover_files(spark, str(tmp_path))
+    assert [f.rsplit("/", 1)[-1] for f in found] == ["c.csv", "p.csv", "q.csv", "r.parquet"]
+    assert questions.read_any(spark, found[-1]).first()["question"] == "which rule?"
     qs = tmp_path / "s.csv"
     qs.write_text("id,domain,complexity,question,gold_answer,expected_citations,expected_keywords\n" + "".join(f"{i},d,basic,q{i},g,,k\n" for i in range(5)))
     got = questions.load_questions(spark, str(qs), sample=2).collect()
@@ -172,6 +182,16 @@ def test_another_text_under_a_used_name_is_kept(spark, tmp_path):
     assert rows.where("session_id = 't'").count() == 1 and rows.count() == rows.select("session_id", "chunk_key").distinct().count()
 
 
+def test_first_greeting_over_several_batches(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "session_id long, turn int, text string"
+    for batch in ([(1, 5, "hello"), (2, 2, "hello")], [(1, 1, "hello"), (2, 7, "hello")], [(1, 3, "hello")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        jobs.stream_first_greetings(spark.readStream.schema(schema).parquet(src), out, state)
+    jobs.stream_first_greetings(spark.readStream.schema(schema).parquet(src), out, state + "-again")
+    assert {tuple(r) for r in jobs.stored_first_greetings(spark.read.parquet(out)).collect()} == {(1, 1), (2, 2)}
+
+
 def test_first_greeting_stream(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "session_id string, turn int, text string"
