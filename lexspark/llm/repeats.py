@@ -28,6 +28,8 @@ _POSITION_BITS = 18
 GROUP = 4096
 _BASES = (0x9E3779B97F4A7C17 | 3, 0xC2B2AE3D27D4EB4F | 3)
 _NAME_BITS = np.uint64((1 << 48) - 1)
+# texts handled at once, so that a text's number and a name share 64 bits
+_TEXTS = 1 << 16
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -73,7 +75,7 @@ class Sums:
 class Anchors(NamedTuple):
     text: np.ndarray  # number of the text in the list
     name: np.ndarray  # of the anchor's own symbols
-    region: np.ndarray  # of all symbols of the windows that it stands for
+    region: np.ndarray | None  # of all symbols of the windows that it stands for
     low: np.ndarray  # first and last start of those windows in the text
     high: np.ndarray
 
@@ -87,6 +89,9 @@ class Layout:
     eligible: symbols -> mask of the context starts that may be anchors; every
     window - context + 1 consecutive starts hold one, and whether a start is
     one depends on its context alone. None: all starts.
+    parts: units of the parts of a context that rank it, if all starts are eligible. Contexts whose smallest
+    part lies in the middle come first, those with it at an end next; such contexts lie further apart
+    than others, so a sixth fewer anchors serve all windows. None: contexts rank by their hash alone.
     merge: (stretches, docs, window) -> per stretch a bit mask of the windows that a smaller
     doc's stretch holds too; it gets all stretches that share an anchor's name
     together. window - context is below 63 then. None: windows are compared by their hashes.
@@ -97,8 +102,9 @@ class Layout:
     units: Callable
     eligible: Callable | None = None
     merge: Callable | None = None
+    parts: int | None = None
 
-    def anchors(self, texts: list[np.ndarray]) -> Iterator[Anchors]:
+    def anchors(self, texts: list[np.ndarray], regions: bool = True) -> Iterator[Anchors]:
         """Anchors of all windows of the texts. Short texts share a block, long ones are cut into overlapping blocks."""
         pieces: list[tuple[int, int, np.ndarray]] = []
         size = 0
@@ -106,20 +112,34 @@ class Layout:
             for offset in range(0, max(0, len(symbols) - self.window + 1), BLOCK - self.window + 1):
                 part = symbols[offset : offset + BLOCK]
                 if size + len(part) > BLOCK:
-                    yield self._block(pieces)
+                    yield self._block(pieces, regions)
                     pieces, size = [], 0
                 pieces.append((i, offset, part))
                 size += len(part)
         if pieces:
-            yield self._block(pieces)
-
-    def _block(self, pieces: list[tuple[int, int, np.ndarray]]) -> Anchors:
+            yield self._block(pieces, regions)
+
+    def _order(self, sums: Sums, n: int) -> np.ndarray:
+        """Class of each of the first n contexts: 0 if its smallest part is the middle one, 1 if it is an end, else 2."""
+        values = ((sums.sums[self.parts :] - sums.sums[: -self.parts]) * sums.p.down[: len(sums.sums) - self.parts] >> np.uint64(32)).astype(np.uint32)
+        last = self.context - self.parts
+        least = sliding_min(values, last + 1)[:n]
+        order = np.full(n, 2, np.uint64)
+        order[(values[:n] == least) | (values[last : last + n] == least)] = 1
+        order[values[last // 2 : last // 2 + n] == least] = 0
+        return order
+
+    def _block(self, pieces: list[tuple[int, int, np.ndarray]], regions: bool) -> Anchors:
         symbols = np.concatenate([p[2] for p in pieces])
         lengths = np.array([len(p[2]) for p in pieces])
         ends = np.cumsum(lengths)
-        names = Sums(symbols, 0).each(self.context)
+        sums = Sums(symbols, 0)
+        names = sums.each(self.context)
         # the smallest high bits win, a name is the low bits
         ranks = names >> np.uint64(_POSITION_BITS) << np.uint64(_POSITION_BITS) | np.arange(len(names), dtype=np.uint64)
+        if self.parts:
+            place = np.uint64((1 << _POSITION_BITS) - 1)
+            ranks = (ranks >> np.uint64(2) & ~place) | (ranks & place) | self._order(sums, len(names)) << np.uint64(62)
         if self.eligible:
             ranks[~self.eligible(symbols)[: len(names)]] = np.uint64(2**64 - 1)
         owner = (sliding_min(ranks, self.window - self.context + 1) & np.uint64((1 << _POSITION_BITS) - 1)).astype(np.int64)
@@ -131,11 +151,12 @@ class Layout:
         inside = owner[low] >= 0
         low, high = low[inside], high[inside]
         at = owner[low]
-        region = Sums(symbols, 1).stretch(low, high + self.window)
+        region = None
+        if regions:
+            region = mix(Sums(symbols, 1).stretch(low, high + self.window) + (at - low).astype(np.uint64), 3) & _NAME_BITS
         piece = np.searchsorted(ends, low, "right")
         shift = np.array([p[1] for p in pieces])[piece] - (ends - lengths)[piece]
-        return Anchors(np.array([p[0] for p in pieces])[piece], names[at] & _NAME_BITS,
-                       mix(region + (at - low).astype(np.uint64), 3) & _NAME_BITS, low + shift, high + shift)
+        return Anchors(np.array([p[0] for p in pieces])[piece], names[at] & _NAME_BITS, region, low + shift, high + shift)
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -151,7 +172,7 @@ def _batch(names: list[str], columns: list) -> pa.RecordBatch:
 
 
 def _portions(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[tuple[list, list[np.ndarray], list[Callable]]]:
-    """(rows, symbols, readers) of about BLOCK units at a time; a row is the tuple of its columns, doc and text first."""
+    """(rows, symbols, readers) of about BLOCK units and at most _TEXTS texts at a time; a row is the tuple of its columns, doc and text first."""
     rows, symbols, readers, size = [], [], [], 0
     for batch in batches:
         for i in range(batch.num_rows):
@@ -161,13 +182,25 @@ def _portions(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[tup
             symbols.append(own)
             readers.append(data)
             size += len(own)
-            if size >= BLOCK:
+            if size >= BLOCK or len(rows) == _TEXTS:
                 yield rows, symbols, readers
                 rows, symbols, readers, size = [], [], [], 0
     if rows:
         yield rows, symbols, readers
 
 
+def anchor_names(docs: DataFrame, layout: Layout) -> DataFrame:
+    """(name, doc): names of the anchors of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, symbols, _ in _portions(batches, layout):
+            keys = np.array([r[0] for r in rows], np.int64)
+            for a in layout.anchors(symbols, regions=False):
+                yield _batch(["name", "doc"], [a.name.view(np.int64), keys[a.text]])
+
+    return docs.mapInArrow(run, "name long, doc long")
+
+
 def anchor_rows(docs: DataFrame, layout: Layout) -> DataFrame:
     """(name, region, doc): anchors of every document (columns doc, text), one row for equal neighbours."""
 
@@ -182,16 +215,16 @@ def anchor_rows(docs: DataFrame, layout: Layout) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, layout: Layout) -> DataFrame:
-    """(a, b, doc): 128-bit names of the distinct windows for which the wanted anchors (column wanted, struct<name, region>) of a document stand."""
+    """(a, b, doc): 128-bit names of the distinct windows for which the wanted anchors (column wanted, their regions) of a document stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, symbols, readers in _portions(batches, layout):
-            wanted = [_regions(r[2]) for r in rows]
+            wanted = Marks([_values(r[2]) for r in rows])
             out: set[tuple[int, int, int]] = set()
             for a in layout.anchors(symbols):
-                for i, region, low, high in zip(a.text.tolist(), a.region.tolist(), a.low.tolist(), a.high.tolist()):
-                    if region in wanted[i]:
-                        out.update((*window_name(readers[i](s, s + layout.window)), rows[i][0]) for s in range(low, high + 1))
+                hit = wanted.find(a) >= 0
+                for i, low, high in zip(a.text[hit].tolist(), a.low[hit].tolist(), a.high[hit].tolist()):
+                    out.update((*window_name(readers[i](s, s + layout.window)), rows[i][0]) for s in range(low, high + 1))
             if out:
                 yield _batch(["a", "b", "doc"], list(np.array(list(out), np.int64).T.copy()))
 
@@ -203,12 +236,12 @@ def stretch_rows(docs: DataFrame, layout: Layout) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, symbols, readers in _portions(batches, layout):
-            wanted = [_regions(r[2]) for r in rows]
+            wanted = Marks([_values(r[2]) for r in rows])
             out: dict[tuple[int, int], tuple] = {}
             for a in layout.anchors(symbols):
-                for i, region, name, low, high in zip(a.text.tolist(), a.region.tolist(), a.name.tolist(), a.low.tolist(), a.high.tolist()):
-                    if region in wanted[i]:
-                        out[rows[i][0], region] = name, region, rows[i][0], readers[i](low, high + layout.window)
+                hit = wanted.find(a) >= 0
+                for i, region, name, low, high in zip(*(c[hit].tolist() for c in (a.text, a.region, a.name, a.low, a.high))):
+                    out[rows[i][0], region] = name, region, rows[i][0], readers[i](low, high + layout.window)
             if out:
                 yield _batch(["name", "region", "doc", "data"], list(zip(*out.values())))
 
@@ -246,9 +279,28 @@ def window_name(data: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _regions(pairs: pa.Scalar) -> set[int]:
-    """Names of regions, which tell their anchors' names as well."""
-    return set(pairs.values.field("region").to_pylist()) if pairs.is_valid else set()
+def _values(cell: pa.Scalar, field: str | None = None) -> np.ndarray:
+    """Numbers of a list, or of one field of a list of structs; none for null."""
+    if not cell.is_valid:
+        return np.zeros(0, np.int64)
+    return (cell.values.field(field) if field else cell.values).to_numpy()
+
+
+class Marks:
+    """Regions that are marked in each of some texts."""
+
+    def __init__(self, regions: list[np.ndarray]):
+        keys = np.concatenate([r.view(np.uint64) | np.uint64(i << 48) for i, r in enumerate(regions)])
+        self.place = np.argsort(keys)
+        self.keys = keys[self.place]
+
+    def find(self, a: Anchors) -> np.ndarray:
+        """Place of every anchor's region among all marks of all texts, -1 where its text does not have it."""
+        if not len(self.keys):
+            return np.full(len(a.text), -1)
+        own = a.text.astype(np.uint64) << np.uint64(48) | a.region
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        return np.where(self.keys[at] == own, self.place[at], -1)
 
 
 def split_by_keys(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -264,7 +316,7 @@ def split_by_keys(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def repeated_passages(docs: DataFrame, layout: Layout) -> DataFrame:
-    """(doc, settled array<struct<name, region>>, windows array<struct<a, b>>, partial array<struct<region, mask>>): what an earlier document holds too, per document
+    """(doc, settled array<region>, windows array<struct<a, b>>, partial array<struct<region, mask>>): what an earlier document holds too, per document
     (columns doc, text; doc not null) with any.
 
     Rounds, each over what the last left open:
@@ -278,15 +330,14 @@ def repeated_passages(docs: DataFrame, layout: Layout) -> DataFrame:
     Minima are combined before every shuffle; a name that many documents share
     is one row per task there, and joins against unique rows after that.
     """
-    rows = anchor_rows(docs, layout)
-    shared = rows.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("name")
-    rows = cut_lineage(rows.join(shared, "name"))
+    shared = anchor_names(docs, layout).groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("name")
+    rows = cut_lineage(anchor_rows(docs, layout).join(shared, "name"))
     del shared  # the written rows are all that is needed; without references Spark may drop the shuffle files
     classes = cut_lineage(rows.groupBy("name", "region").agg(F.min("doc").alias("first")))
-    settled = rows.join(classes, ["name", "region"]).where("first < doc").groupBy("doc").agg(F.collect_set(F.struct("name", "region")).alias("settled"))
+    settled = rows.join(classes, ["name", "region"]).where("first < doc").groupBy("doc").agg(F.collect_set("region").alias("settled"))
     several = classes.groupBy("name").agg(F.count("*").alias("n"), F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("name", "n")
     opened = classes.join(several, "name").withColumn("alone", F.col("n") > (GROUP if layout.merge else 0))
-    wanted = cut_lineage(opened.groupBy("alone", F.col("first").alias("doc")).agg(F.collect_set(F.struct("name", "region")).alias("wanted")))
+    wanted = cut_lineage(opened.groupBy("alone", F.col("first").alias("doc")).agg(F.collect_set("region").alias("wanted")))
     texts = lambda alone: split_by_keys(docs, wanted.where(F.col("alone") == alone).drop("alone"))[0].where("wanted is not null").select("doc", "text", "wanted")
     open_windows = cut_lineage(window_rows(texts(True), layout))
     firsts = open_windows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first")
@@ -302,28 +353,29 @@ def repeated_passages(docs: DataFrame, layout: Layout) -> DataFrame:
 
 def covered(rows: list, symbols: list[np.ndarray], readers: list[Callable], layout: Layout) -> list[np.ndarray]:
     """Per text the mask of the units inside any window that the marks of its row (doc, text, settled, windows, partial) name."""
-    steps = [np.zeros(len(s) + 1, np.int64) for s in symbols]
+    lengths = np.array([len(s) + 1 for s in symbols])
+    begins = np.cumsum(lengths) - lengths
+    steps = np.zeros(lengths.sum(), np.int64)
     if len(rows[0]) > 2:
-        settled = [_regions(r[2]) for r in rows]
-        partial = [dict(zip(*(r[4].values.field(c).to_pylist() for c in ("region", "mask")))) if r[4].is_valid else {} for r in rows]
-        windows = [set(zip(*(r[3].values.field(c).to_pylist() for c in ("a", "b")))) if r[3].is_valid else set() for r in rows]
+        settled, partial = Marks([_values(r[2]) for r in rows]), Marks([_values(r[4], "region") for r in rows])
+        masks = np.concatenate([_values(r[4], "mask") for r in rows])
+        windows = [set(zip(_values(r[3], "a").tolist(), _values(r[3], "b").tolist())) for r in rows]
+        looked_up = np.array([bool(w) for w in windows])
         for a in layout.anchors(symbols):
-            for i, region, low, high in zip(a.text.tolist(), a.region.tolist(), a.low.tolist(), a.high.tolist()):
-                if region in settled[i]:
-                    steps[i][low] += 1
-                    steps[i][high + layout.window] -= 1
-                    continue
-                if mask := partial[i].get(region):
-                    for s in range(high - low + 1):
-                        if mask >> s & 1:
-                            steps[i][low + s] += 1
-                            steps[i][low + s + layout.window] -= 1
-                if windows[i]:
-                    for s in range(low, high + 1):
-                        if window_name(readers[i](s, s + layout.window)) in windows[i]:
-                            steps[i][s] += 1
-                            steps[i][s + layout.window] -= 1
-    return [np.cumsum(s[:-1]) > 0 for s in steps]
+            low, high = begins[a.text] + a.low, begins[a.text] + a.high
+            whole = settled.find(a) >= 0
+            np.add.at(steps, low[whole], 1)
+            np.add.at(steps, high[whole] + layout.window, -1)
+            at = partial.find(a)
+            some = ~whole & (at >= 0)
+            starts = [b + s for b, n, mask in zip(low[some].tolist(), (high - low)[some].tolist(), masks[at[some]].tolist()) for s in range(n + 1) if mask >> s & 1]
+            some = ~whole & looked_up[a.text]
+            for i, b, first, last in zip(a.text[some].tolist(), begins[a.text[some]].tolist(), a.low[some].tolist(), a.high[some].tolist()):
+                starts += [b + s for s in range(first, last + 1) if window_name(readers[i](s, s + layout.window)) in windows[i]]
+            np.add.at(steps, np.array(starts, np.int64), 1)
+            np.add.at(steps, np.array(starts, np.int64) + layout.window, -1)
+    gone = np.cumsum(steps) > 0  # the steps of a text add up to zero
+    return [gone[b : b + n - 1] for b, n in zip(begins.tolist(), lengths.tolist())]
 
 
 def without_repeats(docs: DataFrame, layout: Layout, key: str, text: str, schema: str, result: Callable) -> DataFrame:

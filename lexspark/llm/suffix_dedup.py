@@ -10,6 +10,8 @@ from lexspark.llm.repeats import Layout, mix, sha256, without_repeats
 WINDOW = 50
 # bytes that name an anchor: long enough that few texts share one by chance
 CONTEXT = 20
+# bytes of the parts that rank a context
+PARTS = 4
 _SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64), 7)
 
 
@@ -70,7 +72,7 @@ def repeated_windows(stretches: list[bytes], docs: np.ndarray, window: int) -> n
     return masks
 
 
-LAYOUT = Layout(WINDOW, CONTEXT, units, merge=repeated_windows)
+LAYOUT = Layout(WINDOW, CONTEXT, units, merge=repeated_windows, parts=PARTS)
 
 
 def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
