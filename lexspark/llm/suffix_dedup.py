@@ -33,9 +33,9 @@ class Transform:
         self.before[self.starts] = self.ends - 1
         self.last = self.text[self.before]
 
-    def merge(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self, depth: int, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(order, heads): the interleave of all shards that is right for the first `depth` bytes, and where its intervals of rotations
-        with `depth` bytes in common begin.
+        with `depth` bytes in common begin. With `places` the walk starts from these places alone, and ends at the ones `depth` bytes before.
 
         A round walks the interleave and deals every place's predecessor out by
         the transform's symbol, keeping the order within a symbol. What was right
@@ -43,7 +43,7 @@ class Transform:
         or the interval walked changes, and there the common prefix has k bytes.
         Two symbols are dealt by at once, so a round adds two bytes. No suffix is ever compared with another.
         """
-        order = np.arange(len(self.text), dtype=np.int32)
+        order = np.arange(len(self.text), dtype=np.int32) if places is None else places
         heads = np.zeros(len(order), bool)
         heads[:1] = True
         two = self.last[self.before].astype(np.uint16) << 8 | self.last
@@ -61,12 +61,18 @@ class Transform:
 def repeated_windows(stretches: list[bytes], docs: np.ndarray, window: int) -> np.ndarray:
     """Per stretch the bit mask of the starts of windows that a stretch of a smaller doc holds too."""
     shards = Transform(stretches)
-    order, heads = shards.merge(window)
+    # a walk from the end of every window; rotations that wrap within their first bytes are left out
+    lengths = shards.ends - shards.starts
+    counts = np.maximum(lengths - window + 1, 0)
+    if not counts.sum():
+        return np.zeros(len(stretches), np.int64)
+    string = np.repeat(np.arange(len(stretches)), counts)
+    ends = np.arange(len(string)) - np.repeat(np.cumsum(counts) - counts, counts) + window
+    places = shards.starts[string] + np.where(ends < lengths[string], ends, 0)
+    order, heads = shards.merge(window, places.astype(np.int32))
     string = np.searchsorted(shards.ends, order, "right")
-    whole = order + window <= shards.ends[string]  # rotations that wrap within the window are no window
-    owner = np.where(whole, docs[string], np.iinfo(np.int64).max)
-    least = np.minimum.reduceat(owner, np.flatnonzero(heads))[np.cumsum(heads) - 1]
-    late = whole & (least < owner)
+    owner = docs[string]
+    late = np.minimum.reduceat(owner, np.flatnonzero(heads))[np.cumsum(heads) - 1] < owner
     masks = np.zeros(len(stretches), np.int64)
     np.bitwise_or.at(masks, string[late], np.int64(1) << (order[late] - shards.starts[string[late]]))
     return masks
