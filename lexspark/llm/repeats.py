@@ -316,7 +316,7 @@ def split_by_keys(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def repeated_passages(docs: DataFrame, layout: Layout) -> DataFrame:
-    """(doc, settled array<region>, windows array<struct<a, b>>, partial array<struct<region, mask>>): what an earlier document holds too, per document
+    """(doc, settled array<region>, windows array<struct<a, b>>, looked_up array<region>, partial array<struct<region, mask>>): what an earlier document holds too, per document
     (columns doc, text; doc not null) with any.
 
     Rounds, each over what the last left open:
@@ -342,7 +342,9 @@ def repeated_passages(docs: DataFrame, layout: Layout) -> DataFrame:
     open_windows = cut_lineage(window_rows(texts(True), layout))
     firsts = open_windows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first")
     windows = open_windows.join(firsts, ["a", "b"]).where("first < doc").groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("windows"))
-    marks = settled.join(windows, "doc", "full")
+    # equal windows have equally named anchors, so only regions whose windows were compared can hold a repeated one
+    compared = wanted.where("alone").select("doc", F.col("wanted").alias("looked_up"))
+    marks = settled.join(windows.join(compared, "doc"), "doc", "full")
     if layout.merge:
         masks = merged_rows(stretch_rows(texts(False), layout), layout)
         marks = marks.join(masks.groupBy("doc").agg(F.collect_set(F.struct("region", "mask")).alias("partial")), "doc", "full")
@@ -352,15 +354,15 @@ def repeated_passages(docs: DataFrame, layout: Layout) -> DataFrame:
 
 
 def covered(rows: list, symbols: list[np.ndarray], readers: list[Callable], layout: Layout) -> list[np.ndarray]:
-    """Per text the mask of the units inside any window that the marks of its row (doc, text, settled, windows, partial) name."""
+    """Per text the mask of the units inside any window that the marks of its row (doc, text, settled, windows, looked_up, partial) name."""
     lengths = np.array([len(s) + 1 for s in symbols])
     begins = np.cumsum(lengths) - lengths
     steps = np.zeros(lengths.sum(), np.int64)
     if len(rows[0]) > 2:
-        settled, partial = Marks([_values(r[2]) for r in rows]), Marks([_values(r[4], "region") for r in rows])
-        masks = np.concatenate([_values(r[4], "mask") for r in rows])
+        settled, partial = Marks([_values(r[2]) for r in rows]), Marks([_values(r[5], "region") for r in rows])
+        masks = np.concatenate([_values(r[5], "mask") for r in rows])
         windows = [set(zip(_values(r[3], "a").tolist(), _values(r[3], "b").tolist())) for r in rows]
-        looked_up = np.array([bool(w) for w in windows])
+        looked_up = Marks([_values(r[4]) for r in rows])
         for a in layout.anchors(symbols):
             low, high = begins[a.text] + a.low, begins[a.text] + a.high
             whole = settled.find(a) >= 0
@@ -369,7 +371,7 @@ def covered(rows: list, symbols: list[np.ndarray], readers: list[Callable], layo
             at = partial.find(a)
             some = ~whole & (at >= 0)
             starts = [b + s for b, n, mask in zip(low[some].tolist(), (high - low)[some].tolist(), masks[at[some]].tolist()) for s in range(n + 1) if mask >> s & 1]
-            some = ~whole & looked_up[a.text]
+            some = ~whole & (looked_up.find(a) >= 0)
             for i, b, first, last in zip(a.text[some].tolist(), begins[a.text[some]].tolist(), a.low[some].tolist(), a.high[some].tolist()):
                 starts += [b + s for s in range(first, last + 1) if window_name(readers[i](s, s + layout.window)) in windows[i]]
             np.add.at(steps, np.array(starts, np.int64), 1)
@@ -391,7 +393,7 @@ def without_repeats(docs: DataFrame, layout: Layout, key: str, text: str, schema
             yield record_batch(names, kinds, list(zip(*out)))
 
     marked, rest = split_by_keys(texts, marks)
-    done = marked.select("doc", "text", "settled", "windows", "partial").mapInArrow(run, schema)
+    done = marked.select("doc", "text", "settled", "windows", "looked_up", "partial").mapInArrow(run, schema)
     return done if rest is None else done.unionByName(rest.select("doc", "text").mapInArrow(run, schema))
 
 
