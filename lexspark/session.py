@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(app_name: str = "lexspark", cpus: str | int = "*") -> SparkSession:
@@ -56,7 +57,15 @@ def cut_lineage(df):
 
     Work done so far survives lost executors, later uses do not repeat it, and
     the optimizer knows the table's real size when it picks join strategies.
+    Shuffle files of the work are dropped as soon as the table stands, so they
+    do not pile up over the steps of a job.
     """
     path = scratch_path(df.sparkSession, "step")
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_SHUFFLE_CLEANUP, None)
+    conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_SHUFFLE_CLEANUP) if before is None else conf.set(_SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
