@@ -13,15 +13,13 @@ from lexspark.llm import bpe, decontamination, language_id, queries, secret_scan
 from lexspark.llm.common import read
 from lexspark.session import cut_lineage
 
-# documents whose best language has a smaller cosine than this are in no learned language
-MIN_LANGUAGE_SCORE = 0.02
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns profiles from the labelled rows outside the held-out fold; rejects documents without a recognised language."""
     held_out = F.coalesce(language_id.fold(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) == 1, F.lit(False))
-    profiles = language_id.learn(docs.where(~held_out))
-    return language_id.recognised(docs, profiles, MIN_LANGUAGE_SCORE) if profiles else docs
+    labelled = docs.where(~held_out)
+    profiles = language_id.learn(labelled)
+    return language_id.recognised(docs, profiles, language_id.alphabet(labelled)) if profiles else docs
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,12 @@ REMEMBERED = 1 << 14
 UNKNOWN = "und"
 # profiles are sent to the driver and every task; more labels than this are no set of languages
 MAX_LANGUAGES = 1024
+# an unrelated text passes noise_score() with this probability
+FALSE_PASS = 1e-5
+# texts of fewer distinct n-grams can score below the noise in their own language, so their letters decide
+FEW_GRAMS = 32
+# a letter belongs to a language if it makes at least this share of its letters; foreign quotations stay below
+LETTER_SHARE = 1e-4
 _UNIT = 1_000_000  # unit vectors are bundled as integers of this scale, so sums do not depend on their order
 _BOUNDARY = 32
 
@@ -33,6 +42,22 @@ def _letter_vector(code: int) -> np.ndarray:
     return np.random.Generator(np.random.Philox(key=code)).integers(0, 2, DIMENSIONS).astype(np.float32) * 2 - 1
 
 
+def grams_of(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The distinct letter n-grams of a text and their counts; None without a letter."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
+    letters = _letters()[codes]
+    if not letters.any():
+        return None
+    codes = np.where(letters, codes, _BOUNDARY).astype(np.uint64)
+    codes = np.concatenate([[np.uint64(_BOUNDARY)] * (GRAM - 1), codes, [np.uint64(_BOUNDARY)] * (GRAM - 1)])
+    n = len(codes) - GRAM + 1
+    grams = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        grams = (grams << np.uint64(21)) | codes[i : i + n]
+    blank = sum(_BOUNDARY << (21 * i) for i in range(GRAM))
+    return np.unique(grams[grams != np.uint64(blank)], return_counts=True)
+
+
 class Encoder:
     """Bundles permuted and bound letter vectors into text vectors."""
 
@@ -57,18 +82,10 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray | None:
         """The bundle of all letter n-grams of the whole text, words padded by a boundary; None without a letter."""
-        codes = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-        letters = _letters()[codes]
-        if not letters.any():
+        found = grams_of(text)
+        if found is None:
             return None
-        codes = np.where(letters, codes, _BOUNDARY).astype(np.uint64)
-        codes = np.concatenate([[np.uint64(_BOUNDARY)] * (GRAM - 1), codes, [np.uint64(_BOUNDARY)] * (GRAM - 1)])
-        n = len(codes) - GRAM + 1
-        grams = np.zeros(n, np.uint64)
-        for i in range(GRAM):
-            grams = (grams << np.uint64(21)) | codes[i : i + n]
-        blank = sum(_BOUNDARY << (21 * i) for i in range(GRAM))
-        kinds, counts = np.unique(grams[grams != np.uint64(blank)], return_counts=True)
+        kinds, counts = found
         total = np.zeros(DIMENSIONS, np.float64)
         for start in range(0, len(kinds), REMEMBERED // 4):  # bounded memory for any number of n-grams
             part = slice(start, start + REMEMBERED // 4)
@@ -142,14 +159,60 @@ def judge(profiles: dict[str, np.ndarray]) -> Callable[[str | None], tuple[str,
     return best
 
 
-def recognised(docs: DataFrame, profiles: dict[str, np.ndarray], min_score: float, text: str = "text") -> DataFrame:
-    """Rows of docs, all columns kept, whose whole text has a language with at least min_score. Rows stay in their tasks."""
-    best = judge(profiles)
+def noise_score(languages: int) -> float:
+    """The cosine that the best of so many prototypes exceeds by chance with probability FALSE_PASS.
+
+    Bundles without a common n-gram have a cosine of mean 0 and deviation 1 / sqrt(DIMENSIONS).
+    """
+    return NormalDist().inv_cdf(1 - FALSE_PASS / max(1, languages)) / math.sqrt(DIMENSIONS)
+
+
+def _letter_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
+    return np.unique(codes[_letters()[codes]], return_counts=True)
+
+
+def alphabet(labelled: DataFrame, text: str = "text", lang: str = "lang") -> np.ndarray:
+    """Sorted code points of the letters that make LETTER_SHARE of some language's letters: at most one row a code point reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for t, language in zip(batch.column(0), batch.column(1)):
+                name = language.as_py()
+                for code, n in zip(*(x.tolist() for x in _letter_counts(t.as_py()))):
+                    seen[name, code] += n
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen]), pa.array([x for _, x in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["lang", "code", "n"])
+
+    parts = labelled.where(F.col(lang).isNotNull()).select(F.col(text), F.col(lang)).mapInArrow(run, "lang string, code int, n long")
+    counts = parts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    common = counts.join(totals, "lang").where(F.col("n") >= LETTER_SHARE * F.col("total")).select("code").distinct()
+    return np.array(sorted(r["code"] for r in common.collect()), np.uint32)
+
+
+def recognised(docs: DataFrame, profiles: dict[str, np.ndarray], letters: np.ndarray, text: str = "text") -> DataFrame:
+    """Rows of docs, all columns kept, whose whole text is in a learned language. Rows stay in their tasks.
+
+    A text is in one if its score reaches noise_score(). Texts of fewer than
+    FEW_GRAMS distinct n-grams that score less stay if more than half of their
+    letters are in `letters` (see alphabet).
+    """
+    best, least = judge(profiles), noise_score(len(profiles))
+
+    def keep(t: str | None) -> bool:
+        name, score = best(t)
+        if name == UNKNOWN or score >= least:
+            return name != UNKNOWN
+        if len(grams_of(t)[0]) >= FEW_GRAMS:
+            return False
+        codes, n = _letter_counts(t)
+        return bool(2 * n[np.isin(codes, letters)].sum() > n.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdicts = (best(t.as_py()) for t in batch.column(batch.schema.get_field_index(text)))
-            yield batch.filter(pa.array([name != UNKNOWN and score >= min_score for name, score in verdicts], pa.bool_()))
+            yield batch.filter(pa.array([keep(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
