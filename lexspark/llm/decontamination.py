@@ -96,7 +96,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     reach = F.greatest(F.coalesce(F.max(end).over(before), F.lit(0)), F.col("start"))
     hits = matches.groupBy(key, "text_key", "start").agg(F.max("n").alias("n")).withColumn("own", F.greatest(F.lit(0), end - reach)).groupBy(key, "text_key").agg(F.sum("own").alias("n_hit"))
     named = matches.select(key, "text_key", F.explode("items").alias("item")).distinct().groupBy(key, "text_key").agg(F.array_sort(F.collect_list("item")).alias("names"))
-    per = hits.join(named, [key, "text_key"], "left")
+    per = hits.alias("h").join(named.alias("o"), F.col(f"h.{key}").eqNullSafe(F.col(f"o.{key}")) & (F.col("h.text_key") == F.col("o.text_key")), "left").select("h.*", "names")
     base = docs.select(F.col(key), text_key(key, text).alias("text_key"), F.size(words(F.col(text))).cast("long").alias("n_words"))
     names = F.coalesce("names", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")

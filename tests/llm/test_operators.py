@@ -57,6 +57,15 @@ def test_contamination(which, sample, odd_rows, frame, spark):
     assert which == "odd" or got.where("n_hit > 0").count() > 0
 
 
+def test_contamination_names_items_of_a_document_without_key(frame, spark):
+    rows = [(None, "w1 w2 w3 w4"), (None, "w5 other"), (1, "w1 w2")]
+    items = [(1, "w1 w2"), (2, "w3 w4"), (3, "w5")]
+    got = decontamination.contamination(frame(rows), spark.createDataFrame(items, "item_id long, text string"))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert rows_of(got, *names) == sorted(brute.contamination(rows, items), key=repr)
+    assert sorted(r["n_items"] for r in got.collect()) == [1, 1, 2]
+
+
 def test_no_items_and_no_documents(frame, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contamination(frame([(1, "a b")]), none).first()["n_hit"] == 0
