@@ -25,6 +25,8 @@ SEARCH_SHARE = 1.0
 BLOCK_ROWS = 4096
 # queries of a block compared at once
 ASKED_AT_ONCE = 256
+# a smaller sum of squares has lost digits to underflow
+_LEAST_SQUARES = 1e-280
 
 
 class Tree(NamedTuple):
@@ -105,8 +107,18 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision; the same for the same two vectors wherever they stand."""
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    """Row by row, in double precision; the same for the same two vectors wherever they stand.
+
+    Rows with a vector whose squares leave the range of normal doubles are scaled by both vectors' largest components first.
+    """
+    with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+        aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        out = (a * b).sum(axis=1) / (np.sqrt(aa) * np.sqrt(bb))
+        odd = ~((np.minimum(aa, bb) >= _LEAST_SQUARES) & (np.maximum(aa, bb) < np.inf))
+        if odd.any():
+            x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (a[odd], b[odd]))
+            out[odd] = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+    return out
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf: int = LEAF,

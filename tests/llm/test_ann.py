@@ -51,6 +51,23 @@ def test_odd_vectors_ties_and_copies(spark):
     assert ann_forest.nearest(one).count() == 0
 
 
+def test_very_large_and_very_small_vectors(spark):
+    """Scores do not depend on the scale of a vector."""
+    rng = np.random.default_rng(2)
+    plain = [(i, rng.normal(size=4).tolist()) for i in range(1, 120)] + [(150, [1.0, 2.0, 3.0, 4.5])]
+    planted = [(50, [1e200, 2e200, 3e200, 4e200]), (100, [1e-170, 2e-170, 3e-170, 4e-170]), (121, [2e-162, 4e-162, 6e-162, 9e-162]), (122, [-1e300, 2e300, 3e300, 4e300]),
+               (123, [1e-310, -2e-310, 3e-310, 4e-310])]
+    rows = [r for r in plain if r[0] not in (50, 100)] + planted
+    got = as_dict(ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), share=100.0, leaf=16))
+    units = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    units = {i: v / np.sqrt((v * v).sum()) for i, v in units.items()}
+    assert got.keys() == {50, 100, 150}
+    for q, found in got.items():
+        want = sorted(((-float(units[q] @ units[i]), i) for i in units if i != q))[:5]
+        assert np.allclose([s for _, s in found], [-s for s, _ in want], rtol=0, atol=1e-9)
+        assert all(abs(s - float(units[q] @ units[i])) < 1e-9 for i, s in found)
+
+
 def test_more_vectors_than_the_fit_and_full_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann_forest, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(1)
