@@ -24,7 +24,7 @@ MAX_LANGUAGES = 1024
 # an unrelated text passes noise_score() with this probability
 FALSE_PASS = 1e-5
 # texts of fewer distinct n-grams can score below the noise in their own language, so their letters decide
-FEW_GRAMS = 32
+FEW_GRAMS = 128
 # a letter belongs to a language if it makes at least this share of its letters; foreign quotations stay below
 LETTER_SHARE = 1e-4
 _UNIT = 1_000_000  # unit vectors are bundled as integers of this scale, so sums do not depend on their order

@@ -143,6 +143,9 @@ def test_language_accuracy(spark, frame):
     assert language_id.predict(frame([(1, "abc")]), {}).first()["lang_pred"] == "und"
 
 
+REPETITIVE = 'Se Se Se Se Se Se con con con con con con se, se, se, se, se, se, rruera rruera rruera rruera rruera rruera dogarr dogarr dogarr dogarr dogarr dogarr no no no no no no ieñga ieñga ieñga ieñga ieñga ieñga jaez jaez jaez jaez jaez jaez'  # a Spanish row of check_s with 45 distinct n-grams and a score within the noise
+
+
 def test_only_learned_languages_stay(spark):
     """Texts in unlearned scripts go, however long; every labelled row and short clean texts stay."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
@@ -150,7 +153,7 @@ def test_only_learned_languages_stay(spark):
     scripts = [(0x430, 0x450), (0x4E00, 0x6000), (0x3B1, 0x3C9), (0x621, 0x64A), (0xAC00, 0xB000), (0x905, 0x939)]
     foreign = [(-1 - i, " ".join("".join(chr(rng.randrange(*scripts[i % 6])) for _ in range(rng.randint(1, 9))) for _ in range((1, 3, 10, 50, 200)[i // 6 % 5])), None)
                for i in range(600)]
-    short = [(10**6 + i, t, None) for i, t in enumerate(("A.", "Avec.", "Von.", "ñ", "avec " * 300))]
+    short = [(10**6 + i, t, None) for i, t in enumerate(("A.", "Avec.", "Von.", "ñ", "avec " * 300, REPETITIVE))]
     # a quotation in a labelled row teaches no script
     quoted = [(2 * 10**6, docs.where("lang = 'en'").orderBy("doc_id").first()["text"] + " \u0436\u0443\u043a", "en")]
     everything = docs.unionByName(spark.createDataFrame(foreign + short + quoted, docs.schema))
