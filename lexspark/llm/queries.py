@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexspark.llm import ann_forest, bpe, decontamination, language_id, link_rank, recompression, secret_scan, sharding, simhash, suffix_dedup
+from lexspark.llm import (ann_forest, bpe, decontamination, fill_in_middle, language_id, link_rank, merkle, oracles, quality_rules, recompression, secret_scan,
+                          sharding, simhash, suffix_dedup)
 from lexspark.llm.common import read
 
 
@@ -56,7 +57,31 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, text = read(spark, sf_dir, "documents"), F.col("text")
+    digest = lambda body: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), body)
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    capitals = quality_rules.CAPITALS
+    tampered = F.when(picked, digest(F.translate(text, capitals, capitals.lower())))
+    tree = merkle.manifest(docs.select("doc_id", "source", digest(text).alias("leaf"), tampered.alias("tampered")), carry=["tampered"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    rows = tree.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("proof"))).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_benchmark_decontamination, op3_nearest_neighbours, op4_sharding, op5_simhash_near_dedup, op6_language_id, op7_url_filters, op8_bpe_round_trip,
-    op9_substring_dedup, op10_suffix_array_dedup)}
-ORACLE: dict[str, str] = {}
+    op9_substring_dedup, op10_suffix_array_dedup, op11_quality_rules, op12_fill_in_middle, op13_merkle_manifest)}
+ORACLE: dict[str, str] = oracles.ORACLE
