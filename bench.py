@@ -17,7 +17,7 @@ from lexspark.plans import registry
 from lexspark.session import local_session
 
 HEADLINE = [
-    "c1_postings", "c2_bm25_statistics", "c3_bm25_top_k", "c4_phrase_search", "c5_keyword_overlap", "c7_vector_knn", "c10_session_knn",
+    "c1_postings", "c1_stored_index", "c2_bm25_statistics", "c3_bm25_top_k", "c4_phrase_search", "c5_keyword_overlap", "c7_vector_knn", "c10_session_knn",
     "c13_rank_fusion", "c14_hybrid_search", "c16_cascade", "d6_citation_pairs", "d7_cites_edges", "d9_provision_search", "d11_two_hops",
     "d12_graph_boost", "d18_shortest_paths", "e1_citation_audit", "e2_claim_trace", "e3_full_audit", "f5_lexical_scores", "f10_relaxed_keywords",
     "f13_summary", "f20_ablation", "f22_ngram_containment", "f25_batch_answers",

@@ -30,14 +30,6 @@ def build_postings(docs: DataFrame, vocabulary_cap: int | None = None) -> DataFr
     return grouped.withColumn("n", F.row_number().over(w)).where(F.col("n") <= vocabulary_cap).drop("n")
 
 
-def write_postings(docs: DataFrame, table: str, buckets: int) -> None:
-    """Persists the postings bucketed by document, so that every later search
-    reads them already partitioned by doc_key and needs no exchange of them."""
-    lengths = docs.select("doc_key", F.size(word_tokens(F.col("text"))).alias("doc_len"))
-    rows = build_postings(docs).join(lengths, "doc_key")
-    rows.write.mode("overwrite").bucketBy(buckets, "doc_key").sortBy("doc_key").saveAsTable(table)
-
-
 def corpus_stats(docs: DataFrame) -> DataFrame:
     lengths = docs.select(F.size(word_tokens(F.col("text"))).alias("n"))
     return lengths.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
@@ -206,14 +198,19 @@ def _rarest_inner(inner: DataFrame, docs: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "phrase").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"))
 
 
-def _edge_matches(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, phrase, tok): corpus tokens the edge of a phrase can be part
-    of. Works on the vocabulary, joined on equality of a short gram."""
-    vocabulary = explode_rows(docs, [], F.array_distinct(word_tokens(F.col("text"))), "tok").distinct()
+def edge_tokens(edges: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """edges (anchor, kind, ...) with every vocabulary token that the edge of a
+    phrase can be part of, joined on equality of a short gram."""
     keyed = edges.withColumn("gram", F.substr("anchor", F.lit(1), F.lit(3)))
     a, t = F.col("anchor"), F.col("tok")
     fits = F.when(F.col("kind") == "head", t.endswith(a)).when(F.col("kind") == "tail", t.startswith(a)).otherwise(F.contains(t, a))
-    return keyed.join(token_grams(vocabulary), "gram").where(fits).select("query_id", "phrase", "tok")
+    return keyed.join(token_grams(vocabulary), "gram").where(fits)
+
+
+def _edge_matches(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, phrase, tok) over the tokens of docs."""
+    vocabulary = explode_rows(docs, [], F.array_distinct(word_tokens(F.col("text"))), "tok").distinct()
+    return edge_tokens(edges, vocabulary).select("query_id", "phrase", "tok")
 
 
 def phrase_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:

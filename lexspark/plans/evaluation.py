@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexspark import fixed_values as fv
 from lexspark.functions import citations as c
 from lexspark.functions.text import complexity_label, lemma_tokens, stem_tokens, word_tokens
-from lexspark.operators import answering, curation, graph_build as gb, hybrid, lexical_scores as ls, postings
+from lexspark.operators import answering, curation, graph_build as gb, hybrid, lexical_scores as ls
 from lexspark.operators import recall_diagnosis as rd, relaxed_scores as rs, summaries as sm
 from lexspark.plans import inputs as src
 from lexspark.plans.graph import _BASE as GRAPH_SQL
@@ -127,7 +127,7 @@ def _f17_shares(spark, sf):
 
 
 def _ablation_runs(spark, sf):
-    q, docs, index = src.questions(spark, sf), src.corpus(spark, sf), postings.bm25_index(src.corpus(spark, sf))
+    q, docs, index = src.questions(spark, sf), src.corpus(spark, sf), src.stored_index(spark, sf)
     runs = {}
     for mode in ("rrf", "dense", "bm25"):
         hits = hybrid.hybrid_search(q, docs, src.query_vectors(spark, sf), src.vectors(spark, sf), k=fv.TOP_K, mode=mode, index=index)
@@ -198,7 +198,7 @@ def _f24(spark, sf):
 
 def _answered(spark, sf):
     graph = gb.build_graph(src.provisions(spark, sf))
-    return answering.answer_questions(src.questions(spark, sf), src.corpus(spark, sf), src.query_vectors(spark, sf), src.vectors(spark, sf), graph)
+    return answering.answer_questions(src.questions(spark, sf), src.corpus(spark, sf), src.query_vectors(spark, sf), src.vectors(spark, sf), graph, index=src.stored_index(spark, sf))
 
 
 def _f25(spark, sf):

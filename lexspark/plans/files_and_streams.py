@@ -147,7 +147,7 @@ def _a10(spark, sf):
     rows = src.table(spark, sf, "benchmark").orderBy("item_id").select(
         F.col("item_id").cast("string").alias("id"), F.lit("d").alias("domain"), F.lit("basic").alias("complexity"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("question"),
         F.lit("gold, with comma").alias("gold_answer"), F.lit(None).cast("string").alias("expected_citations"), F.lit("k|l").alias("expected_keywords"))
-    rows.coalesce(1).write.option("header", "true").option("escape", '"').csv(path)
+    rows.write.option("header", "true").option("escape", '"').csv(path)
     return questions.load_questions(spark, path, sample=25)
 
 

@@ -10,6 +10,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexspark.operators.stored_index import StoredIndex
+from lexspark.session import scratch_path
+
 PROVISION_EXPRS = [
     "'P' || CAST(p_partkey AS STRING) AS id",
     "CASE p_partkey % 5 WHEN 0 THEN 'FSMA 2000 s.' WHEN 1 THEN 'RAO 2001 art.' WHEN 2 THEN 'MLR 2017 reg.'"
@@ -90,6 +93,17 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("static::"), F.col("doc_id").cast("string")).alias("doc_key"), "text")
 
 
+_INDEXES: dict[tuple[str, str], StoredIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The corpus as a stored index, as a service would keep it: the first query of an application that needs it writes it, later ones search it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = StoredIndex.create(corpus(spark, sf_dir), scratch_path(spark, "index"))
+    return _INDEXES[key]
+
+
 CORPUS_SQL = "SELECT 'static::' || CAST(doc_id AS STRING) AS doc_key, text FROM documents"
 
 

@@ -10,8 +10,10 @@ from lexspark.functions.citations import extract_citations
 from lexspark.functions.text import snippet
 from lexspark.plans import inputs as src
 from lexspark.plans.graph import sql_citations
+from lexspark.operators.stored_index import StoredIndex
 from lexspark.plugins import hashing_embedder
-from lexspark.plans.inputs import CORPUS_SQL, QUERY_VECTORS_SQL, QUESTIONS_SQL, VECTORS_SQL, sql_tokens
+from lexspark.session import scratch_path
+from lexspark.plans.inputs import CORPUS_SQL, QUERY_VECTORS_SQL, QUESTIONS_SQL, VECTORS_SQL, sql_in_order, sql_tokens
 
 QUERIES, ORACLE = {}, {}
 
@@ -56,18 +58,44 @@ def _c2(spark, sf):
     return idf.withColumn("n_docs", index.n_docs).withColumn("avgdl", F.round(index.avgdl, 4))
 
 
+def _c1_stored(spark, sf):
+    """The contents of the stored index."""
+    return src.stored_index(spark, sf).token_summary()
+
+
 def _c3(spark, sf):
+    return src.stored_index(spark, sf).bm25(src.questions(spark, sf), 10)
+
+
+def _c3_scan(spark, sf):
+    """The same ranking straight from the texts."""
     return postings.bm25_scores(src.questions(spark, sf), src.corpus(spark, sf), 10)
 
 
 def _c4(spark, sf):
     docs = src.corpus(spark, sf)
-    hits = postings.phrase_search(src.questions(spark, sf), docs, fv.TOP_K)
+    hits = src.stored_index(spark, sf).phrase_search(src.questions(spark, sf), docs, fv.TOP_K)
     return hits.join(docs, "doc_key").select("query_id", "doc_key", "rank", snippet(F.col("text"), F.col("hit_pos")).alias("snippet"))
 
 
 def _c5(spark, sf):
-    return postings.keyword_overlap(src.questions(spark, sf), src.corpus(spark, sf), fv.TOP_K)
+    return src.stored_index(spark, sf).keyword_overlap(src.questions(spark, sf), fv.TOP_K)
+
+
+def _c5_snippets(spark, sf):
+    q = src.questions(spark, sf)
+    hits = hybrid.keyword_snippets(_c5(spark, sf), q, src.corpus(spark, sf))
+    return hits.select("query_id", "doc_key", "rank", F.md5("snippet").alias("snippet_md5"))
+
+
+def _c8_segments(spark, sf):
+    """An index grown by one delivery a language, the last one holding all documents again, then merged: ranks as after a rebuild."""
+    docs = src.text_table(spark, sf, "documents").select(F.concat(F.lit("static::"), F.col("doc_id").cast("string")).alias("doc_key"), "text", "lang")
+    part = lambda rows: docs.where(rows).select("doc_key", "text")
+    index = StoredIndex.create(part("lang = 'en'"), scratch_path(spark, "index"))
+    index = index.append(part("lang IN ('de', 'fr')")).append(part("true")).merge()
+    hits = index.bm25(src.questions(spark, sf), 10)
+    return hits.withColumn("n_docs", F.lit(index.totals.n_docs)).withColumn("segments", F.lit(len(index.live)))
 
 
 def _c7(spark, sf):
@@ -124,8 +152,8 @@ def _c12(spark, sf):
 
 
 def _c13(spark, sf):
-    q, docs = src.questions(spark, sf), src.corpus(spark, sf)
-    bm = postings.bm25_scores(q, docs, 16).select("query_id", "doc_key", "rank")
+    q = src.questions(spark, sf)
+    bm = src.stored_index(spark, sf).bm25(q, 16).select("query_id", "doc_key", "rank")
     dn = dense.knn(src.query_vectors(spark, sf), src.vectors(spark, sf), 16).select("query_id", "doc_key", "rank")
     return ranking.reciprocal_rank_fusion(bm.unionByName(dn), 10)
 
@@ -133,13 +161,13 @@ def _c13(spark, sf):
 def _c14(spark, sf):
     hits = hybrid.hybrid_search(
         src.questions(spark, sf), src.corpus(spark, sf), src.query_vectors(spark, sf), src.vectors(spark, sf),
-        k=fv.TOP_K, rerank=True,
+        k=fv.TOP_K, rerank=True, index=src.stored_index(spark, sf),
         session_queries=_session_queries(spark, sf), session_chunks=_sessions(spark, sf))
     return hits.select("query_id", "doc_key", "rank", F.length("snippet").alias("snippet_chars"), F.md5("snippet").alias("snippet_md5"))
 
 
 def _c14_modes(spark, sf):
-    frames, index = [], postings.bm25_index(src.corpus(spark, sf))
+    frames, index = [], src.stored_index(spark, sf)
     for mode in ("rrf", "dense", "bm25"):
         hits = hybrid.hybrid_search(src.questions(spark, sf), src.corpus(spark, sf), src.query_vectors(spark, sf),
                                     src.vectors(spark, sf), k=fv.TOP_K, mode=mode, index=index)
@@ -149,7 +177,7 @@ def _c14_modes(spark, sf):
 
 def _c15(spark, sf):
     q, docs = src.questions(spark, sf), src.corpus(spark, sf)
-    pool = postings.bm25_scores(q, docs, fv.RERANK_POOL).join(docs, "doc_key")
+    pool = src.stored_index(spark, sf).bm25(q, fv.RERANK_POOL).join(docs, "doc_key")
     pool = pool.select("query_id", "doc_key", "rank", snippet(F.col("text")).alias("snippet"))
     return hybrid.rerank(pool, q, 5).select("query_id", "doc_key", "rank")
 
@@ -168,7 +196,7 @@ def _cascade_inputs(spark, sf):
 
 def _c16(spark, sf):
     q, qv = _cascade_inputs(spark, sf)
-    hits = hybrid.cascade(q, src.corpus(spark, sf), qv, src.vectors(spark, sf), k=3, mode="dense", min_score=0.3)
+    hits = hybrid.cascade(q, src.corpus(spark, sf), qv, src.vectors(spark, sf), k=3, mode="dense", min_score=0.3, index=src.stored_index(spark, sf))
     return hits.select("query_id", "layer", "doc_key", "rank")
 
 
@@ -208,12 +236,11 @@ def _c6(spark, sf):
 
 
 def _c11_kept(spark, sf):
-    """Chunks left after clearing the sessions that bought something, and how
-    many of the known users still have a session."""
+    """Chunks left after clearing the sessions of customers in debt, and how many
+    of the known users have a session."""
     chunks = session_chunks.append_chunks(src.table(spark, sf, "events").selectExpr(*_UPLOAD_EVENTS))
-    buyers = chunks.where("filename = 'purchase'").select("session_id").distinct()
-    left = session_chunks.clear_sessions(chunks.where("filename <> 'view'"), buyers)
-    customers = src.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("session_id"))
+    customers = src.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("session_id"), "c_acctbal")
+    left = session_chunks.clear_sessions(chunks, customers.where("c_acctbal < 0"))
     alive = session_chunks.existing_sessions(customers, chunks)
     return left.groupBy("session_id").agg(F.count("*").alias("n")).unionByName(alive.agg(F.lit("alive").alias("session_id"), F.count("*").alias("n")))
 
@@ -229,7 +256,8 @@ def _c11_continued(spark, sf):
 def _c17(spark, sf):
     graph = gb.build_graph(src.provisions(spark, sf))
     boost = gw.graph_boost(src.questions(spark, sf), graph)
-    contexts = answering.wide_contexts(src.questions(spark, sf), boost, src.corpus(spark, sf), src.query_vectors(spark, sf), src.vectors(spark, sf))
+    contexts = answering.wide_contexts(src.questions(spark, sf), boost, src.corpus(spark, sf), src.query_vectors(spark, sf), src.vectors(spark, sf),
+                                       index=src.stored_index(spark, sf))
     return contexts.select("query_id", F.size("contexts").alias("n_contexts"), F.md5(F.array_join("contexts", "\n")).alias("contexts_md5"))
 
 
@@ -242,6 +270,7 @@ def _c20_lookup(spark, sf):
 
 
 QUERIES.update({
+    "c1_stored_index": _c1_stored, "c3_bm25_scan": _c3_scan, "c5_keyword_snippets": _c5_snippets, "c8_index_segments": _c8_segments,
     "c3_zero_fill": _c3_fill, "c6_embeddings": _c6, "c11_cleared_sessions": _c11_kept, "c11_continued_numbers": _c11_continued,
     "c17_contexts": _c17, "c20_document_lookup": _c20_lookup,
     "c1_postings": _c1, "c2_bm25_statistics": _c2, "c3_bm25_top_k": _c3, "c4_phrase_search": _c4,
@@ -292,7 +321,7 @@ ORACLE.update({
     "c3_zero_fill": f"""WITH prov AS ({src.PROVISIONS_SQL}), corpus AS (SELECT id AS doc_key, concat_ws(' ', title, domain) AS text FROM prov), {sql_bm25('SELECT DISTINCT title AS query_id, title AS text FROM prov')},
       al AS (SELECT q.query_id AS query_id, c.doc_key AS doc_key, coalesce(score, 0.0) AS score FROM q CROSS JOIN corpus c LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_key = c.doc_key),
       k AS (SELECT *, score <> 0 OR EXISTS (SELECT 1 FROM bm WHERE bm.query_id = al.query_id AND bm.doc_key = al.doc_key) AS hit FROM al), {_ranked('k', 400, 'r')} SELECT * FROM r""",
-    "c11_cleared_sessions": f"""WITH c AS ({_CHUNKS_SQL}), l AS (SELECT session_id, count(*) AS n FROM c WHERE filename <> 'view' AND session_id NOT IN (SELECT session_id FROM c WHERE filename = 'purchase') GROUP BY 1)
+    "c11_cleared_sessions": f"""WITH c AS ({_CHUNKS_SQL}), l AS (SELECT session_id, count(*) AS n FROM c WHERE session_id NOT IN (SELECT CAST(c_custkey AS STRING) FROM customer WHERE c_acctbal < 0) GROUP BY 1)
       SELECT * FROM l UNION ALL SELECT 'alive', count(*) FROM customer WHERE CAST(c_custkey AS STRING) IN (SELECT session_id FROM c)""",
     "c11_continued_numbers": f"""WITH u AS (SELECT * FROM ({_UPLOAD_SQL}) WHERE trim(text) <> '') SELECT session_id, seq, 'session::' || filename || '::' || CAST(row_number() OVER (PARTITION BY session_id, filename
       ORDER BY ts >= TIMESTAMP '2024-01-10', seq) - 1 AS STRING) AS chunk_key FROM u""",
@@ -309,6 +338,11 @@ ORACLE.update({
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_key) AS rank FROM hit)
       SELECT query_id, doc_key, rank, {_clean('text', 'greatest(pos - 200, 0) + 1')} AS snippet FROM r WHERE rank <= {fv.TOP_K}""",
     "c5_keyword_overlap": f"WITH {_CTE}, ov AS (SELECT query_id, doc_key, count(*) AS score FROM qt JOIN post USING (tok) GROUP BY ALL), {_ranked('ov', fv.TOP_K, 'r')} SELECT * FROM r",
+    "c5_keyword_snippets": f"""WITH {_CTE}, ov AS (SELECT query_id, doc_key, count(*) AS score FROM qt JOIN post USING (tok) GROUP BY ALL), {_ranked('ov', fv.TOP_K, 'r')},
+      w AS (SELECT r.query_id AS query_id, doc_key, rank, corpus.text AS text, {sql_in_order(sql_tokens('q.text'))} AS asked,
+        ' ' || regexp_replace(lower(corpus.text), '[^a-z0-9£]', ' ', 'g') || ' ' AS blanked FROM r JOIN corpus USING (doc_key) JOIN q ON q.query_id = r.query_id),
+      p AS (SELECT *, list_filter(list_transform(asked, lambda t: strpos(blanked, ' ' || t || ' ')), lambda x: x > 0)[1] - 1 AS pos FROM w)
+      SELECT query_id, doc_key, rank, md5({_clean('text', 'greatest(pos - 200, 0) + 1')}) AS snippet_md5 FROM p""",
     "c7_vector_knn": f"WITH {_CTE}, {_ranked('sim', 10, 'r')} SELECT * FROM r",
     "c8_index_growth": f"""WITH corpus AS ({CORPUS_SQL}), new AS (SELECT 'static::' || query_id AS doc_key, text FROM ({QUESTIONS_SQL})),
       up AS ({_UPLOADED_SQL}), grown AS (SELECT * FROM corpus UNION ALL SELECT * FROM new WHERE doc_key NOT IN (SELECT doc_key FROM corpus) UNION ALL SELECT * FROM up)
@@ -356,3 +390,7 @@ ORACLE.update({
       SELECT count(*) AS num_docs, sum(len(text)) AS total_chars, count(*) FILTER (WHERE doc_key LIKE 'upload::%') AS uploads,
       count(*) FILTER (WHERE doc_key LIKE 'static::%') AS statics, (SELECT count(DISTINCT tok) FROM (SELECT unnest({sql_tokens('text')}) AS tok FROM g)) AS num_tokens FROM g""",
 })
+ORACLE.update({
+    "c1_stored_index": ORACLE["c1_postings"], "c3_bm25_scan": ORACLE["c3_bm25_top_k"],
+    "c8_index_segments": ORACLE["c3_bm25_top_k"].replace("SELECT * FROM r", "SELECT r.*, n AS n_docs, 1 AS segments FROM r, cs"),
+})
