@@ -41,7 +41,7 @@ RANGE = 1024  # documents of a range, about
 KEYS = -1  # bucket of the rows that hold the keys of a range
 SALTS = 8  # files of a bucket: its rows are dealt by range as well, so a frequent token is spread
 LOOKUPS = 4  # tokens of a phrase whose lists are intersected, the rarest; the text decides about the others
-QUERY_ROWS = 200_000  # (query, token) rows searched at once; more are searched in blocks
+QUERY_ROWS = 1_000_000  # (query, token) rows searched at once; more are searched in blocks
 SEEDS = 2  # ranges of the highest bounds that give a query its first threshold
 TOKENS_AT_ONCE = 500_000  # tokens sorted by one step of a build, or one longer document
 ROUNDING = 1e-4  # scores are compared after rounding to four places
