@@ -15,8 +15,9 @@ from lexspark.llm.common import map_rows
 
 # fixed values: the public pre-token pattern of byte-level BPE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# remembered pre-tokens of a Python worker; the memory is emptied when full, which changes no result
-REMEMBERED = 200_000
+# remembered pre-tokens of a Python worker, in two generations: words met since the last change move to the young one,
+# and the old one goes when the young one is full. This changes no result.
+REMEMBERED = 150_000
 REMEMBERED_CHARS = 64
 
 
@@ -36,10 +37,12 @@ class Codec:
         byte_of = {c: bytes([b]) for b, c in enumerate(letters)}
         self.first = [vocab.get(c) for c in letters]
         self.bytes_of = {i: b"".join(byte_of.get(c, c.encode()) for c in token) for token, i in vocab.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank_of: dict[int, int] = {}  # left id * 2**32 + right id
+        self.rules: list[tuple[int, int, int]] = []  # by rank: left, right, merged
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.rules.append((vocab[left], vocab[right], vocab[left + right]))
+            self.rank_of.setdefault(vocab[left] << 32 | vocab[right], rank)
         self.added = {}
         for token in spec.get("added_tokens", []):
             if any(token[flag] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
@@ -49,55 +52,73 @@ class Codec:
         longest = sorted(self.added, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")").split if longest else lambda text: [text]
         self.words = regex.compile(PATTERN).findall
-        self.memory: dict[str, list[int]] = {}
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.packed_added = {token: self._pack([i]) for token, i in self.added.items()}
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token.
 
-        A queue holds (rank, position, ids) of adjacent pairs over a doubly
-        linked list; an entry is stale when its symbols are no longer there.
+        A queue holds rank and place of adjacent pairs over a doubly linked
+        list; an entry is stale when its rank's symbols are no longer there.
         Time n log n for n bytes.
         """
         ids = [i for b in word.encode() if (i := self.first[b]) is not None]
-        n = len(ids)
+        n, rank_of, rules = len(ids), self.rank_of, self.rules
+        if n < 2:
+            return ids
+        queue = [rank << 32 | at for at in range(n - 1) if (rank := rank_of.get(ids[at] << 32 | ids[at + 1])) is not None]
+        if n == 2:
+            return [rules[queue[0] >> 32][2]] if queue else ids
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        merges, queue = self.merges, []
-        for at in range(n - 1):
-            if found := merges.get((ids[at], ids[at + 1])):
-                queue.append((found[0], at, ids[at], ids[at + 1], found[1]))
         heapq.heapify(queue)
         while queue:
-            _, at, left, right, merged = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            at = entry & 0xFFFFFFFF
+            left, right, merged = rules[entry >> 32]
             nxt = after[at]
             if ids[at] != left or nxt >= n or ids[nxt] != right:
                 continue  # stale
             ids[at], ids[nxt] = merged, -1
-            after[at] = after[nxt]
-            if after[at] < n:
-                before[after[at]] = at
-                if found := merges.get((merged, ids[after[at]])):
-                    heapq.heappush(queue, (found[0], at, merged, ids[after[at]], found[1]))
-            if (prev := before[at]) >= 0 and (found := merges.get((ids[prev], merged))):
-                heapq.heappush(queue, (found[0], prev, ids[prev], merged, found[1]))
+            after[at] = behind = after[nxt]
+            if behind < n:
+                before[behind] = at
+                if (rank := rank_of.get(merged << 32 | ids[behind])) is not None:
+                    heapq.heappush(queue, rank << 32 | at)
+            if (prev := before[at]) >= 0 and (rank := rank_of.get(ids[prev] << 32 | merged)) is not None:
+                heapq.heappush(queue, rank << 32 | prev)
         return [i for i in ids if i >= 0]
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        memory = self.memory
+    def _pack(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """Ids as little-endian 32-bit integers, and the bytes of their vocabulary strings put together."""
+        return np.array(ids, "<u4").tobytes(), b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def _remembered(self, word: str) -> tuple[bytes, bytes]:
+        """The packed word, from the old generation or from the merge queue; remembered in the young one."""
+        packed = self.old.get(word) or self._pack(self.merge(word))
+        if len(word) <= REMEMBERED_CHARS:
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[word] = packed
+        return packed
+
+    def pack(self, text: str) -> tuple[bytes, bytes]:
+        """A text's ids as little-endian 32-bit integers, and the decoded bytes."""
+        ids, data = [], []
         for part in self.split(text):
-            if part in self.added:
-                out.append(self.added[part])
+            if part in self.packed_added:
+                packed = self.packed_added[part]
+                ids.append(packed[0])
+                data.append(packed[1])
                 continue
             for word in self.words(part):
-                ids = memory.get(word)
-                if ids is None:
-                    ids = self.merge(word)
-                    if len(word) <= REMEMBERED_CHARS:
-                        if len(memory) >= REMEMBERED:
-                            memory.clear()
-                        memory[word] = ids
-                out += ids
-        return out
+                packed = self.young.get(word) or self._remembered(word)
+                ids.append(packed[0])
+                data.append(packed[1])
+        return b"".join(ids), b"".join(data)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.pack(text)[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -127,11 +148,10 @@ def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     """
 
     def run(k, t):
-        c = codec(vocabulary)
-        ids = c.encode(t or "")
-        data = c.decode(ids).encode()
-        hashes = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()
-        return (k, len(ids), *hashes, ids) if keep_ids else (k, len(ids), *hashes)
+        ids, data = codec(vocabulary).pack(t or "")
+        decoded = data.decode("utf-8", "replace").encode()
+        hashes = hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return (k, len(ids) // 4, *hashes, np.frombuffer(ids, "<i4")) if keep_ids else (k, len(ids) // 4, *hashes)
 
     schema = f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_rows(docs.select(key, text), schema + ", ids array<int>" * keep_ids, run)
