@@ -14,6 +14,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, made longer until df has no such column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_rows(df: DataFrame, schema: str, fn: Callable[..., tuple]) -> DataFrame:
     """fn(value of each column) -> one output tuple per row, in Arrow batches."""
     names = [part.split()[0] for part in schema.split(",")]

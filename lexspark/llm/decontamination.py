@@ -6,6 +6,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexspark.llm.common import unused
 from lexspark.operators.sizing import BROADCAST_ROWS
 from lexspark.session import cut_lineage
 
@@ -109,7 +110,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
                     size: int = WINDOW) -> DataFrame:
     """Rows of docs, all columns kept, that are not contaminated (see contamination)."""
+    mark, one = unused(docs, "text_hash"), unused(docs, "contaminated_one")
     bad = contamination(docs, items, key, text, item_key, item_text, size).where("contaminated").select(
-        F.col(key).alias("_key"), F.col("text_key").alias("_text")).distinct()
-    tagged = docs.withColumn("_k", text_key(key, text))
-    return tagged.join(bad, (F.col("_k") == F.col("_text")) & F.col(key).eqNullSafe(F.col("_key")), "left_anti").select(*docs.columns)
+        F.struct(F.col(key).alias("key"), F.col("text_key").alias("text")).alias(one)).distinct()
+    tagged = docs.withColumn(mark, text_key(key, text))
+    return tagged.join(bad, (F.col(mark) == F.col(one)["text"]) & F.col(key).eqNullSafe(F.col(one)["key"]), "left_anti").select(*docs.columns)

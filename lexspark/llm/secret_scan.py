@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexspark.llm.common import unused
 from lexspark.session import cut_lineage
 
 # fixed values: kinds in order, their patterns, and what a match must hold to count
@@ -117,9 +118,10 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     Columns and row count stay. Texts without a span, null ones included, are unchanged.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    tag, of, found = (unused(docs, name) for name in ("text_hash", "hash_of_spans", "found_spans"))
     spans = scan_secrets(docs, key, text).where(F.size(F.concat("base", "extra")) > 0).select(
-        F.col("text_key").alias("_k"), F.array_sort(F.concat("base", "extra")).alias("_spans")).dropDuplicates(["_k"])
-    tagged = docs.withColumn("_k", F.struct(F.xxhash64(F.col(key), body).alias("a"), F.xxhash64(body, F.col(key), F.lit(1)).alias("b"))).join(spans, "_k", "left")
+        F.col("text_key").alias(of), F.array_sort(F.concat("base", "extra")).alias(found)).dropDuplicates([of])
+    tagged = docs.withColumn(tag, F.struct(F.xxhash64(F.col(key), body).alias("a"), F.xxhash64(body, F.col(key), F.lit(1)).alias("b"))).join(spans, F.col(tag) == F.col(of), "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def cut(a: Column, x: Column) -> Column:
@@ -127,5 +129,5 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
         fresh = (x["s"] > a["at"]) | (F.size(a["out"]) == 0)
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
 
-    pieces = F.aggregate("_spans", start, cut, lambda a: F.concat(a["out"], F.array(F.substring(F.col(text), a["at"] + 1, F.char_length(F.col(text))))))
-    return tagged.withColumn(text, F.when(F.col("_spans").isNotNull(), F.array_join(pieces, mark)).otherwise(F.col(text))).select(*docs.columns)
+    pieces = F.aggregate(found, start, cut, lambda a: F.concat(a["out"], F.array(F.substring(F.col(text), a["at"] + 1, F.char_length(F.col(text))))))
+    return tagged.withColumn(text, F.when(F.col(found).isNotNull(), F.array_join(pieces, mark)).otherwise(F.col(text))).select(*docs.columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lexspark.llm.common import connected_components, map_rows
+from lexspark.llm.common import connected_components, map_rows, unused
 from lexspark.session import cut_lineage
 
 # fingerprints of a tile; a pair of tiles needs about ROWS_AT_ONCE * TILE * 9 bytes
@@ -121,11 +121,12 @@ def one_of_each_group(docs: DataFrame, radius: int = 3, key: str = "doc_id", tex
 
     prints = cut_lineage(docs.select(F.col(key).cast("long"), text, F.xxhash64(text).alias("_t")).mapInArrow(run, f"{key} long, fp long, _t long"))
     members = class_members(prints, radius, key)
+    mark, one = unused(docs, "text_hash"), unused(docs, "chosen")
     first = F.min(F.struct(F.coalesce(F.col(key).isNull(), F.lit(True)).alias("_none"), F.col(key), F.col("_t")))
     by_class = prints.groupBy("fp").agg(first.alias("s"))
-    chosen = by_class.join(members, "fp").groupBy("root").agg(F.min("s").alias("s")).select(F.col(f"s.{key}").alias("_key"), F.col("s._t").alias("_text"))
-    kept = docs.withColumn("_t", F.xxhash64(text)).join(chosen, (F.col("_t") == F.col("_text")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    return kept.dropDuplicates([key, "_t"]).select(*docs.columns)
+    chosen = by_class.join(members, "fp").groupBy("root").agg(F.min("s").alias("s")).select(F.struct(F.col(f"s.{key}").alias("key"), F.col("s._t").alias("text")).alias(one))
+    kept = docs.withColumn(mark, F.xxhash64(text)).join(chosen, (F.col(mark) == F.col(one)["text"]) & F.col(key).eqNullSafe(F.col(one)["key"]), "left_semi")
+    return kept.dropDuplicates([key, mark]).select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:

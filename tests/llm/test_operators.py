@@ -162,6 +162,17 @@ def test_only_learned_languages_stay(spark):
     assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")} | {k for k, _, _ in short + quoted}
 
 
+def test_stages_leave_columns_named_like_their_helpers_alone(spark):
+    helpers = ["_t", "_k", "_key", "_text", "_spans", "text_hash", "Text_Hash_", "chosen", "contaminated_one", "hash_of_spans", "found_spans"]
+    rows = [(1, "a password=abcdefghijklmnop b"), (2, "w1 w2"), (3, "a password=abcdefghijklmnop b"), (None, None)]
+    docs = spark.createDataFrame([(k, t, *helpers) for k, t in rows], "doc_id long, text string, " + ", ".join(f"`{h}` string" for h in helpers))
+    items = spark.createDataFrame([(1, "w1 w2")], "item_id long, text string")
+    for out, want in ((simhash.one_of_each_group(docs), {1, 2, None}), (decontamination.clean_documents(docs, items), {1, 3, None}), (secret_scan.redact(docs), {1, 2, 3, None})):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert {r["doc_id"] for r in got} == want and all(r[h] == h for r in got for h in helpers)
+
+
 def test_urls(spark):
     link = '<a class=x href="https://bad.test/a">b</a>'
     rows = [
@@ -187,6 +198,12 @@ def test_bpe_matches_the_library(sample, odd_rows, frame):
     for t in texts:
         ids = library.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False), repr(t[:60])
+    own.young, own.old = {}, {}
+    bpe_full, bpe.REMEMBERED = bpe.REMEMBERED, 3  # words move between the generations all the time
+    try:
+        assert [own.encode(t) for t in texts[-40:]] == [library.encode(t, add_special_tokens=False).ids for t in texts[-40:]]
+    finally:
+        bpe.REMEMBERED = bpe_full
     ids = bpe.encode_documents(frame(odd_rows), path)
     back = {r["doc_id"]: r["text"] for r in bpe.decode_documents(ids, path).collect()}
     assert back == {k: t or "" for k, t in odd_rows}
