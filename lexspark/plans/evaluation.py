@@ -14,6 +14,7 @@ from lexspark.plans.graph import _BASE as GRAPH_SQL
 from lexspark.plans.inputs import ANSWERS_SQL, CORPUS_SQL, QUESTIONS_SQL, RECORDS_SQL, sql_quote, sql_tokens
 from lexspark.plans.retrieval import _hybrid_sql
 from lexspark.plans.text_rules import _FOLD, _PLAIN, sql_has_line, sql_invalid, sql_lemmas, sql_penalty, sql_source_line, sql_source_token, sql_stems
+from lexspark.plans.verification import sql_claims
 from lexspark.plugins import run_judge
 
 QUERIES, ORACLE = {}, {}
@@ -281,6 +282,18 @@ def _phrase_test() -> str:
     return "(" + " OR ".join(tests) + ")"
 
 
+def _lcs(a: str, b: str) -> str:
+    """Longest common subsequence by the textbook table: one row of it per word of b, whose cells are running maxima."""
+    cells = f"list_transform(range(1, len({a}) + 1), lambda j: greatest(above[j], eq[j] + CASE WHEN j = 1 THEN 0 ELSE above[j - 1] END))"
+    row = f"list_transform([{cells}], lambda c: list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])))[1]"
+    marks = f"list_transform({b}, lambda w: list_transform({a}, lambda x: CAST(x = w AS BIGINT)))"
+    return f"list_reduce({marks}, lambda above, eq: {row}, list_transform({a}, lambda x: CAST(0 AS BIGINT)))[-1]"
+
+
+def _rouge(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE 2.0 * {_lcs(a, b)} / (len({a}) + len({b})) END"
+
+
 _KW_DISTINCT = f"list_distinct(list_transform({_items('expected_keywords')}, lambda x: lower(x)))"
 _CLEAN = "CASE WHEN isnan({0}) OR isinf({0}) THEN NULL ELSE {0} END"
 _SUM = ", ".join(f"round(avg({_CLEAN.format(m)}), 4) AS {m}_mean, count({_CLEAN.format(m)}) AS {m}_n_valid, count(*) AS {m}_n_total" for m in ("m1", "m2", "m3"))
@@ -336,9 +349,45 @@ _DIAG = f"""{_sample_sql(_DIAG_SRC, 10, 17)}, {_in_corpus(f"SELECT qid, ground_t
   dg AS (SELECT qid, domain, regexp_matches(ground_truth, '(?i){fv.PLACEHOLDER_PATTERN}') AS is_placeholder, qid IN (SELECT qid FROM inc) AS gt_in_corpus, qid IN (SELECT qid FROM ctx) AS gt_in_retrieved,
     regexp_extract(answer, '(?i){'|'.join(fv.FIRST_CITATION)}') AS top1_citation FROM smp)"""
 
+_SOURCES = f"""{GRAPH_SQL}, cq AS (SELECT {', '.join(_CURATE)} FROM ({QUESTIONS_SQL})), todo AS (SELECT * FROM cq WHERE gold_answer = 'TODO'),
+      lc AS (SELECT lower(cite) AS k, arg_min(cite, id) AS cite, arg_min(text, id) AS text FROM prov GROUP BY 1),
+      ci AS (SELECT query_id, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS pos FROM (SELECT query_id, list_filter(list_transform(regexp_split_to_array(expected_citations, '[|,]'), lambda x: trim(x)), lambda x: x <> '') AS cs FROM todo)),
+      l1 AS (SELECT query_id, pos, lc.cite AS label, lc.text AS body FROM ci JOIN lc ON k = lower(c)), t2 AS (SELECT * FROM todo WHERE query_id NOT IN (SELECT query_id FROM l1)),
+      pdoc AS (SELECT id, {sql_tokens("concat_ws(' ', title, text, cite, module, domain)")} AS toks FROM prov), post AS (SELECT id, tok, count(*) AS tf FROM (SELECT id, unnest(toks) AS tok FROM pdoc) GROUP BY ALL),
+      cs AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM pdoc), raw AS (SELECT tok, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT tok, count(*) AS df FROM post GROUP BY tok), cs),
+      idf AS (SELECT tok, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw), qt AS (SELECT query_id, tok, count(*) AS qtf FROM (SELECT query_id, unnest({sql_tokens('text')}) AS tok FROM t2) GROUP BY ALL),
+      bm AS (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl))), 4) AS score FROM qt JOIN idf USING (tok) JOIN post USING (tok) JOIN pdoc USING (id), cs GROUP BY ALL),
+      l2 AS (SELECT query_id, pos, cite AS label, text AS body FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos FROM bm) JOIN prov USING (id) WHERE pos <= 3),
+      qw AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM t2 WHERE query_id NOT IN (SELECT query_id FROM l2)),
+      l3 AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_key) AS pos, doc_key AS label FROM (SELECT query_id, doc_key, count(*) AS n FROM qw JOIN ({CORPUS_SQL}) d ON contains(lower(d.text), w) GROUP BY ALL) WHERE n >= 4)"""
+CURATION_SQL = f"""WITH {_SOURCES},
+      src AS (SELECT query_id, pos, label, body FROM l1 UNION ALL SELECT query_id, pos, label, body FROM l2 UNION ALL SELECT query_id, pos, label, text FROM l3 JOIN ({CORPUS_SQL}) d ON doc_key = label WHERE pos <= 2),
+      used AS (SELECT query_id, string_agg(label, ' | ' ORDER BY pos, label) AS labels, arg_min(body, pos) AS body FROM src GROUP BY query_id),
+      cl AS (SELECT query_id, arg_min(claim, ln * 1000000 + sn) AS draft FROM {sql_claims('used', 'query_id', 'body')} WHERE len(claim) >= 25 GROUP BY query_id)
+      SELECT query_id, coalesce(draft, gold_answer) AS gold_answer, CASE WHEN gold_answer <> 'TODO' THEN 'kept_original' WHEN draft IS NOT NULL THEN 'llm_drafted' ELSE 'needs_manual' END AS curation_status,
+        CASE WHEN gold_answer <> 'TODO' THEN expected_citations ELSE coalesce(labels, '') END AS curation_source_cites FROM cq LEFT JOIN used USING (query_id) LEFT JOIN cl USING (query_id)"""
+
+
+def _bag(text: str) -> str:
+    return f"list_filter(list_distinct(string_split_regex(lower({text}), '\\s+')), lambda x: x <> '')"
+
+
+def _overlap(part: str, whole: str) -> str:
+    return f"CASE WHEN judged THEN len(list_intersect({part}, {whole})) / len({part}) END"
+
+
+JUDGED_SQL = f"""WITH w AS (SELECT qid, domain, {_bag('answer')} AS a, {_bag('question')} AS q, {_bag('ground_truth')} AS g FROM ({RECORDS_SQL})),
+      j AS (SELECT *, domain <> 'c9' AND len(a) > 0 AND len(q) > 0 AND len(g) > 0 AS judged FROM w)
+      SELECT qid, {_overlap('a', 'a')} AS faithfulness, {_overlap('q', 'a')} AS answer_relevancy, {_overlap('a', 'g')} AS context_precision, {_overlap('g', 'a')} AS context_recall FROM j"""
+
 ORACLE.update({
     "f1_jaccard": f"""SELECT qid, round({_jac('aw', 'gw')}, 4) AS plain, round({_jac('ast', 'gst', '1.0')}, 4) AS stemmed, round({_jac('al', 'gl')}, 4) AS relaxed FROM (SELECT qid, {sql_tokens('answer')} AS aw, {sql_tokens('ground_truth')} AS gw,
       {sql_stems('answer')} AS ast, {sql_stems('ground_truth')} AS gst, {sql_lemmas('answer')} AS al, {sql_lemmas('ground_truth')} AS gl FROM ({_REC_SQL}))""",
+    "f2_rouge_l": f"SELECT qid, round({_rouge('aw', 'gw')}, 4) AS rouge_l FROM (SELECT qid, {sql_tokens('answer')} AS aw, {sql_tokens('ground_truth')} AS gw FROM ({_REC_SQL}))",
+    "f5_lexical_scores": f"""SELECT qid, round({_jac('aw', 'gw')}, 4) AS lex_jaccard, round({_rouge('aw', 'gw')}, 4) AS lex_rouge_l, round({_share(_items('expected_citations'), 'contains(lower(answer), lower(k))', '0.0')}, 4) AS lex_citation_match,
+      round({_share(_KW_DISTINCT, 'list_contains(aw, k)', '0.0')}, 4) AS lex_keyword_f1 FROM (SELECT *, {sql_tokens('answer')} AS aw, {sql_tokens('ground_truth')} AS gw FROM ({_REC_SQL}))""",
+    "f8_blended_similarity": f"""SELECT qid, round(0.7 * ({_rouge('aw', 'gw')}) + 0.3 * ({_jac('ast', 'gst', '1.0')}), 4) AS blend
+      FROM (SELECT qid, {sql_tokens('answer')} AS aw, {sql_tokens('ground_truth')} AS gw, {sql_stems('answer')} AS ast, {sql_stems('ground_truth')} AS gst FROM ({_REC_SQL}))""",
     "f3_citation_match": f"SELECT answer_id, round({_share(_items('expected_citations'), 'contains(lower(answer), lower(k))', '0.0')}, 4) AS citation_match FROM ({_SCORED_SQL})",
     "f4_keyword_f1": f"SELECT qid, round({_share(_KW_DISTINCT, 'list_contains(toks, k)', '0.0')}, 4) AS keyword_f1 FROM (SELECT *, {sql_tokens('answer')} AS toks FROM ({_REC_SQL}))",
     "f6_phrase_keywords": f"""SELECT answer_id, round({_share(_items('expected_keywords'), _phrase_test(), '1.0')}, 4) AS keyword_f1, round({_share("list_filter(string_split(expected_keywords, '|'), lambda x: x <> '')", _phrase_test(), '1.0')}, 4) AS completeness
@@ -377,17 +426,8 @@ ORACLE.update({
     "f23_verdict": f"""WITH {_DIAG}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(ground_truth, '(?i){fv.PLACEHOLDER_PATTERN}')) AS ph FROM base),
       k AS (SELECT count(*) AS n, count(*) FILTER (WHERE is_placeholder) AS placeholders, count(*) FILTER (WHERE NOT is_placeholder AND NOT gt_in_corpus) AS corpus_misses, count(*) FILTER (WHERE NOT is_placeholder AND NOT gt_in_retrieved) AS retrieved_misses FROM dg)
       SELECT k.n AS n, placeholders, corpus_misses, retrieved_misses, placeholders + corpus_misses AS quality_issues, placeholders + corpus_misses > 2 AS stop, ph AS set_placeholders, t.n AS set_total, ph * 100 // t.n AS set_percent, round((t.n - ph) / t.n, 4) AS recall_floor FROM k, t""",
-    "f24_curation_sources": f"""WITH {GRAPH_SQL}, cq AS (SELECT {', '.join(_CURATE)} FROM ({QUESTIONS_SQL})), todo AS (SELECT * FROM cq WHERE gold_answer = 'TODO'),
-      lc AS (SELECT lower(cite) AS k, arg_min(cite, id) AS cite FROM prov GROUP BY 1),
-      ci AS (SELECT query_id, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS pos FROM (SELECT query_id, list_filter(list_transform(regexp_split_to_array(expected_citations, '[|,]'), lambda x: trim(x)), lambda x: x <> '') AS cs FROM todo)),
-      l1 AS (SELECT query_id, pos, lc.cite AS label FROM ci JOIN lc ON k = lower(c)), t2 AS (SELECT * FROM todo WHERE query_id NOT IN (SELECT query_id FROM l1)),
-      pdoc AS (SELECT id, {sql_tokens("concat_ws(' ', title, text, cite, module, domain)")} AS toks FROM prov), post AS (SELECT id, tok, count(*) AS tf FROM (SELECT id, unnest(toks) AS tok FROM pdoc) GROUP BY ALL),
-      cs AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM pdoc), raw AS (SELECT tok, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT tok, count(*) AS df FROM post GROUP BY tok), cs),
-      idf AS (SELECT tok, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw), qt AS (SELECT query_id, tok, count(*) AS qtf FROM (SELECT query_id, unnest({sql_tokens('text')}) AS tok FROM t2) GROUP BY ALL),
-      bm AS (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl))), 4) AS score FROM qt JOIN idf USING (tok) JOIN post USING (tok) JOIN pdoc USING (id), cs GROUP BY ALL),
-      l2 AS (SELECT query_id, pos, cite AS label FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos FROM bm) JOIN prov USING (id) WHERE pos <= 3),
-      qw AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM t2 WHERE query_id NOT IN (SELECT query_id FROM l2)),
-      l3 AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_key) AS pos, doc_key AS label FROM (SELECT query_id, doc_key, count(*) AS n FROM qw JOIN ({CORPUS_SQL}) d ON contains(lower(d.text), w) GROUP BY ALL) WHERE n >= 4)
-      SELECT query_id, 'cites' AS layer, pos, label FROM l1 UNION ALL SELECT query_id, 'search', pos, label FROM l2 UNION ALL SELECT query_id, 'documents', pos, label FROM l3 WHERE pos <= 2""",
+    "f24_curation_sources": f"WITH {_SOURCES} SELECT query_id, 'cites' AS layer, pos, label FROM l1 UNION ALL SELECT query_id, 'search', pos, label FROM l2 UNION ALL SELECT query_id, 'documents', pos, label FROM l3 WHERE pos <= 2",
+    "f24_curation": CURATION_SQL,
+    "f26_judged_scores": JUDGED_SQL,
 })
 ORACLE["f19_run_manifest"] = ORACLE["f19_run_manifest"].replace(" AS avg_latency_ms_1", " AS avg_latency_number")
