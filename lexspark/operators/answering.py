@@ -10,7 +10,7 @@ from lexspark import fixed_values as fv
 from lexspark.functions.markdown import claims
 from lexspark.functions.text import content_tokens
 from lexspark.operators import hybrid
-from lexspark.operators.dense import refusal_gate, top_similarity
+from lexspark.operators.dense import knn, refusal_gate, similarity_of
 from lexspark.operators.graph_build import Graph
 from lexspark.operators.graph_walk import boost_bullets, graph_boost
 from lexspark.plugins import run_generator
@@ -38,17 +38,19 @@ def wide_contexts(queries: DataFrame, boost: DataFrame, docs: DataFrame, query_v
 
 def answer_questions(
     queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, graph: Graph,
-    generator: Callable | None = None, threshold: float = fv.REFUSAL_THRESHOLD, **options,
+    generator: Callable | None = None, threshold: float = fv.REFUSAL_THRESHOLD, pool: int = fv.EVAL_CONTEXT_POOL, **options,
 ) -> DataFrame:
     """(query_id, question, answer, contexts, source_line, refused, error).
 
     Queries below the similarity gate get the refusal text and still get their
     contexts. Everything up to the generator is one plan; generator=None uses
-    the extractive default, else a factory as in plugins.run_generator.
+    the extractive default, else a factory as in plugins.run_generator. One
+    vector search serves the gate and the contexts.
     """
-    gate = refusal_gate(top_similarity(queries, query_vectors, vectors), threshold).select("query_id", "refused")
+    near = cut_lineage(knn(query_vectors, vectors, max(2 * pool, 10)))
+    gate = refusal_gate(similarity_of(queries, near.where("rank = 1")), threshold).select("query_id", "refused")
     boost = cut_lineage(graph_boost(queries, graph))
-    contexts = wide_contexts(queries, boost, docs, query_vectors, vectors, **options)
+    contexts = wide_contexts(queries, boost, docs, query_vectors, vectors, pool, dense_hits=near, **options)
     rows = (
         queries.select("query_id", F.col("text").alias("question")).join(gate, "query_id")
         .join(contexts, "query_id", "left").join(boost.select("query_id", "source_line"), "query_id", "left")

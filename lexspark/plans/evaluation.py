@@ -10,11 +10,11 @@ from lexspark.functions.text import complexity_label, lemma_tokens, stem_tokens,
 from lexspark.operators import answering, curation, graph_build as gb, hybrid, lexical_scores as ls
 from lexspark.operators import recall_diagnosis as rd, relaxed_scores as rs, summaries as sm
 from lexspark.plans import inputs as src
-from lexspark.plans.graph import _BASE as GRAPH_SQL
-from lexspark.plans.inputs import ANSWERS_SQL, CORPUS_SQL, QUESTIONS_SQL, RECORDS_SQL, sql_quote, sql_tokens
-from lexspark.plans.retrieval import _hybrid_sql
+from lexspark.plans.graph import _BASE as GRAPH_SQL, boost_sql
+from lexspark.plans.inputs import ANSWERS_SQL, CORPUS_SQL, QUERY_VECTORS_SQL, QUESTIONS_SQL, RECORDS_SQL, VECTORS_SQL, sql_quote, sql_tokens
+from lexspark.plans.retrieval import _hybrid_sql, contexts_sql
 from lexspark.plans.text_rules import _FOLD, _PLAIN, sql_has_line, sql_invalid, sql_lemmas, sql_penalty, sql_source_line, sql_source_token, sql_stems
-from lexspark.plans.verification import sql_claims
+from lexspark.plans.verification import sql_claims, sql_content_set
 from lexspark.plugins import run_judge
 
 QUERIES, ORACLE = {}, {}
@@ -368,6 +368,18 @@ CURATION_SQL = f"""WITH {_SOURCES},
         CASE WHEN gold_answer <> 'TODO' THEN expected_citations ELSE coalesce(labels, '') END AS curation_source_cites FROM cq LEFT JOIN used USING (query_id) LEFT JOIN cl USING (query_id)"""
 
 
+ANSWERED_SQL = f"""WITH qs AS ({QUESTIONS_SQL}), ctx AS (SELECT query_id, body, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS no FROM ({contexts_sql()})),
+      sims AS (SELECT query_id, max(round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4)) AS s FROM ({QUERY_VECTORS_SQL}) a, ({VECTORS_SQL}) b GROUP BY query_id),
+      keyed AS (SELECT struct_pack(query_id := query_id, no := no) AS k, body FROM ctx),
+      cl AS (SELECT k.query_id AS query_id, k.no AS no, ln, sn, claim FROM {sql_claims('keyed', 'k', 'body')} WHERE len(claim) >= 25),
+      sc AS (SELECT cl.*, len(list_intersect({sql_content_set('qs.text')}, {sql_content_set('claim')})) AS shared FROM cl JOIN qs USING (query_id)),
+      best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, no, ln, sn) AS n FROM sc),
+      ans AS (SELECT query_id, string_agg(claim, ' ' ORDER BY no, ln, sn) AS answer FROM best WHERE n <= 3 GROUP BY query_id), cn AS (SELECT query_id, count(*) AS n FROM ctx GROUP BY query_id)
+      SELECT query_id, CASE WHEN coalesce(s, 0.0) < {fv.REFUSAL_THRESHOLD} THEN '{fv.REFUSAL_TEXT}' ELSE coalesce(answer, '') END AS answer, coalesce(n, 0) AS n_contexts, coalesce(source_line, '') AS source_line,
+        coalesce(s, 0.0) < {fv.REFUSAL_THRESHOLD} AS refused, '' AS error
+      FROM qs LEFT JOIN sims USING (query_id) LEFT JOIN ans USING (query_id) LEFT JOIN cn USING (query_id) LEFT JOIN (SELECT query_id, source_line FROM ({boost_sql(QUESTIONS_SQL)})) USING (query_id)"""
+
+
 def _bag(text: str) -> str:
     return f"list_filter(list_distinct(string_split_regex(lower({text}), '\\s+')), lambda x: x <> '')"
 
@@ -428,6 +440,7 @@ ORACLE.update({
       SELECT k.n AS n, placeholders, corpus_misses, retrieved_misses, placeholders + corpus_misses AS quality_issues, placeholders + corpus_misses > 2 AS stop, ph AS set_placeholders, t.n AS set_total, ph * 100 // t.n AS set_percent, round((t.n - ph) / t.n, 4) AS recall_floor FROM k, t""",
     "f24_curation_sources": f"WITH {_SOURCES} SELECT query_id, 'cites' AS layer, pos, label FROM l1 UNION ALL SELECT query_id, 'search', pos, label FROM l2 UNION ALL SELECT query_id, 'documents', pos, label FROM l3 WHERE pos <= 2",
     "f24_curation": CURATION_SQL,
+    "f25_batch_answers": ANSWERED_SQL,
     "f26_judged_scores": JUDGED_SQL,
 })
 ORACLE["f19_run_manifest"] = ORACLE["f19_run_manifest"].replace(" AS avg_latency_ms_1", " AS avg_latency_number")

@@ -158,8 +158,8 @@ mh AS (SELECT a, b, min(hops) AS hops FROM pth GROUP BY ALL)"""
 _TPP = "SELECT id, list_sort(list(DISTINCT term))[1:{k}] AS terms FROM men GROUP BY id"
 
 
-def _bm25(k: int) -> str:
-    return f"""q AS (SELECT DISTINCT title AS query_id, title AS text FROM prov),
+def _bm25(k: int, queries: str = "SELECT DISTINCT title AS query_id, title AS text FROM prov") -> str:
+    return f"""q AS ({queries}),
 pdoc AS (SELECT id AS doc_key, {sql_tokens("concat_ws(' ', title, text, cite, module, domain)")} AS toks FROM prov),
 post AS (SELECT doc_key, tok, count(*) AS tf FROM (SELECT doc_key, unnest(toks) AS tok FROM pdoc) GROUP BY ALL),
 cs AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM pdoc),
@@ -171,6 +171,24 @@ bm AS (SELECT query_id, doc_key, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0
 hit AS (SELECT * FROM (SELECT query_id, doc_key AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_key) AS rank FROM bm) WHERE rank <= {k})"""
 
 
+def boost_sql(queries: str) -> str:
+    """(query_id, context_md, source_line, must_terms) of questions (query_id, text)."""
+    return f"""WITH {_BASE}, {_WALK}, {_bm25(3, queries)}, tpp8 AS ({_TPP.format(k=8)}), tpp6 AS ({_TPP.format(k=6)}),
+      h AS (SELECT query_id, rank, prov.*, '- **' || cite || '** — ' || title || '. ' || left(text, 220) || CASE WHEN len(text) > 220 THEN '…' ELSE '' END || ' ('
+        || concat_ws(', ', nullif(module, ''), nullif(domain, ''), nullif(threshold, ''), nullif(deadline, '')) || ')' AS bullet FROM hit JOIN prov USING (id)),
+      sd AS (SELECT DISTINCT query_id, p.id AS seed FROM h JOIN prov p ON p.cite = h.cite),
+      r AS (SELECT query_id, b, o.cite AS rc, hops, row_number() OVER (PARTITION BY query_id ORDER BY hops, o.cite, b, a) AS n FROM sd JOIN mh ON a = seed JOIN prov o ON o.id = b),
+      r20 AS (SELECT * FROM r WHERE n <= 20),
+      byc AS (SELECT query_id, rc, min(hops) AS hops FROM r20 GROUP BY ALL),
+      fresh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rc) AS k FROM byc WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = byc.query_id AND h.cite = rc)),
+      note AS (SELECT query_id, '- *Related (2-hop)*: ' || string_agg(rc || ' (' || hops || '-hop)', ', ' ORDER BY rc) AS note FROM fresh WHERE k <= 5 GROUP BY query_id),
+      mt AS (SELECT query_id, unnest(tpp8.terms) AS t FROM h JOIN tpp8 USING (id) UNION SELECT query_id, unnest(tpp6.terms) FROM r20 JOIN tpp6 ON tpp6.id = b),
+      mts AS (SELECT query_id, array_to_string(list_sort(list(DISTINCT t)), '|') AS must_terms FROM mt GROUP BY query_id),
+      top AS (SELECT query_id, string_agg(bullet, chr(10) ORDER BY rank) AS bl, string_agg(cite, ' | ' ORDER BY rank) AS source_line FROM h GROUP BY query_id)
+      SELECT query_id, '**Graph hits:**' || chr(10) || bl || CASE WHEN note IS NULL THEN '' ELSE chr(10) || note END || chr(10) || chr(10) AS context_md, source_line, must_terms
+      FROM top LEFT JOIN note USING (query_id) LEFT JOIN mts USING (query_id)"""
+
+
 def _paths() -> str:
     levels = ["l0 AS (SELECT dst AS id, [dst] AS path, 0 AS hops FROM (SELECT dst, cite, count(*) AS n FROM cites JOIN prov ON id = dst GROUP BY ALL ORDER BY n DESC, cite, dst LIMIT 1))", "v0 AS (SELECT id FROM l0)"]
     for i in range(1, 7):
@@ -214,20 +232,7 @@ ORACLE.update({
     "d11_two_hops": f"""WITH {_BASE}, {_WALK}, r AS (SELECT s.cite AS query_id, a AS seed_id, b AS related_id, o.cite AS related_cite, hops,
         row_number() OVER (PARTITION BY s.cite ORDER BY hops, o.cite, b, a) AS n FROM mh JOIN prov s ON s.id = a JOIN prov o ON o.id = b)
       SELECT query_id, seed_id, related_id, related_cite, hops FROM r WHERE n <= 20""",
-    "d12_graph_boost": f"""WITH {_BASE}, {_WALK}, {_bm25(3)}, tpp8 AS ({_TPP.format(k=8)}), tpp6 AS ({_TPP.format(k=6)}),
-      h AS (SELECT query_id, rank, prov.*, '- **' || cite || '** — ' || title || '. ' || left(text, 220) || CASE WHEN len(text) > 220 THEN '…' ELSE '' END || ' ('
-        || concat_ws(', ', nullif(module, ''), nullif(domain, ''), nullif(threshold, ''), nullif(deadline, '')) || ')' AS bullet FROM hit JOIN prov USING (id)),
-      sd AS (SELECT DISTINCT query_id, p.id AS seed FROM h JOIN prov p ON p.cite = h.cite),
-      r AS (SELECT query_id, b, o.cite AS rc, hops, row_number() OVER (PARTITION BY query_id ORDER BY hops, o.cite, b, a) AS n FROM sd JOIN mh ON a = seed JOIN prov o ON o.id = b),
-      r20 AS (SELECT * FROM r WHERE n <= 20),
-      byc AS (SELECT query_id, rc, min(hops) AS hops FROM r20 GROUP BY ALL),
-      fresh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rc) AS k FROM byc WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = byc.query_id AND h.cite = rc)),
-      note AS (SELECT query_id, '- *Related (2-hop)*: ' || string_agg(rc || ' (' || hops || '-hop)', ', ' ORDER BY rc) AS note FROM fresh WHERE k <= 5 GROUP BY query_id),
-      mt AS (SELECT query_id, unnest(tpp8.terms) AS t FROM h JOIN tpp8 USING (id) UNION SELECT query_id, unnest(tpp6.terms) FROM r20 JOIN tpp6 ON tpp6.id = b),
-      mts AS (SELECT query_id, array_to_string(list_sort(list(DISTINCT t)), '|') AS must_terms FROM mt GROUP BY query_id),
-      top AS (SELECT query_id, string_agg(bullet, chr(10) ORDER BY rank) AS bl, string_agg(cite, ' | ' ORDER BY rank) AS source_line FROM h GROUP BY query_id)
-      SELECT query_id, '**Graph hits:**' || chr(10) || bl || CASE WHEN note IS NULL THEN '' ELSE chr(10) || note END || chr(10) || chr(10) AS context_md, source_line, must_terms
-      FROM top LEFT JOIN note USING (query_id) LEFT JOIN mts USING (query_id)""",
+    "d12_graph_boost": boost_sql("SELECT DISTINCT title AS query_id, title AS text FROM prov"),
     "d13_graph_summary": f"""WITH {_BASE} SELECT 'node' AS kind, 'Provision' AS label, count(*) AS n FROM prov UNION ALL SELECT 'node', 'Term', count(DISTINCT term) FROM men
       UNION ALL SELECT 'node', 'Regulator', 5 UNION ALL SELECT 'node', 'Document', 5 UNION ALL SELECT 'edge', type, count(*) FROM links GROUP BY type
       UNION ALL SELECT 'edge', 'MENTIONS', count(*) FROM men UNION ALL SELECT 'edge', 'ISSUED_BY', count(*) FROM iss UNION ALL SELECT 'edge', 'PART_OF', count(*) FROM part_of""",

@@ -9,7 +9,7 @@ from lexspark.operators import answering, dense, graph_build as gb, graph_walk a
 from lexspark.functions.citations import extract_citations
 from lexspark.functions.text import snippet
 from lexspark.plans import inputs as src
-from lexspark.plans.graph import sql_citations
+from lexspark.plans.graph import boost_sql, sql_citations
 from lexspark.operators.stored_index import StoredIndex
 from lexspark.plugins import hashing_embedder
 from lexspark.session import scratch_path
@@ -317,7 +317,40 @@ def _hybrid_sql(mode: str) -> str:
             + f" SELECT '{mode}' AS mode, query_id, doc_key, row_number() OVER (PARTITION BY query_id ORDER BY fused.rank) AS rank FROM fused JOIN corpus USING (doc_key) WHERE text <> ''")
 
 
+def contexts_sql() -> str:
+    """(query_id, part, rank, body): bullets of the graph boost, then snippets of the fused hits."""
+    return f"""SELECT query_id, 0 AS part, pos AS rank, substr(line, 3) AS body FROM (SELECT query_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (
+        SELECT query_id, string_split(context_md, chr(10)) AS ls FROM ({boost_sql(QUESTIONS_SQL)}))) WHERE line LIKE '- %' AND len(line) > 4
+      UNION ALL SELECT query_id, 1, rank, {_clean('c.text')} AS body FROM ({_hybrid_sql('rrf')}) h JOIN ({CORPUS_SQL}) c USING (doc_key) WHERE trim(c.text) <> ''"""
+
+
+def _times(x: str, c: int) -> str:
+    return f"((({x}) * {c}::UBIGINT) & 4294967295::UBIGINT)"
+
+
+def _rotated(x: str, n: int) -> str:
+    return f"(((({x}) * {1 << n}::UBIGINT) & 4294967295::UBIGINT) | (({x}) >> {32 - n}))"
+
+
+def _murmur(table: str) -> str:
+    """CTEs up to hashed(tok, h): 32-bit Murmur3 of the UTF-8 bytes with seed 42, the hash of Spark's hashed term counts."""
+    byte = "((strpos('0123456789ABCDEF', hx[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', hx[2 * i + 2]) - 1)::UBIGINT"
+    mixed = lambda k: _times(_rotated(_times(k, 0xCC9E2D51), 15), 0x1B873593)
+    rounds = f"{_times(_rotated('xor(h, k)', 13), 5)}"
+    return f"""bytes AS (SELECT tok, list_transform(range(0, len(hx) // 2), lambda i: {byte}) AS bs FROM (SELECT tok, hex(encode(tok)) AS hx FROM {table})),
+      words AS (SELECT tok, len(bs)::UBIGINT AS n, list_transform(range(0, len(bs) // 4), lambda i: bs[4 * i + 1] + bs[4 * i + 2] * 256 + bs[4 * i + 3] * 65536 + bs[4 * i + 4] * 16777216) AS ks,
+        coalesce(list_sum(list_transform(range(len(bs) // 4 * 4, len(bs)), lambda i: bs[i + 1] * (1::UBIGINT << (8 * (i % 4))::UBIGINT)))::UBIGINT, 0::UBIGINT) AS rest FROM bytes),
+      h0 AS (SELECT tok, n, rest, list_reduce(list_transform(ks, lambda k: {mixed('k')}), lambda h, k: ({rounds} + 3864292196::UBIGINT) & 4294967295::UBIGINT, 42::UBIGINT) AS h FROM words),
+      h1 AS (SELECT tok, xor(xor(h, {mixed('rest')}), n) AS h FROM h0), h2 AS (SELECT tok, {_times('xor(h, h >> 16)', 0x85EBCA6B)} AS h FROM h1),
+      h3 AS (SELECT tok, {_times('xor(h, h >> 13)', 0xC2B2AE35)} AS h FROM h2), hashed AS (SELECT tok, xor(h, h >> 16)::BIGINT AS h FROM h3)"""
+
+
 ORACLE.update({
+    "c6_embeddings": f"""WITH d AS (SELECT doc_key, {sql_tokens('text')} AS toks FROM ({CORPUS_SQL})), t AS (SELECT DISTINCT unnest(toks) AS tok FROM d), {_murmur('t')},
+      b AS (SELECT tok, (((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 384) + 384) % 384 AS place FROM hashed),
+      f AS (SELECT doc_key, count(DISTINCT place) AS filled FROM (SELECT doc_key, unnest(toks) AS tok FROM d) JOIN b USING (tok) GROUP BY doc_key)
+      SELECT doc_key, 384 AS dim, CASE WHEN filled IS NULL THEN 0.0 ELSE 1.0 END AS norm, coalesce(filled, 0) AS filled FROM d LEFT JOIN f USING (doc_key)""",
+    "c17_contexts": f"SELECT query_id, count(*) AS n_contexts, md5(string_agg(body, chr(10) ORDER BY part, rank)) AS contexts_md5 FROM ({contexts_sql()}) GROUP BY query_id",
     "c3_zero_fill": f"""WITH prov AS ({src.PROVISIONS_SQL}), corpus AS (SELECT id AS doc_key, concat_ws(' ', title, domain) AS text FROM prov), {sql_bm25('SELECT DISTINCT title AS query_id, title AS text FROM prov')},
       al AS (SELECT q.query_id AS query_id, c.doc_key AS doc_key, coalesce(score, 0.0) AS score FROM q CROSS JOIN corpus c LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_key = c.doc_key),
       k AS (SELECT *, score <> 0 OR EXISTS (SELECT 1 FROM bm WHERE bm.query_id = al.query_id AND bm.doc_key = al.doc_key) AS hit FROM al), {_ranked('k', 400, 'r')} SELECT * FROM r""",

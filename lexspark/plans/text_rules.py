@@ -361,6 +361,54 @@ _HANDBOOKS = ", ".join(f"'{b}'" for b in fv.HANDBOOK_BOOKS)
 _STEMS = ", ".join(f"'{b}'" for b in fv.HANDBOOK_FILE_STEMS)
 _SNIP = "substr(text, greatest(0, p - 200) + 1, 600)"
 
+def _quoted(sep: str) -> str:
+    return " || ".join("chr(10)" if c == "\n" else sql_quote(c) for c in sep)
+
+
+def _chunk_rows(chunks: str) -> str:
+    return f"SELECT doc_id, unnest(range(0, len(cs))) AS chunk_no, unnest(list_transform(cs, lambda x: len(x))) AS n_chars, unnest(list_transform(cs, lambda x: md5(x))) AS chunk_md5 FROM (SELECT doc_id, {chunks} AS cs FROM documents)"
+
+
+def _windows_sql(text: str) -> str:
+    step = fv.CHUNK_SIZE - fv.CHUNK_OVERLAP
+    return f"list_filter(list_transform(range(0, len({text}), {step}), lambda i: trim(substr({text}, i + 1, {fv.CHUNK_SIZE}), {_BLANKS})), lambda x: x <> '')"
+
+
+def _packed_sql() -> str:
+    """Greedy packing as a fold over the pieces of the coarsest separator."""
+    out = _windows_sql("text")
+    shut = f"CASE WHEN s.open = '' THEN s.done ELSE list_append(s.done, trim(s.open, {_BLANKS})) END"
+    for sep in reversed(fv.CHUNK_SEPARATORS):
+        q = _quoted(sep)
+        joined = f"CASE WHEN s.open = '' THEN p.open ELSE s.open || {q} || p.open END"
+        step = f"""CASE WHEN len({joined}) <= {fv.CHUNK_SIZE} THEN {{'done': s.done, 'open': {joined}}} WHEN len(p.open) > {fv.CHUNK_SIZE} THEN {{'done': list_concat({shut}, {_windows_sql('p.open')}), 'open': ''}}
+          ELSE {{'done': {shut}, 'open': p.open}} END"""
+        start = "{'done': []::VARCHAR[], 'open': ''}"
+        fold = f"list_reduce(list_transform(string_split(text, {q}), lambda x: {{'done': []::VARCHAR[], 'open': x}}), lambda s, p: {step}, {start})"
+        packed = f"list_transform([{fold}], lambda s: list_filter(list_append(s.done, trim(s.open, {_BLANKS})), lambda x: x <> ''))[1]"
+        out = f"CASE WHEN contains(text, {q}) THEN {packed} ELSE {out} END"
+    return f"CASE WHEN len(text) <= {fv.CHUNK_SIZE} THEN [text] ELSE {out} END"
+
+
+def _recursive_sql(text: str, seps: tuple[str, ...]) -> str:
+    """Unstripped chunks of a text: pieces of the first separator that it holds, longer ones split by the finer separators, others merged with overlap."""
+    level, size, overlap = len(seps), fv.CHUNK_SIZE, fv.CHUNK_OVERLAP
+    s, p = f"s{level}", f"p{level}"
+    if seps:
+        q = _quoted(seps[0])
+        pieces = f"list_filter(list_transform(string_split({text}, {q}), lambda x, i: CASE WHEN i = 1 THEN x ELSE {q} || x END), lambda x: x <> '')"
+        deeper = f"WHEN len({p}.win[1]) > {size} THEN {{'done': list_concat(CASE WHEN len({s}.win) = 0 THEN {s}.done ELSE list_append({s}.done, array_to_string({s}.win, '')) END, {_recursive_sql(f'{p}.win[1]', seps[1:])}), 'win': []::VARCHAR[]}}"
+    else:
+        pieces, deeper = f"string_split({text}, '')", ""
+    rest = lambda d: f"len(array_to_string({s}.win[{d} + 1:], ''))"
+    left = f"{s}.win[list_filter(range(0, len({s}.win) + 1), lambda d: d = len({s}.win) OR ({rest('d')} <= {overlap} AND {rest('d')} + len({p}.win[1]) <= {size}))[1] + 1:]"
+    full = f"len({s}.win) > 0 AND len(array_to_string({s}.win, '')) + len({p}.win[1]) > {size}"
+    step = f"""CASE {deeper} WHEN {full} THEN {{'done': list_append({s}.done, array_to_string({s}.win, '')), 'win': list_concat({left}, {p}.win)}} ELSE {{'done': {s}.done, 'win': list_concat({s}.win, {p}.win)}} END"""
+    fold = f"list_reduce(list_transform({pieces}, lambda x: {{'done': []::VARCHAR[], 'win': [x]}}), lambda {s}, {p}: {step}, {{'done': []::VARCHAR[], 'win': []::VARCHAR[]}})"
+    out = f"list_transform([{fold}], lambda {s}: CASE WHEN len({s}.win) = 0 THEN {s}.done ELSE list_append({s}.done, array_to_string({s}.win, '')) END)[1]"
+    return f"CASE WHEN contains({text}, {q}) THEN {out} ELSE {_recursive_sql(text, seps[1:])} END" if seps else out
+
+
 ORACLE.update({
     "b1_word_tokens": _tok_sql(sql_tokens("text")),
     "b2_content_tokens": _tok_sql(f"list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda w: NOT list_contains({_STOP_LIST}, w))"),
@@ -370,6 +418,8 @@ ORACLE.update({
     "b6_snippet": f"SELECT doc_id, trim(regexp_replace({_SNIP}, '\\s+', ' ', 'g')) || CASE WHEN len({_SNIP}) = 600 THEN '…' ELSE '' END AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'tion') - 1 AS p FROM documents)",
     "b7_bullets": f"""SELECT id, '- **' || cite || '** — ' || title || '. ' || left(text, 220) || CASE WHEN len(text) > 220 THEN '…' ELSE '' END || ' ('
         || concat_ws(', ', nullif(module, ''), nullif(domain, ''), nullif(threshold, ''), nullif(deadline, '')) || ')' AS bullet FROM ({PROVISIONS_SQL})""",
+    "b8_chunk_packed": _chunk_rows(_packed_sql()),
+    "b8_chunk_recursive": _chunk_rows(f"CASE WHEN len(text) <= {fv.CHUNK_SIZE} THEN [text] ELSE list_filter(list_transform({_recursive_sql('text', fv.CHUNK_SEPARATORS)}, lambda x: trim(x, {_BLANKS})), lambda x: x <> '') END"),
     "b8_chunk_fixed": f"""WITH w AS (SELECT doc_id, CASE WHEN len(text) <= 1500 THEN [text] ELSE list_filter(list_transform(range(0, len(text), 1350), lambda i: trim(substr(text, i + 1, 1500), {_BLANKS})), lambda x: x <> '') END AS cs FROM documents)
       SELECT doc_id, generate_subscripts(cs, 1) - 1 AS chunk_no, len(unnest(cs)) AS n_chars, md5(unnest(cs)) AS chunk_md5 FROM w""",
     "b9_paragraphs": f"""SELECT doc_id, count(*) AS paragraphs, sum(len(p)) AS chars FROM (SELECT doc_id, trim(unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))), {_BLANKS}) AS p FROM documents) WHERE len(p) >= 50 GROUP BY doc_id""",
