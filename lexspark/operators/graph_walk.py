@@ -96,18 +96,33 @@ def _best_pairs(found: DataFrame, limit: int) -> DataFrame:
 
 
 def _many_hops(start: DataFrame, linked: DataFrame, graph: Graph, limit: int, max_hops: int) -> DataFrame:
-    """Level by level with visited nodes removed; each level is materialised."""
-    steps = linked.select("node", "other").unionByName(
-        graph.mentions.select(F.concat(F.lit("term:"), "term").alias("node"), F.col("id").alias("other"))).unionByName(
-        graph.mentions.select(F.col("id").alias("node"), F.concat(F.lit("term:"), "term").alias("other")))
-    visited = start.select("query_id", "seed_id", F.col("seed_id").alias("other"), F.lit(0).alias("hops"))
-    frontier = visited
+    """Nearest-provision lists of every node, grown by one hop a round.
+
+    A node's `limit + 1` nearest provisions (itself at 0 included; by hops, cite
+    and id) are among those lists of its neighbours: whatever a neighbour left
+    out has limit + 1 nearer ones there, which are nearer to the node as well.
+    So a round moves at most limit + 1 rows over an edge, hub terms stay nodes,
+    and seeds shared by many questions are expanded once. Only nodes that a
+    seed can still reach get a list.
+    """
+    keep = limit + 1
+    term = F.concat(F.lit("term:"), "term")
+    steps = cut_lineage(linked.select("node", "other").unionByName(graph.mentions.select(term.alias("node"), F.col("id").alias("other")))
+                        .unionByName(graph.mentions.select(F.col("id").alias("node"), term.alias("other"))))
+    within = [cut_lineage(start.select(F.col("seed_id").alias("node")).distinct())]
+    for _ in range(max_hops - 1):
+        around = steps.join(within[-1], "node", "left_semi").select(F.col("other").alias("node"))
+        within.append(cut_lineage(within[-1].unionByName(around).distinct()))
+    lists = graph.provisions.select(F.col("id").alias("node"), F.col("id").alias("found"), "cite", F.lit(0).alias("hops"))
+    w = Window.partitionBy("node").orderBy("hops", "cite", "found")
     for hop in range(1, max_hops + 1):
-        reached = frontier.select("query_id", "seed_id", F.col("other").alias("node")).join(steps, "node").select("query_id", "seed_id", "other").distinct()
-        frontier = cut_lineage(reached.join(visited, ["query_id", "seed_id", "other"], "left_anti").withColumn("hops", F.lit(hop)))
-        visited = visited.unionByName(frontier)
-    named = visited.where("hops > 0").join(graph.provisions.select(F.col("id").alias("other"), "cite"), "other")
-    return _best_pairs(named, limit)
+        asked = within[max_hops - hop]
+        fresh = lists.where(F.col("hops") == hop - 1).select(F.col("node").alias("other"), "found", "cite")
+        moved = steps.join(asked, "node", "left_semi").join(fresh, "other").select("node", "found", "cite", F.lit(hop).alias("hops"))
+        merged = lists.join(asked, "node", "left_semi").unionByName(moved).groupBy("node", "found", "cite").agg(F.min("hops").alias("hops"))
+        lists = cut_lineage(merged.withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep).drop("n"))
+    found = start.join(lists.where("hops > 0"), F.col("seed_id") == F.col("node")).select("query_id", "seed_id", F.col("found").alias("other"), "cite", "hops")
+    return _best_pairs(found, limit)
 
 
 def expansion_summary(expanded: DataFrame, graph: Graph, k_terms: int = 6) -> DataFrame:

@@ -57,6 +57,12 @@ def _d11(spark, sf):
     return gw.two_hops(seeds, g)
 
 
+def _d11_three(spark, sf):
+    g = _graph(spark, sf)
+    seeds = g.provisions.select(F.col("cite").alias("query_id"), "cite").distinct()
+    return gw.two_hops(seeds, g, max_hops=3)
+
+
 def _d12(spark, sf):
     boost = gw.graph_boost(_titles(spark, sf), _graph(spark, sf))
     return boost.select("query_id", "context_md", "source_line", F.array_join("must_terms", "|").alias("must_terms"))
@@ -99,7 +105,7 @@ QUERIES.update({
     "d8_key_report": lambda s, sf: gb.key_report(s, src.provisions(s, sf)),
     "d9_provision_search": _d9,
     "d10_one_hop": _d10,
-    "d11_two_hops": _d11,
+    "d11_two_hops": _d11, "d11_three_hops": _d11_three,
     "d12_graph_boost": _d12,
     "d13_graph_summary": lambda s, sf: gr.graph_summary(_graph(s, sf)),
     "d14_counts_by_document": lambda s, sf: gr.counts_by(src.provisions(s, sf), "document"),
@@ -232,6 +238,11 @@ ORACLE.update({
     "d11_two_hops": f"""WITH {_BASE}, {_WALK}, r AS (SELECT s.cite AS query_id, a AS seed_id, b AS related_id, o.cite AS related_cite, hops,
         row_number() OVER (PARTITION BY s.cite ORDER BY hops, o.cite, b, a) AS n FROM mh JOIN prov s ON s.id = a JOIN prov o ON o.id = b)
       SELECT query_id, seed_id, related_id, related_cite, hops FROM r WHERE n <= 20""",
+    "d11_three_hops": f"""WITH {_BASE}, {_WALK}, far AS (SELECT a, b, hops FROM mh UNION ALL SELECT und.a, mh.b, 3 FROM und JOIN mh ON und.b = mh.a WHERE und.a <> mh.b
+        UNION ALL SELECT mh.a, und.b, 3 FROM mh JOIN und ON mh.b = und.a WHERE mh.a <> und.b), m3 AS (SELECT a, b, min(hops) AS hops FROM far GROUP BY ALL),
+      r AS (SELECT s.cite AS query_id, a AS seed_id, b AS related_id, o.cite AS related_cite, hops,
+        row_number() OVER (PARTITION BY s.cite ORDER BY hops, o.cite, b, a) AS n FROM m3 JOIN prov s ON s.id = a JOIN prov o ON o.id = b)
+      SELECT query_id, seed_id, related_id, related_cite, hops FROM r WHERE n <= 20""",
     "d12_graph_boost": boost_sql("SELECT DISTINCT title AS query_id, title AS text FROM prov"),
     "d13_graph_summary": f"""WITH {_BASE} SELECT 'node' AS kind, 'Provision' AS label, count(*) AS n FROM prov UNION ALL SELECT 'node', 'Term', count(DISTINCT term) FROM men
       UNION ALL SELECT 'node', 'Regulator', 5 UNION ALL SELECT 'node', 'Document', 5 UNION ALL SELECT 'edge', type, count(*) FROM links GROUP BY type

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,33 @@ def test_full_audit(spark, small):
     got = verify.audit_answers(rows, small).first()
     assert got["final_answer"].startswith("The UK general prohibition") and got["citations_ok"]
     assert got["verified"] == ["FSMA 2000 s.19", "RAO 2001 art.5"] and got["claim_trace"][0]["claim_no"] == 0
+
+
+@pytest.mark.parametrize("max_hops, limit", [(3, 7), (4, 40)])
+def test_many_hops_against_a_search_by_levels(spark, max_hops, limit):
+    """Links in a long chain with branches, and a term on a third of all provisions."""
+    rng = random.Random(max_hops)
+    n = 60
+    cites = [f"PRIN {rng.randrange(100, 999)}{i:02d}" for i in range(n)]
+    body = lambda i: " ".join(f"See {cites[j]}." for j in {min(i + 1, n - 1), rng.randrange(n)} if rng.random() < 0.7) or "plain"
+    rows = [(f"p{i:02d}", cites[i], body(i), "|".join(["hub"] * (i % 3 == 0) + [f"t{i // 2}"] * (i % 5 == 0)), "") for i in range(n)]
+    g = gb.build_graph(provisions(spark, rows))
+    links = {(r["src"], r["dst"]) for r in g.links.collect()}
+    assert links
+    around = {}
+    for a, b in links | {(r[0], f"term:{t}") for r in rows for t in r[3].split("|") if t}:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    cite, want = dict((r[0], r[1]) for r in rows), set()
+    seeds = [r[0] for r in rows[::4]]
+    for seed in seeds:
+        seen, level = {seed: 0}, [seed]
+        for hop in range(1, max_hops + 1):
+            level = [x for x in {y for u in level for y in around.get(u, ())} if x not in seen]
+            seen.update((x, hop) for x in level)
+        near = sorted((h, cite[x], x) for x, h in seen.items() if h and x in cite)[:limit]
+        want |= {(cite[seed], seed, x, h) for h, _, x in near}
+    asked = spark.createDataFrame([(cite[s], cite[s]) for s in seeds], "query_id string, cite string")
+    got = gw.two_hops(asked, g, limit=limit, max_hops=max_hops).collect()
+    assert {(r["query_id"], r["seed_id"], r["related_id"], r["hops"]) for r in got} == want and len(got) == len(want)
+    assert max(h for *_, h in want) == max_hops
