@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from lexspark.llm import fill_in_middle as fim, quality_rules as qr
+from lexspark.llm import fill_in_middle as fim, link_rank as lr, quality_rules as qr, secret_scan as ss
 
+# words of a benchmark window, by contract
+WINDOW = 13
 _BLANK = r"[ \t\n\x0b\x0c\r]"
 _WORDS = rf"list_filter(string_split_regex(coalesce(text, ''), '{_BLANK}+'), lambda x: x <> '')"
 
@@ -107,4 +109,108 @@ def _crc32() -> str:
  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL))"""
 
 
-ORACLE = {"op11_quality_rules": _quality(), "op12_fill_in_middle": _fill_in_middle(), "op13_merkle_manifest": _merkle()}
+_SMALL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = "regexp_extract_all(" + _SMALL.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _contamination() -> str:
+    """Windows of items, by their lengths, against all windows of documents."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS ws FROM documents),
+it AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(ws), {WINDOW}) AS n, list_slice(ws, i, i + least(len(ws), {WINDOW}) - 1) AS w
+       FROM it, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) AS u(i) WHERE len(ws) > 0),
+word AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w1 FROM d),
+next13 AS (SELECT r, i, [w1, {', '.join(f'lead(w1, {k}) OVER o' for k in range(1, WINDOW))}] AS ws FROM word WINDOW o AS (PARTITION BY r ORDER BY i)),
+dw AS (SELECT r, n, i, list_slice(ws, 1, n) AS w FROM next13, (SELECT DISTINCT n FROM iw) WHERE ws[n] IS NOT NULL),
+found AS (SELECT DISTINCT r, i, n, item_id FROM dw JOIN iw USING (n, w)),
+hit AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM found, unnest(range(0, n)) AS v(k) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+
+
+def _url_verdicts() -> str:
+    """Rules by length, then one pair of CTEs a round of both ranks."""
+    rules = ", ".join(f"('{rule}', '{verdict}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for rule, verdict in lr.RULES)
+    parts = lambda url: (_SMALL.format(f"regexp_extract({url}, '://([^/?#]*)', 1)"), f"regexp_extract({url}, '://([^/?#]*)([^?#]*)', 2)")
+    host, path = parts("coalesce(url, '')")
+    ranks = ", ".join(
+        f"""r{i} AS (SELECT kind, host, sum(x) AS x FROM (SELECT kind, host, x * {1 - lr.DAMPING!r} AS x FROM r0 UNION ALL
+          SELECT kind, e.dst, x * share * {lr.DAMPING!r} FROM r{i - 1} JOIN edges e USING (kind, host)) GROUP BY kind, host)""" for i in range(1, lr.ROUNDS + 1))
+    return f"""
+WITH rules(rule, said, domain, start) AS (VALUES {rules}),
+p AS (SELECT row_number() OVER () AS r, page_id, {host} AS host, {path} AS path, html FROM pages),
+fits AS (SELECT p.r, arg_max(struct_pack(rule := rule, said := said), len(rule)) AS best FROM p JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start) GROUP BY p.r),
+j AS (SELECT p.*, best.rule AS rule, best.said AS said FROM p LEFT JOIN fits USING (r)),
+links AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {parts("CASE WHEN starts_with(link, '//') THEN ':' || link ELSE link END")[0]} AS dst
+          FROM (SELECT host, unnest(regexp_extract_all(html, '{_HREF_SQL}', 1)) AS link FROM p)) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+both_ways AS (SELECT 'allow' AS kind, src AS host, dst, n FROM links UNION ALL SELECT 'block', dst, src, n FROM links),
+edges AS (SELECT kind, host, dst, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM both_ways),
+r0 AS (SELECT said AS kind, host, count(*) / sum(count(*)) OVER (PARTITION BY said) AS x FROM j WHERE said IS NOT NULL AND host <> '' GROUP BY said, host), {ranks},
+h AS (SELECT host, coalesce(sum(x) FILTER (WHERE kind = 'allow'), 0.0)::DOUBLE AS trust, coalesce(sum(x) FILTER (WHERE kind = 'block'), 0.0)::DOUBLE AS distrust FROM r{lr.ROUNDS} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN coalesce(distrust > trust, false) THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust FROM j LEFT JOIN h USING (host)"""
+
+
+_HREF_SQL = lr._HREF.replace("'", "''")
+
+
+def _secrets() -> str:
+    """Spans by running lengths of matches and gaps. Without look-around: bare keys and addresses are whole runs of their characters."""
+    patterns = ss.PATTERNS | {"key": "[A-Za-z0-9+/_=-]+", "endpoint": ss.PATTERNS["endpoint"].partition("|")[0] + "|[0-9.]+"}
+    quoted = {k: p.replace("'", "''") for k, p in patterns.items()}
+    matches = " UNION ALL ".join(
+        f"SELECT r, {i} AS kind, '{k}' AS name, '{ss.PARTS[k]}' AS part, unnest(hs) AS h, unnest(gs[1:len(hs)]) AS g, generate_subscripts(hs, 1) AS j"
+        f" FROM (SELECT r, regexp_extract_all(t, '{quoted[k]}') AS hs, string_split_regex(t, '{quoted[k]}') AS gs FROM d)" for i, k in enumerate(ss.KINDS))
+    near = lambda parts: f"EXISTS (SELECT 1 FROM x o WHERE o.r = x.r AND o.part IN ({parts}) AND o.s BETWEEN x.s - {ss.SCOPE} AND x.s + {ss.SCOPE})"
+    joined = "string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind, e)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), m AS ({matches}),
+placed AS (SELECT r, kind, name, part, h, sum(len(g) + len(h)) OVER (PARTITION BY r, kind ORDER BY j)::BIGINT AS e FROM m),
+x AS (SELECT r, kind, name, part, e - len(h) AS s, e FROM placed WHERE CASE name WHEN 'assign' THEN len(regexp_extract(h, '{quoted["assign"]}', 1)) >= 12 WHEN 'access' THEN len(h) >= 18
+  WHEN 'key' THEN len(h) >= 32 AND regexp_matches(h, '[0-9]') AND regexp_matches(h, '[a-z]') AND regexp_matches(h, '[A-Z]')
+  WHEN 'endpoint' THEN h LIKE 'http%' OR regexp_full_match(h, '[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}') ELSE true END),
+kept AS (SELECT *, kind < {ss.KINDS.index(ss.WEAK[0])} AS strong FROM x WHERE CASE name WHEN 'login' THEN {near("'s'")} WHEN 'key' THEN {near("'i', 'e'")} WHEN 'endpoint' THEN {near("'i'")} AND {near("'s'")} ELSE true END),
+f AS (SELECT r, count(*) FILTER (WHERE name = 'assign') AS a, count(*) FILTER (WHERE name = 'access') AS k, count(*) FILTER (WHERE name = 'hex') AS x,
+  {joined} FILTER (WHERE strong) AS base, {joined} AS spans FROM kept GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(x, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (r)"""
+
+
+# 13 words from this one on; null where the document ends earlier
+_FOLLOWING = "w1 || ' ' || " + " || ' ' || ".join(f"lead(w1, {k}) OVER o" for k in range(1, WINDOW))
+
+
+def _repeated_words() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w1 FROM d),
+win AS (SELECT doc_id, i, {_FOLLOWING} AS w FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY w IS NOT NULL),
+seen AS (SELECT w, min(doc_id) AS least FROM win GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM win JOIN seen USING (w), unnest(range(0, 13)) AS v(k) WHERE least < doc_id),
+kept AS (SELECT doc_id, string_agg(w1, ' ' ORDER BY i) AS body, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _repeated_bytes() -> str:
+    """Every 50-byte string that two documents may share, by its hash first; removed places are merged into runs."""
+    return f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+h AS (SELECT doc_id, unnest(range(0, n - 49)) AS i, unnest(list_transform(range(0, n - 49), lambda i: hash(b[i + 1:i + 50]))) AS h FROM d),
+win AS (SELECT doc_id, i, b[i + 1:i + 50] AS w FROM (SELECT doc_id, i FROM h SEMI JOIN (SELECT h FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)) USING (h)) JOIN d USING (doc_id)),
+seen AS (SELECT w, min(doc_id) AS least FROM win GROUP BY w),
+bad AS (SELECT doc_id, i FROM win JOIN seen USING (w) WHERE least < doc_id),
+marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true)::INT AS opens FROM bad),
+runs AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+cut AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id),
+gaps AS (SELECT doc_id, s, hex(b[after + 1:s]) AS piece FROM (
+  SELECT doc_id, s, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS after FROM (SELECT doc_id, s, e FROM runs UNION ALL SELECT doc_id, n, NULL FROM d)) JOIN d USING (doc_id) WHERE s > after),
+kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY s) AS hx FROM gaps GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(hx, ''))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+ORACLE = {"op1_secret_scans": _secrets(), "op2_benchmark_decontamination": _contamination(), "op7_url_filters": _url_verdicts(), "op9_substring_dedup": _repeated_words(), "op10_suffix_array_dedup": _repeated_bytes(),
+          "op11_quality_rules": _quality(), "op12_fill_in_middle": _fill_in_middle(), "op13_merkle_manifest": _merkle()}
