@@ -12,14 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexspark.llm.common import map_rows
+from lexspark.llm.common import unused
+from lexspark.session import cut_lineage
 
 DIMENSIONS = 1024
 GRAM = 3
 # n-gram vectors that a Python worker remembers (64 MB); emptied when full, which changes no result
 REMEMBERED = 1 << 14
 UNKNOWN = "und"
-# profiles are sent to the driver and every task; more labels than this are no set of languages
+# profiles that the driver and a task hold at once; more labels are compared in blocks
 MAX_LANGUAGES = 1024
 # an unrelated text passes noise_score() with this probability
 FALSE_PASS = 1e-5
@@ -102,13 +103,39 @@ def fold(key: Column, folds: int = 3) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """Language -> unit prototype vector, from every row with a label and a letter.
+class Profiles:
+    """Prototypes by language: one dict, or a table (lang, at, x) of bundles that is read block by block."""
+
+    def __init__(self, few: dict[str, np.ndarray] | None, table: DataFrame | None = None) -> None:
+        self.few, self.table = few, table
+        self.languages = len(few) if table is None else table.select("lang").distinct().count()
+        self.parts = 1 if table is None else -(-2 * self.languages // MAX_LANGUAGES)  # twice as many: hashing is uneven
+
+    def __bool__(self) -> bool:
+        return self.languages > 0
+
+    def blocks(self) -> Iterator[dict[str, np.ndarray]]:
+        if self.table is None:
+            yield self.few
+        else:
+            for part in range(self.parts):
+                yield _units(self.table.where(F.pmod(F.xxhash64("lang"), F.lit(self.parts)) == part).collect())
+
+
+def _units(rows: list) -> dict[str, np.ndarray]:
+    out: dict[str, np.ndarray] = {}
+    for r in rows:
+        out.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["at"]] = r["x"]
+    return {name: v / (np.linalg.norm(v) or 1.0) for name, v in sorted(out.items())}
+
+
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
+    """The unit prototype vector of every language, from every row with a label and a letter.
 
     Every task bundles the unit vectors of its rows per language; the integer
     bundles are summed by (language, dimension). Rows with a null language or
-    no letter teach nothing. At most MAX_LANGUAGES * DIMENSIONS sums reach the
-    driver.
+    no letter teach nothing. About MAX_LANGUAGES * DIMENSIONS sums reach the
+    driver at once, however many labels there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,36 +152,59 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
     parts = labelled.where(F.col(lang).isNotNull()).select(F.col(text), F.col(lang)).mapInArrow(run, "lang string, bundle array<long>")
     sums = parts.select("lang", F.posexplode("bundle").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     rows = sums.limit(MAX_LANGUAGES * DIMENSIONS + 1).collect()
-    if len(rows) > MAX_LANGUAGES * DIMENSIONS:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    out: dict[str, np.ndarray] = {}
-    for r in rows:
-        out.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["at"]] = r["x"]
-    return {name: v / (np.linalg.norm(v) or 1.0) for name, v in sorted(out.items())}
+    return Profiles(_units(rows)) if len(rows) <= MAX_LANGUAGES * DIMENSIONS else Profiles(None, cut_lineage(sums))
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, profiles: Profiles | dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score), one row per row of docs: the language whose prototype has the largest cosine with the whole text.
 
     A null text, a text without a letter and an empty set of profiles give
     UNKNOWN with score 0. Equal cosines go to the first name; a negative cosine
-    scores 0. Only the text decides.
+    scores 0. Only the text decides; repeated rows get equal results, other
+    columns are ignored. Blocks of profiles beyond the first cost a pass each.
     """
-    best = judge(profiles)
-    return map_rows(docs.select(key, text), f"{key} long, lang_pred string, score double", lambda k, t: (k, *best(t)))
+    known = profiles if isinstance(profiles, Profiles) else Profiles(profiles)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = _judged(rows, known, "text", "lang_pred", "score")
+    return rows.select(F.col("key").alias(key), "lang_pred", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
+
+
+def _judged(docs: DataFrame, profiles: Profiles, text: str, name: str, score: str, keep: Callable[[str | None, str, float], bool] | None = None) -> DataFrame:
+    """docs with the best language and its cosine in the new columns name and score, block of profiles by block; keep filters in the last pass."""
+    out = docs.withColumns({name: F.lit(UNKNOWN), score: F.lit(float("-inf"))})
+    for i, block in enumerate(profiles.blocks()):
+        out = out.mapInArrow(_pass(judge(block), text, name, score, keep if i == profiles.parts - 1 else None), out.schema)
+        if i < profiles.parts - 1:
+            out = cut_lineage(out)
+    return out
+
+
+def _pass(best: Callable, text: str, name: str, score: str, keep: Callable | None) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, by, value = (batch.schema.get_field_index(c) for c in (text, name, score))
+            texts, names, scores = batch.column(at).to_pylist(), batch.column(by).to_pylist(), batch.column(value).to_pylist()
+            for i, t in enumerate(texts):
+                found, x = best(t)
+                if found != UNKNOWN and (scores[i] < x or scores[i] == x and found < names[i]):
+                    names[i], scores[i] = found, x
+            batch = batch.set_column(by, batch.schema.field(by), pa.array(names, pa.string())).set_column(value, batch.schema.field(value), pa.array(scores, pa.float64()))
+            yield batch if keep is None else batch.filter(pa.array([keep(*x) for x in zip(texts, names, scores)], pa.bool_()))
+
+    return run
 
 
 def judge(profiles: dict[str, np.ndarray]) -> Callable[[str | None], tuple[str, float]]:
-    """text -> (language, score)."""
+    """text -> (language, cosine)."""
     names, matrix = list(profiles), np.array(list(profiles.values())).reshape(-1, DIMENSIONS)
 
     def best(text: str | None) -> tuple[str, float]:
         v = encoder().encode(text) if names else None
         if v is None:
             return UNKNOWN, 0.0
-        cosines = matrix @ (v / (np.linalg.norm(v) or 1.0))
+        cosines = np.einsum("ij,j->i", matrix, v / (np.linalg.norm(v) or 1.0))  # row by row: equal profiles tie in whatever block they stand
         at = int(np.argmax(cosines))
-        return names[at], float(min(1.0, max(0.0, cosines[at])))
+        return names[at], float(cosines[at])
 
     return best
 
@@ -192,17 +242,17 @@ def alphabet(labelled: DataFrame, text: str = "text", lang: str = "lang") -> np.
     return np.array(sorted(r["code"] for r in common.collect()), np.uint32)
 
 
-def recognised(docs: DataFrame, profiles: dict[str, np.ndarray], letters: np.ndarray, text: str = "text") -> DataFrame:
+def recognised(docs: DataFrame, profiles: Profiles | dict[str, np.ndarray], letters: np.ndarray, text: str = "text") -> DataFrame:
     """Rows of docs, all columns kept, whose whole text is in a learned language. Rows stay in their tasks.
 
     A text is in one if its score reaches noise_score(). Texts of fewer than
     FEW_GRAMS distinct n-grams that score less stay if more than half of their
     letters are in `letters` (see alphabet).
     """
-    best, least = judge(profiles), noise_score(len(profiles))
+    known = profiles if isinstance(profiles, Profiles) else Profiles(profiles)
+    least = noise_score(known.languages)
 
-    def keep(t: str | None) -> bool:
-        name, score = best(t)
+    def keep(t: str | None, name: str, score: float) -> bool:
         if name == UNKNOWN or score >= least:
             return name != UNKNOWN
         if len(grams_of(t)[0]) >= FEW_GRAMS:
@@ -210,11 +260,7 @@ def recognised(docs: DataFrame, profiles: dict[str, np.ndarray], letters: np.nda
         codes, n = _letter_counts(t)
         return bool(2 * n[np.isin(codes, letters)].sum() > n.sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([keep(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return _judged(docs, known, text, unused(docs, "best_language"), unused(docs, "best_cosine"), keep).select(*docs.columns)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -143,6 +143,20 @@ def test_language_accuracy(spark, frame):
     assert language_id.predict(frame([(1, "abc")]), {}).first()["lang_pred"] == "und"
 
 
+def test_more_labels_than_a_block(spark, sample, monkeypatch):
+    """Profiles compared block by block give the rows of one block, ties between equal profiles included."""
+    docs = sample[1].select("doc_id", "text", F.concat_ws("-", "lang", F.pmod("doc_id", F.lit(4)).cast("string")).alias("lang"))
+    twins = docs.withColumn("lang", F.concat(F.lit("z"), "lang"))
+    docs = docs.unionByName(twins).unionByName(spark.createDataFrame([(-1, None, "a"), (-2, "", None), (-3, "1 2", "b")], "doc_id long, text string, lang string"))
+    keep = lambda learned: sorted(r["doc_id"] for r in language_id.recognised(docs, learned, language_id.alphabet(docs)).collect())
+    whole, all_kept = language_id.identify(docs).collect(), keep(language_id.learn(docs))
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 6)
+    learned = language_id.learn(docs)
+    assert learned.parts > 2 and keep(learned) == all_kept
+    order = lambda rows: sorted((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in rows)
+    assert order(language_id.identify(docs).collect()) == order(whole)
+
+
 REPETITIVE = 'Se Se Se Se Se Se con con con con con con se, se, se, se, se, se, rruera rruera rruera rruera rruera rruera dogarr dogarr dogarr dogarr dogarr dogarr no no no no no no ieñga ieñga ieñga ieñga ieñga ieñga jaez jaez jaez jaez jaez jaez'  # a Spanish row of check_s with 45 distinct n-grams and a score within the noise
 
 
