@@ -11,6 +11,8 @@ from lexspark.operators.sizing import BROADCAST_ROWS
 from lexspark.session import cut_lineage
 
 WINDOW = 13
+# places by which the words of a proximity match may stray at each side
+SLACK = 2
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # letters that lower() would change beyond A-Z
 _OTHER_CAPITALS = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
@@ -51,8 +53,11 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", tex
     document, position, the terms around it): the lists of the other terms,
     shifted by their offsets, are intersected with it by comparing those terms,
     from the phrase's rarest term outwards, so common words are never gathered.
-    With slack, matches that hold all words of the phrase within its length
-    plus `slack` places on each side are returned too, with exact = false.
+    With slack, proximity matches are returned too, with exact = false: an
+    occurrence of the rarest word (the first place of it in the phrase) says
+    where the phrase would start, and every word of the phrase, as often as it
+    stands there, lies within its length plus `slack` places on each side, in
+    any order. Places before the text are cut off; start is 0 at least.
     """
     phrases = cut_lineage(phrases.select("phrase", "items", F.size("phrase").alias("n")))
     terms = phrases.select("phrase", F.posexplode("phrase").alias("at", "word"))
@@ -72,39 +77,51 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", tex
         F.slice("w", F.greatest(F.lit(0), F.col("pos") - F.col("before") - slack) + 1, F.col("before") + F.col("after") + 2 * slack).alias("around"))
     met = near.join(hinted(lookup.select("word", "entries"), n_phrases), "word").select(key, "text_key", "pos", "base", "around", F.inline("entries"))
     start = F.col("pos") - F.col("at")
-    own = F.slice("around", start - F.col("base") + 1, F.col("n"))
-    found = met.where(start >= 0).select(key, "text_key", start.alias("start"), "n", "items", "phrase", "around", "base", (own == F.col("phrase")).alias("exact"))
     if not slack:
-        return found.where("exact").drop("phrase", "around", "base")
+        own = F.slice("around", start - F.col("base") + 1, F.col("n"))
+        found = met.where(start >= 0).select(key, "text_key", start.alias("start"), "n", "items", (own == F.col("phrase")).alias("exact"))
+        return found.where("exact")
+    placed = met.withColumn("start", start)
     first = F.greatest(F.lit(0), F.col("start") - slack)
-    wide = F.slice("around", first - F.col("base") + 1, F.col("n") + F.col("start") - first + slack)
-    return found.where(F.col("exact") | (F.size(F.array_except("phrase", wide)) == 0)).drop("phrase", "around", "base")
+    wide = F.slice("around", first - F.col("base") + 1, F.col("start") + F.col("n") + slack - first)
+    held = placed.withColumn("wide", wide).where(F.size(F.array_except("phrase", "wide")) == 0)
+    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    held = held.where(F.forall(F.array_distinct("phrase"), lambda w: times(F.col("wide"), w) >= times(F.col("phrase"), w)))
+    own = F.slice("wide", F.greatest(F.lit(0), F.least(F.col("start"), F.lit(slack))) + 1, F.col("n"))
+    return held.select(key, "text_key", F.greatest(F.lit(0), "start").alias("start"), "n", "items", ((F.col("start") >= 0) & (own == F.col("phrase"))).alias("exact"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-                  size: int = WINDOW) -> DataFrame:
+                  size: int = WINDOW, slack: int = 0) -> DataFrame:
     """(key, text_key, n_words, n_hit, n_items, items_sha256, contaminated), one row per row of docs.
 
-    A word inside any occurrence of a test window is hit; a document is
+    With slack, n_near (long) and near_sha256 follow: the items that have
+    proximity matches (see phrase_matches) in the document and no exact one.
+    They do not count as contamination. A word inside any occurrence of a test window is hit; a document is
     contaminated if at least a twentieth of its words are. Null and empty texts
     have no words and no hits, null and empty items no windows. Rows with equal
     key and text share their result; other columns are ignored.
     """
-    matches = cut_lineage(phrase_matches(docs, test_windows(items, item_key, item_text, size), key, text).select(
-        key, "text_key", "start", "n", "items").distinct())
+    found = cut_lineage(phrase_matches(docs, test_windows(items, item_key, item_text, size), key, text, slack).select(
+        key, "text_key", "start", "n", "items", "exact").distinct())
+    matches = found.where("exact")
     before = Window.partitionBy(key, "text_key").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("n")
     reach = F.greatest(F.coalesce(F.max(end).over(before), F.lit(0)), F.col("start"))
     hits = matches.groupBy(key, "text_key", "start").agg(F.max("n").alias("n")).withColumn("own", F.greatest(F.lit(0), end - reach)).groupBy(key, "text_key").agg(F.sum("own").alias("n_hit"))
-    named = matches.select(key, "text_key", F.explode("items").alias("item")).distinct().groupBy(key, "text_key").agg(F.array_sort(F.collect_list("item")).alias("names"))
-    per = hits.alias("h").join(named.alias("o"), F.col(f"h.{key}").eqNullSafe(F.col(f"o.{key}")) & (F.col("h.text_key") == F.col("o.text_key")), "left").select("h.*", "names")
+    item = found.select(key, "text_key", F.explode("items").alias("item"), "exact").groupBy(key, "text_key", "item").agg(F.max("exact").alias("exact"))
+    listed = lambda wanted: F.array_sort(F.collect_list(F.when(wanted, F.col("item"))))
+    named = item.groupBy(key, "text_key").agg(listed(F.col("exact")).alias("names"), listed(~F.col("exact")).alias("near"))
+    per = hits.alias("h").join(named.alias("o"), F.col(f"h.{key}").eqNullSafe(F.col(f"o.{key}")) & (F.col("h.text_key") == F.col("o.text_key")), "full").select(
+        F.coalesce(f"h.{key}", f"o.{key}").alias(key), F.coalesce("h.text_key", "o.text_key").alias("text_key"), "n_hit", "names", "near")
     base = docs.select(F.col(key), text_key(key, text).alias("text_key"), F.size(words(F.col(text))).cast("long").alias("n_words"))
-    names = F.coalesce("names", F.array().cast("array<string>"))
+    names, near = (F.coalesce(c, F.array().cast("array<string>")) for c in ("names", "near"))
+    nearby = [F.size(near).cast("long").alias("n_near"), F.sha2(F.array_join(near, ","), 256).alias("near_sha256")] if slack else []
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     joined = base.alias("d").join(per.alias("m"), (F.col(f"d.{key}").eqNullSafe(F.col(f"m.{key}"))) & (F.col("d.text_key") == F.col("m.text_key")), "left")
     return joined.select(
         F.col(f"d.{key}").alias(key), F.col("d.text_key"), "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *nearby)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",

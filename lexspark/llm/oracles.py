@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import fill_in_middle as fim, link_rank as lr, quality_rules as qr, secret_scan as ss
+from lexspark.llm import decontamination as dc, fill_in_middle as fim, link_rank as lr, quality_rules as qr, secret_scan as ss
 
 # words of a benchmark window, by contract
 WINDOW = 13
@@ -114,7 +114,7 @@ _ITEM_WORDS = "regexp_extract_all(" + _SMALL.format("coalesce(text, '')") + r",
 
 
 def _contamination() -> str:
-    """Windows of items, by their lengths, against all windows of documents."""
+    """Windows of items, by their lengths, against all windows of documents; proximity around the rarest word of every window."""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS ws FROM documents),
 it AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark),
@@ -125,10 +125,18 @@ next13 AS (SELECT r, i, [w1, {', '.join(f'lead(w1, {k}) OVER o' for k in range(1
 dw AS (SELECT r, n, i, list_slice(ws, 1, n) AS w FROM next13, (SELECT DISTINCT n FROM iw) WHERE ws[n] IS NOT NULL),
 found AS (SELECT DISTINCT r, i, n, item_id FROM dw JOIN iw USING (n, w)),
 hit AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM found, unnest(range(0, n)) AS v(k) GROUP BY r),
-named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM found WHERE item_id IS NOT NULL) GROUP BY r),
+term AS (SELECT n, w, unnest(w) AS w1, unnest(range(0, n)) AS place FROM (SELECT DISTINCT n, w FROM iw)),
+rare AS (SELECT n, w, min(struct_pack(seen := seen, w1 := w1, place := place)) AS m FROM term JOIN (SELECT w1, count(*) AS seen FROM word GROUP BY w1) USING (w1) GROUP BY n, w HAVING count(*) = n),
+around AS (SELECT r, n, w, list_slice(ws, greatest(1, i - m.place - {dc.SLACK}), i - m.place + n - 1 + {dc.SLACK}) AS wide FROM rare JOIN word ON word.w1 = m.w1 JOIN d USING (r)),
+held AS (SELECT DISTINCT r, n, w FROM around WHERE list_has_all(wide, w)
+         AND len(list_filter(w, lambda x: len(list_filter(w, lambda y: y = x)) > len(list_filter(wide, lambda y: y = x)))) = 0),
+nearby AS (SELECT r, count(*) AS n_near, string_agg(id, ',' ORDER BY id) AS near FROM (SELECT r, item_id::VARCHAR AS id FROM held JOIN iw USING (n, w) WHERE item_id IS NOT NULL
+           EXCEPT SELECT r, item_id::VARCHAR FROM found) GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(near, '')) AS near_sha256
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN nearby USING (r)"""
 
 
 def _url_verdicts() -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import xxhash
 
@@ -56,6 +57,27 @@ def contamination(docs: list[tuple], items: list[tuple], size: int = 13) -> list
     return out
 
 
+def near_items(docs: list[tuple], items: list[tuple], size: int, slack: int) -> list[tuple]:
+    """(key, number, sha of the names) of items with a window whose words all lie around its rarest word, none of them exactly."""
+    texts = [test_words(text) for _, text in docs]
+    seen = Counter(w for words in texts for w in words)
+    windows = [(item, w[i : i + size]) for item, text in items for w in [test_words(text)] if w for i in range(max(1, len(w) - size + 1))]
+    out = []
+    for (key, _), words in zip(docs, texts):
+        near, exact = set(), set()
+        for item, window in windows:
+            _, rarest, at = min((seen[w], w, i) for i, w in enumerate(window))
+            for pos in (i for i, w in enumerate(words) if w == rarest):
+                start = pos - at
+                if start >= 0 and words[start : start + len(window)] == window:
+                    exact.add(item)
+                elif not Counter(window) - Counter(words[max(0, start - slack) : start + len(window) + slack]):
+                    near.add(item)
+        names = sorted(str(x) for x in near - exact if x is not None)
+        out.append((key, len(names), sha(",".join(names).encode())))
+    return out
+
+
 def jump(key: int, shards: int) -> int:
     b, j = -1, 0
     while j < shards:

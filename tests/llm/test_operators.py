@@ -82,6 +82,26 @@ def test_proximity(frame, spark):
     assert {r["doc_id"] for r in got.collect()} == {1, 2}
 
 
+def test_proximity_where_the_rarest_word_stands_early_or_words_repeat(frame, spark):
+    phrases = spark.createDataFrame([(["red", "green", "blue"], ["i"]), (["a", "a", "b"], ["j"])], "phrase array<string>, items array<string>")
+    docs = frame([(1, "blue red green"), (2, "a x b"), (3, "a x b a"), (4, "red green " * 5), (5, None), (6, "")])
+    got = decontamination.phrase_matches(docs, phrases, slack=2)
+    assert {(r["doc_id"], r["items"][0], r["start"], r["exact"]) for r in got.collect()} == {(1, "i", 0, False), (3, "j", 0, False)}
+
+
+@pytest.mark.parametrize("slack", [1, 2])
+def test_proximity_against_brute_force(slack, frame, spark):
+    rng = random.Random(slack)
+    text = lambda most: " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, most)))
+    rows = [*((k, text(60)) for k in range(150)), (None, text(60)), (3, "a b c"), (900, None), (901, "x" * 200_000)]
+    items = [*((k, text(7)) for k in range(40)), (None, "a b"), (50, None), (51, "a a b")]
+    got = decontamination.contamination(frame(rows), spark.createDataFrame(items, "item_id long, text string"), size=4, slack=slack)
+    assert rows_of(got, "doc_id", "n_near", "near_sha256") == sorted(brute.near_items(rows, items, 4, slack), key=repr)
+    assert got.where("n_near > 0").count() > 10
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert rows_of(got, *names) == sorted(brute.contamination(rows, items, 4), key=repr)
+
+
 def test_jump_hash(spark):
     keys = [0, 1, -1, 2**63 - 1, -(2**63), *(random.Random(1).getrandbits(64) - 2**63 for _ in range(300))]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
