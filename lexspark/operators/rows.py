@@ -32,7 +32,10 @@ def number_in_order(rows: DataFrame, keys: list[str], order: list[str], name: st
     sizes = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(w), F.lit(0))).drop("_size")
-    return local.join(offsets, [*keys, "_part"]).withColumn(name, F.col("_n") + F.col("_before")).drop("_n", "_part", "_before")
+    same = F.col("l._part") == F.col("o._part")
+    for key in keys:
+        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"o.{key}"))
+    return local.alias("l").join(offsets.alias("o"), same).select(*[F.col(f"l.{c}") for c in rows.columns], (F.col("l._n") + F.col("o._before")).alias(name))
 
 
 def posexplode_rows(df: DataFrame, keep: list, array: Column | str, pos: str, name: str) -> DataFrame:

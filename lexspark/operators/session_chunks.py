@@ -9,15 +9,18 @@ from lexspark.functions.text import strip
 from lexspark.operators.rows import number_in_order
 
 
-def append_chunks(uploads: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def append_chunks(uploads: DataFrame, existing: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Numbers the non-blank chunks of (session_id, filename, seq, text, ...)
-    per session and file, continuing after the chunks already stored."""
+    per session and file, continuing after the chunks already stored: those of
+    `existing`, or as many as counts (session_id, filename, offset) says."""
     fresh = uploads.where(strip(F.col("text")) != "")
     numbered = number_in_order(fresh, ["session_id", "filename"], ["seq"], "n")
     if existing is not None:
-        stored = existing.groupBy("session_id", "filename").agg(F.count("*").alias("offset"))
-        numbered = numbered.join(stored, ["session_id", "filename"], "left").withColumn(
-            "n", F.col("n") + F.coalesce("offset", F.lit(0))).drop("offset")
+        counts = existing.groupBy("session_id", "filename").agg(F.count("*").alias("offset"))
+    if counts is not None:
+        same = F.col("f.session_id").eqNullSafe(F.col("c.session_id")) & F.col("f.filename").eqNullSafe(F.col("c.filename"))
+        numbered = numbered.alias("f").join(counts.alias("c"), same, "left").select(
+            *[F.col(f"f.{c}") for c in numbered.columns if c != "n"], (F.col("f.n") + F.coalesce("c.offset", F.lit(0))).alias("n"))
     key = F.concat(F.lit("session::"), F.col("filename"), F.lit("::"), F.col("n").cast("string"))
     return numbered.withColumn("chunk_key", key)
 

@@ -270,12 +270,25 @@ def _g1_repeated(spark, sf):
         F.count("*").alias("chunks"), F.countDistinct("chunk_key").alias("keys"), F.max("chunk_no").cast("long").alias("last"), F.sum(F.char_length("text")).alias("n_chars"))
 
 
+def _g1_twice(spark, sf):
+    """Every document uploaded twice on purpose, under ids of its own, then all of it delivered again."""
+    path = scratch_path(spark, "uploads")
+    ups = lambda: _stream(spark, sf, "documents").select(
+        F.col("source").alias("session_id"), F.concat(F.lit("f"), F.col("lang")).alias("filename"), "text",
+        F.explode(F.array(*[F.concat(F.col("doc_id").cast("string"), F.lit(f"-{n}")) for n in (1, 2)])).alias("upload_id"))
+    jobs.stream_uploads(ups(), path, f"{path}-state-a")
+    jobs.stream_uploads(ups(), path, f"{path}-state-b")
+    return spark.read.parquet(path).groupBy("session_id", "filename").agg(
+        F.count("*").alias("chunks"), F.countDistinct("chunk_key").alias("keys"), F.max("chunk_no").cast("long").alias("last"),
+        F.countDistinct("upload").alias("uploads"), F.sum(F.char_length("text")).alias("n_chars"))
+
+
 def _g2(spark, sf):
     path = scratch_path(spark, "audits")
     rows = _stream(spark, sf, "orders").selectExpr(*src.ANSWER_EXPRS).select(
         "answer_id", "answer", F.array("context_line").alias("context_cites"), F.array("chunk_line", F.lit(" ")).alias("chunk_cites"))
     jobs.stream_audits(rows, src.provisions(spark, sf), path, f"{path}-state")
-    audit = spark.read.parquet(path)
+    audit = jobs.stored_audits(spark, path)
     return audit.select(*[F.array_join(c, "|").alias(c) if c in ("verified", "unverified", "hallucinated_context") else F.col(c) for c in audit.columns])
 
 
@@ -292,7 +305,7 @@ QUERIES.update({
     "a7_multi_source": _a7, "a8_page_provisions": _a8, "a9_free_headers": _a9, "a10_question_csv": _a10, "a11_training_records": _a11,
     "a12_html_pages": lambda s, sf: html.extract_page(_pages(s, sf)), "a13_canonical_links": _a13, "a13_page_links": lambda s, sf: html.links(_pages(s, sf)),
     "a13_reachable": _a13_reachable, "a14_slugs": _a14, "a15_result_sink": _a15, "a16_run_registry": _a16, "a16_latest_run": _a16_latest, "a17_exports": _a17, "a18_vector_cache": _a18,
-    "a19_file_admission": _a19, "g1_stream_uploads": _g1, "g1_repeated_names": _g1_repeated, "g2_stream_audits": _g2, "g3_first_greeting": _g3,
+    "a19_file_admission": _a19, "g1_stream_uploads": _g1, "g1_repeated_names": _g1_repeated, "g1_uploaded_twice": _g1_twice, "g2_stream_audits": _g2, "g3_first_greeting": _g3,
 })
 
 # --- DuckDB twins --------------------------------------------------------
@@ -356,6 +369,10 @@ ORACLE.update({
     "g1_repeated_names": f"""WITH d AS (SELECT DISTINCT source, 'f' || lang AS filename, text AS raw, trim(regexp_replace(regexp_replace({sql_scrub('text')}, '(?s)<think>.*?</think>', '', 'gi'), '</?json>', '', 'gi'), {_BLANKS}) AS text FROM documents),
       u AS (SELECT source, filename, unnest({_CUT}) AS chunk FROM d)
       SELECT source AS session_id, filename, count(*) AS chunks, count(*) AS keys, count(*) - 1 AS last, sum(len(chunk)) AS n_chars FROM u WHERE trim(chunk, {_BLANKS}) <> '' GROUP BY ALL""",
+    "g1_uploaded_twice": f"""WITH d AS (SELECT source, 'f' || lang AS filename, doc_id, trim(regexp_replace(regexp_replace({sql_scrub('text')}, '(?s)<think>.*?</think>', '', 'gi'), '</?json>', '', 'gi'), {_BLANKS}) AS text FROM documents),
+      u AS (SELECT source, filename, doc_id, unnest({_CUT}) AS chunk FROM d)
+      SELECT source AS session_id, filename, 2 * count(*) AS chunks, 2 * count(*) AS keys, 2 * count(*) - 1 AS last, 2 * count(DISTINCT doc_id) AS uploads, 2 * sum(len(chunk)) AS n_chars
+      FROM u WHERE trim(chunk, {_BLANKS}) <> '' GROUP BY ALL""",
     "g2_stream_audits": VERIFY_ORACLE["e1_citation_audit"],
     "g3_first_greeting": f"""SELECT conv_id AS session_id, min(turn) AS turn FROM conversations WHERE role = 'user' OR (len(trim(text, {_BLANKS})) >= 2 AND len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) <= 3) GROUP BY conv_id""",
 })

@@ -182,6 +182,45 @@ def test_another_text_under_a_used_name_is_kept(spark, tmp_path):
     assert rows.where("session_id = 't'").count() == 1 and rows.count() == rows.select("session_id", "chunk_key").distinct().count()
 
 
+def test_an_equal_text_under_another_upload_id_is_stored_again(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "session_id string, filename string, text string, upload_id string"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    for batch in ([("s", "f", "same", "u1"), (None, None, "no name", "u1")], [("s", "f", "same", "u2"), ("s", "f", "same", "u1")], [("s", "f", "same", None), ("s", "f", None, "u4")],
+                  [("s", "f", "same", "u2"), ("s", "f", "  ", "u5"), (None, None, "no name", "u2")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+    for state in ("a", "a", "b"):
+        jobs.stream_uploads(stream(), out, str(tmp_path / state))
+    rows = spark.read.parquet(out).select("session_id", "filename", "chunk_no", "text").collect()
+    assert sorted((tuple(r) for r in rows), key=repr) == [*(("s", "f", n, "same") for n in range(3)), *((None, None, n, "no name") for n in range(2))]
+
+
+def test_a_batch_that_runs_again_overwrites_itself_and_reads_no_stored_text(spark, tmp_path):
+    out, ledger = str(tmp_path / "out"), str(tmp_path / "out-ledger")
+    chunks = lambda rows: jobs.upload_chunks(spark.createDataFrame(rows, "session_id string, filename string, text string"))
+    spark.createDataFrame([], jobs._ledger_schema(chunks([]))).write.parquet(jobs._folder(ledger, "s", -1))
+    first, second = chunks([("s", "f", "x" * 1600)]), chunks([("s", "f", "more"), ("s", "f", "x" * 1600)])
+    for batch, n in ((first, 0), (second, 1), (second, 1)):
+        jobs._store_uploads(batch, out, ledger, "s1", n)
+    assert sorted(r["chunk_no"] for r in spark.read.parquet(out).collect()) == [0, 1, 2]
+    assert "text" not in spark.read.parquet(ledger).columns and spark.read.parquet(ledger).agg({"chunks": "sum"}).first()[0] == 3
+
+
+def test_audit_stream_over_several_batches(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "answer_id long, answer string, context_cites array<string>, chunk_cites array<string>"
+    provisions = spark.createDataFrame([("p1", "COBS 4.2.1R", "t", "a firm must be fair")], "id string, cite string, title string, text string")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    batches = ([(1, "see COBS 4.2.1R", ["COBS 4.2.1R"], []), (2, None, None, None)], [(1, "other", [], []), (3, "PRIN 9.9", [], [])])
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        jobs.stream_audits(stream(), provisions, out, str(tmp_path / "a"))
+    once = {r["answer_id"]: r for r in jobs.stored_audits(spark, out).collect()}
+    assert spark.read.parquet(out).count() == 3 and set(once) == {1, 2, 3}
+    jobs.stream_audits(stream(), provisions, out, str(tmp_path / "b"))
+    assert jobs.stored_audits(spark, out).count() == 3 and "batch_id" not in jobs.stored_audits(spark, out).columns
+
+
 def test_first_greeting_over_several_batches(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     schema = "session_id long, turn int, text string"
