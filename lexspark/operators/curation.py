@@ -11,29 +11,52 @@ from lexspark.operators.graph_reports import provision_texts
 from lexspark.operators.graph_walk import search_provisions
 from lexspark.operators.postings import substring_tokens
 from lexspark.operators.ranking import top_k
-from lexspark.operators.sizing import query_blocks, union_all
+from lexspark.operators.sizing import BROADCAST_ROWS, query_blocks, union_all
 from lexspark.session import cut_lineage
 from lexspark.operators.rows import explode_rows, posexplode_rows
 
 _WORDS = "[a-z0-9]+"
 
 
+def prefix_words(weighed: DataFrame, min_words: int) -> DataFrame:
+    """(query_id, word, common) of weighed (query_id, word, weight): the
+    min_words - 1 heaviest words of a question are common. Whatever shares
+    min_words words with it holds one of the others, so only those need to find
+    candidates. Questions with fewer than min_words words are left out."""
+    w = Window.partitionBy("query_id")
+    ranked = weighed.withColumn("_r", F.row_number().over(w.orderBy(F.col("weight").desc(), "word"))).withColumn("_m", F.count("*").over(w))
+    return ranked.where(F.col("_m") >= min_words).select("query_id", "word", (F.col("_r") < min_words).alias("common"))
+
+
 def documents_sharing_words(questions: DataFrame, docs: DataFrame, min_words: int = 4, k: int = 2) -> DataFrame:
     """First k documents (by key) holding at least min_words distinct question
-    words as substrings. Words are matched against the vocabulary first; the
-    per-document counting then happens in one partitioning by document."""
+    words as substrings. Words are matched against the vocabulary first. A
+    document becomes a candidate of a question by its rarer words only (see
+    prefix_words); the common ones are gathered once a document, whatever the
+    number of questions, and counted for candidates. All of it happens in one
+    partitioning by document."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(_WORDS), F.lit(0)))
-    asked = explode_rows(questions, ["query_id"], words(F.col("text")), "word")
+    asked = explode_rows(questions, ["query_id"], words(F.col("text")), "word").distinct()
     tokens = docs.select("doc_key", words(F.col("text")).alias("toks"))
-    vocabulary = explode_rows(tokens, [], "toks", "tok").distinct()
-    pairs = substring_tokens(asked.select("word").distinct(), vocabulary)
-    wanted = cut_lineage(asked.join(pairs, "word").select("query_id", "word", "tok"))
+    vocabulary = cut_lineage(explode_rows(tokens, [], "toks", "tok").groupBy("tok").agg(F.count("*").alias("held_by")))
+    pairs = cut_lineage(substring_tokens(asked.select("word").distinct(), vocabulary.select("tok")))
+    weights = pairs.join(vocabulary, "tok").groupBy("word").agg(F.sum("held_by").alias("weight"))
+    roles = cut_lineage(prefix_words(asked.join(weights, "word"), min_words))
+    rare = cut_lineage(roles.where("NOT common").join(pairs, "word").select("query_id", "word", "tok"))
+    common = cut_lineage(roles.where("common").select("word").distinct().join(pairs, "word").select("word", "tok"))
+    few_common = common.count() <= BROADCAST_ROWS
+    hint = lambda df, small: F.broadcast(df) if small else df
     hits = []
-    for block in query_blocks(wanted, "query_id"):
-        kept = explode_rows(tokens, ["doc_key"], "toks", "tok").join(
-            block.hint(block.rows.select("tok").distinct()), "tok", "left_semi").repartition("doc_key")
+    for block in query_blocks(rare, "query_id"):
+        needed = hint(block.rows.select("tok").unionByName(common.select("tok")).distinct(), block.small and few_common)
+        kept = explode_rows(tokens, ["doc_key"], "toks", "tok").join(needed, "tok", "left_semi").repartition("doc_key")
         shared = kept.join(block.hint(block.rows), "tok").select("doc_key", "query_id", "word").distinct()
-        enough = shared.groupBy("doc_key", "query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_words)
+        found = shared.groupBy("doc_key", "query_id").agg(F.count("*").alias("n"))
+        held = kept.join(hint(common, few_common), "tok").groupBy("doc_key").agg(F.collect_set("word").alias("held"))
+        usual = roles.where("common").join(block.rows.select("query_id").distinct(), "query_id", "left_semi").groupBy("query_id").agg(F.collect_set("word").alias("usual"))
+        none = F.array().cast("array<string>")
+        more = F.size(F.array_intersect(F.coalesce("held", none), F.coalesce("usual", none)))
+        enough = found.join(held, "doc_key", "left").join(block.hint(usual), "query_id", "left").where(F.col("n") + more >= min_words).select("query_id", "doc_key")
         hits.append(top_k(enough.withColumn("score", F.lit(0)), k))
     return union_all(hits).select("query_id", "doc_key", "rank")
 

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,22 @@ def test_judge_and_generator_isolate_failures(spark):
 
     q = spark.createDataFrame([("a", "ok", ["ctx"]), ("b", "bad", ["ctx"])], "query_id string, question string, contexts array<string>")
     assert {tuple(r) for r in run_generator(q, factory).collect()} == {("a", "ctx", ""), ("b", "", "no")}
+
+
+@pytest.mark.parametrize("min_words", [1, 2, 4])
+def test_documents_sharing_words_against_brute_force(spark, min_words):
+    rng = random.Random(min_words)
+    letters = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    docs = [(f"d{i:02}", " ".join(["the", *(letters(rng.randint(1, 5)) for _ in range(rng.randint(0, 12)))])) for i in range(60)] + [("e0", None), ("e1", ""), ("e2", "THE!" * 300)]
+    asked = [(f"q{i}", " ".join(["The", "the", *(letters(rng.randint(1, 4)) for _ in range(rng.randint(0, 8)))])) for i in range(25)] + [("n0", None), ("n1", "?"), ("n2", "never zzz seen here")]
+    words = lambda t: set(re.findall("[a-z0-9]+", (t or "").lower()))
+    want = {(q, d, n + 1) for q, text in asked
+            for n, d in enumerate(sorted(d for d, body in docs if sum(w in (body or "").lower() for w in words(text)) >= min_words)[:2])}
+    got = curation.documents_sharing_words(spark.createDataFrame(asked, "query_id string, text string"), spark.createDataFrame(docs, "doc_key string, text string"), min_words)
+    assert {tuple(r) for r in got.collect()} == want and want
+
+
+def test_common_words_find_no_candidates(spark):
+    weighed = [("q", w, n) for w, n in (("the", 900), ("of", 900), ("a", 950), ("levy", 3), ("bank", 20))] + [("short", w, 1) for w in "xyz"]
+    got = curation.prefix_words(spark.createDataFrame(weighed, "query_id string, word string, weight long"), 4).collect()
+    assert {r["word"] for r in got if r["common"]} == {"the", "of", "a"} and {r["query_id"] for r in got} == {"q"}
