@@ -63,18 +63,20 @@ def ngram_in_corpus(needles: DataFrame, docs: DataFrame, n: int = fv.NGRAM_WORDS
     agree on the inner words, the first ends with the window's first word and
     the last starts with the window's last. So both sides are joined on the
     inner words and the two touching letters - no text is tested against all
-    needles, and windows of the texts are not shuffled while the needles' are few. Needles shorter than n words are searched as whole strings.
+    needles, and windows of the texts are not shuffled while the needles' are few.
+    A window that many needles or texts share is matched as one window. Needles shorter than n words are searched as whole strings.
     """
     if n < 3:
         raise ValueError("windows need at least three words")
     words = cut_lineage(needles.select("qid", _folded_words(F.col("text")).alias("words")))
-    wanted = explode_rows(words, ["qid"], _keyed_windows(F.col("words"), n), "w").select(
-        "qid", "w.inner", F.col("w.first").alias("n_first"), F.col("w.last").alias("n_last"),
-        F.right("w.first", F.lit(1)).alias("a"), F.left("w.last", F.lit(1)).alias("b")).distinct()
+    windows = explode_rows(words, ["qid"], _keyed_windows(F.col("words"), n), "w").select(
+        "qid", "w.inner", F.col("w.first").alias("n_first"), F.col("w.last").alias("n_last"))
+    wanted = windows.select("inner", "n_first", "n_last").distinct().withColumns({"a": F.right("n_first", F.lit(1)), "b": F.left("n_last", F.lit(1))})
     held = docs.select(_folded_words(F.col("text")).alias("words"))  # a column of its own: split once per text
     held = explode_rows(held, [], _keyed_windows(F.col("words"), n), "w").select("w.inner", "w.first", "w.last")
     held = held.select("inner", "first", "last", F.right("first", F.lit(1)).alias("a"), F.left("last", F.lit(1)).alias("b"))
-    long_hits = wanted.join(held, ["inner", "a", "b"]).where(F.col("first").endswith(F.col("n_first")) & F.col("last").startswith(F.col("n_last"))).select("qid")
+    met = wanted.join(held, ["inner", "a", "b"]).where(F.col("first").endswith(F.col("n_first")) & F.col("last").startswith(F.col("n_last")))
+    long_hits = windows.join(met.select("inner", "n_first", "n_last").distinct(), ["inner", "n_first", "n_last"]).select("qid")
     short = words.where((F.size("words") > 0) & (F.size("words") < n)).select(F.col("qid").alias("query_id"), F.array_join("words", " ").alias("text"))
     if short.isEmpty():
         return long_hits.distinct()
