@@ -27,9 +27,11 @@ def sample_rows(provisions: DataFrame, n: int = 5) -> DataFrame:
     return provisions.orderBy("id").limit(n).select("id", "cite", "title", preview(F.col("text"), 160).alias("preview"))
 
 
-def provisions_of_regulator(provisions: DataFrame, regulator: str, limit: int = 20) -> DataFrame:
+def provisions_of_regulator(provisions: DataFrame, regulator: str, limit: int | None = 20) -> DataFrame:
+    """The first provisions of a regulator by cite; all with limit=None."""
     ids = issued_by(provisions).where(F.col("regulator") == regulator).select("id")
-    return provisions.join(ids, "id", "left_semi").orderBy("cite", "id").limit(limit).select("id", "cite", "title")
+    ordered = provisions.join(ids, "id", "left_semi").orderBy("cite", "id").select("id", "cite", "title")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def citations_out(graph: Graph) -> DataFrame:
@@ -45,10 +47,13 @@ def most_cited(graph: Graph, k: int = 15) -> DataFrame:
     return top.orderBy(F.col("times_cited").desc(), "cite", "dst").limit(k).select(F.col("dst").alias("id"), "cite", "title", "times_cited")
 
 
-def term_bridge(graph: Graph, k: int = 20) -> DataFrame:
-    """Per term the first k provisions that share it; members are listed, not
-    paired, so a term on a third of all provisions adds k rows."""
+def term_bridge(graph: Graph, k: int | None = 20) -> DataFrame:
+    """Per term the first k provisions that share it, all with k=None (then
+    without n); members are listed, not paired, so a term on a third of all
+    provisions adds a row for each at most."""
     members = graph.mentions.join(graph.provisions.select("id", "cite", "title"), "id")
+    if k is None:
+        return members.select("term", "id", "cite", "title")
     w = Window.partitionBy("term").orderBy("cite", "id")
     return members.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("term", "n", "id", "cite", "title")
 

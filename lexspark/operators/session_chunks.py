@@ -40,9 +40,11 @@ def existing_sessions(sessions: DataFrame, chunks: DataFrame) -> DataFrame:
     return sessions.join(chunks.select("session_id"), "session_id", "left_semi")
 
 
-def keep_recent_sessions(chunks: DataFrame, cap: int = fv.MAX_SESSIONS) -> DataFrame:
-    """Chunks of the most recently used sessions. The ranking sees one row per
+def keep_recent_sessions(chunks: DataFrame, cap: int | None = fv.MAX_SESSIONS) -> DataFrame:
+    """Chunks of the most recently used sessions (of all with cap=None). The ranking sees one row per
     session and takes an ordered top-cap, which is pruned in every partition."""
+    if cap is None:
+        return chunks
     recent = (
         chunks.groupBy("session_id").agg(F.max("ts").alias("last_used"))
         .orderBy(F.col("last_used").desc(), F.col("session_id").asc()).limit(cap)

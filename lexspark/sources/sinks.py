@@ -18,12 +18,13 @@ def append_results(records: DataFrame, path: str, run_id: str) -> None:
     records.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
-def list_runs(results: DataFrame, summaries: DataFrame, cap: int = 30) -> DataFrame:
-    """(run_id, n_rows, has_summary) newest first."""
+def list_runs(results: DataFrame, summaries: DataFrame, cap: int | None = 30) -> DataFrame:
+    """(run_id, n_rows, has_summary) newest first; all runs with cap=None."""
     runs = results.groupBy("run_id").agg(F.count("*").alias("n_rows"))
     done = summaries.select("run_id").distinct().withColumn("has_summary", F.lit(True))
     joined = runs.join(done, "run_id", "left").withColumn("has_summary", F.coalesce("has_summary", F.lit(False)))
-    return joined.orderBy(F.col("run_id").desc()).limit(cap)
+    newest = joined.orderBy(F.col("run_id").desc())
+    return newest if cap is None else newest.limit(cap)
 
 
 def latest_run(results: DataFrame) -> DataFrame:

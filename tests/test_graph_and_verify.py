@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.operators import graph_build as gb, graph_reports as gr, graph_walk as gw, verify
+from lexspark.operators import graph_build as gb, graph_reports as gr, graph_walk as gw, session_chunks, verify
+from lexspark.sources import sinks
 
 COLUMNS = "id string, cite string, title string, text string, module string, domain string, terms string, threshold string, deadline string, document string, regulator string"
 
@@ -143,3 +144,13 @@ def test_many_hops_against_a_search_by_levels(spark, max_hops, limit):
     got = gw.two_hops(asked, g, limit=limit, max_hops=max_hops).collect()
     assert {(r["query_id"], r["seed_id"], r["related_id"], r["hops"]) for r in got} == want and len(got) == len(want)
     assert max(h for *_, h in want) == max_hops
+
+
+def test_limits_of_reports_can_be_taken_off(spark):
+    rows = [(f"p{i:02}", f"COBS {i}", f"t{i}", "about a levy", "FCA", "FCA") for i in range(45)]
+    provisions = spark.createDataFrame(rows, "id string, cite string, title string, text string, regulator string, module string")
+    assert gr.provisions_of_regulator(provisions, "FCA").count() == 20 and gr.provisions_of_regulator(provisions, "FCA", None).count() == 45
+    runs = spark.createDataFrame([(f"r{i:02}", i) for i in range(40)], "run_id string, x int")
+    assert sinks.list_runs(runs, runs.limit(1)).count() == 30 and sinks.list_runs(runs, runs.limit(1), None).count() == 40
+    chunks = spark.createDataFrame([(f"s{i}", i) for i in range(25)], "session_id string, ts int")
+    assert session_chunks.keep_recent_sessions(chunks).count() == 20 and session_chunks.keep_recent_sessions(chunks, None).count() == 25
