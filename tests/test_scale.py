@@ -5,9 +5,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from pyspark.sql import functions as F
+import pyarrow as pa
 
-from lexspark.operators import curation, postings
+from lexspark.operators import curation, graph_build, graph_walk, postings, stored_index
 
 
 def texts(n, seed):
@@ -71,3 +71,36 @@ def test_documents_are_searched_in_key_order(spark, monkeypatch):
         got[r["query_id"]].append(r["doc_key"])
     for q, text in asked.items():
         assert got[q] == [key for key, t in rows if sum(w in t for w in set(text.split())) >= 4][:2]
+
+
+def test_ranges_are_indexed_where_they_lie():
+    docs = [(0, "a", ["x", "y", "x"]), (0, "b", None), (0, "c", ["y"] * 5), (3, "d", ["z", "x"]), (3, "e", []), (3, "f", ["x"])]
+    table = pa.table({"range_no": pa.array([d[0] for d in docs], pa.int64()), "doc_key": [d[1] for d in docs], "chars": pa.array([1] * 6, pa.int64()),
+                      "toks": pa.array([d[2] for d in docs], pa.list_(pa.string()))})
+    batches = table.slice(0, 2).to_batches() + table.slice(2, 3).to_batches() + table.slice(5).to_batches()
+    got = {(r["range_no"], r["tok"]): r for b in stored_index._blocks_of_ranges(iter(batches)) for r in b.to_pylist()}
+    assert set(got) == {(0, ""), (0, "x"), (0, "y"), (3, ""), (3, "x"), (3, "z")}
+    assert (got[0, ""]["keys"], got[0, ""]["lens"], got[0, ""]["chars"]) == (["a", "b", "c"], [3, None, 5], 3)
+    y = got[0, "y"]
+    assert (y["docs"], y["tfs"], y["lens"], y["positions"]) == ([0, 2], [1, 5], [3, 5], [[1], [0, 1, 1, 1, 1]])
+    assert sorted(zip(y["impact_tf"], y["impact_len"])) == [(1, 3), (5, 5)]
+    x = got[3, "x"]
+    assert (x["docs"], x["tfs"], x["lens"], x["positions"]) == ([0, 2], [1, 1], [2, 1], [[1], [0]])
+    assert (x["impact_tf"], x["impact_len"]) == ([1], [1])
+
+
+def test_one_hop_moves_no_question_per_chunk(spark):
+    rows = [(f"p{i}", "A" if i < 6 else f"B{i}") for i in range(12)]
+    provisions = spark.createDataFrame(rows, "id string, cite string")
+    mentions = [(f"t{i % 4}", f"p{i}") for i in range(12) if i != 11]
+    links = [(f"p{i}", f"p{(i * 5 + 1) % 12}", "CITES") for i in range(11)]
+    graph = graph_build.Graph(provisions, spark.createDataFrame(mentions, "term string, id string"), spark.createDataFrame(links, "src string, dst string, type string"))
+    seeds = [("q1", "A"), ("q1", "B7"), ("q2", "A"), ("q3", "none"), ("q4", "B11")]
+    found = graph_walk.one_hop(spark.createDataFrame(seeds, "query_id string, cite string"), graph)
+    got = {r["query_id"]: (r["must_terms"], r["related_cites"]) for r in found.collect()}
+    cite, want = dict(rows), {}
+    for q in ("q1", "q2", "q4"):
+        ids = {i for i, c in rows if (q, c) in seeds}
+        want[q] = (sorted({t for t, i in mentions if i in ids}), sorted({cite[d] for s, d, _ in links if s in ids}))
+    assert got == want
+    assert "keys=[query_id" not in found._jdf.queryExecution().sparkPlan().toString().split("Union", 1)[1]
