@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 from lexspark import fixed_values as fv
 from lexspark.functions import citations as c
 from lexspark.functions.text import lemma, lemma_tokens, let, plain_words
-from lexspark.operators.lexical_scores import jaccard, pipe_items
+from lexspark.operators.lexical_scores import count_true, jaccard, pipe_items
 from lexspark.operators.rows import posexplode_rows
 
 
@@ -57,10 +57,15 @@ def presence(tokens: Column, keys: Column) -> Column:
 
 
 def terminology(answer: Column) -> Column:
-    phrases = F.array(*[F.lit(p) for p in fv.RELAXED_PHRASES])
-    acronyms = F.array(*[F.lit(rf"(?<![\p{{L}}\p{{N}}_]){p}(?![\p{{L}}\p{{N}}_])") for p in fv.RELAXED_ACRONYMS])
-    return let(F.concat(F.lit(" "), plain_words(answer), F.lit(" ")), lambda text: F.least(F.lit(1.0), (
-        F.size(F.filter(phrases, lambda p: F.contains(text, p))) + F.size(F.filter(acronyms, lambda p: F.rlike(text, p)))) / 8.0))
+    """Phrases and acronyms in the answer over 8, 1 at most. Words are parted by single blanks here, so an acronym with no letter,
+    digit or _ beside it is one between blanks once £ is parted off as well."""
+
+    def share(text: Column) -> Column:
+        parted = F.replace(text, F.lit("£"), F.lit(" £ "))
+        return let(parted, lambda marked: F.least(F.lit(1.0), count_true(
+            [F.contains(text, F.lit(p)) for p in fv.RELAXED_PHRASES] + [F.contains(marked, F.lit(f" {p} ")) for p in fv.RELAXED_ACRONYMS]) / 8.0))
+
+    return let(F.concat(F.lit(" "), plain_words(answer), F.lit(" ")), share)
 
 
 @F.pandas_udf(DoubleType())
@@ -101,12 +106,11 @@ def keyword_scores(records: DataFrame, key: str = "qid") -> DataFrame:
 
 def source_scores(rows: DataFrame, answer: str = "answer", meta_ok: str = "citations_ok") -> DataFrame:
     """Adds source_line, source_accuracy, citation_quality and the debug lists."""
-    found = c.relaxed_matches(F.col(answer))
-    rows = rows.withColumn("source_line", c.source_line(F.col(answer))).withColumn("_any", F.size(found) > 0)
+    rows = rows.withColumn("source_line", c.source_line(F.col(answer)))
     pieces = F.filter(F.split("source_line", fv.SOURCE_SPLIT), lambda p: F.trim(p) != "")
     rows = rows.withColumn("citations_all", F.transform(pieces, c.normalise_source_token))
     rows = rows.withColumn("citations_valid", F.filter("citations_all", lambda p: c.on_allow_list(p, "relaxed")))
-    accuracy = F.when(F.coalesce(F.col(meta_ok), F.lit(False)), F.lit(1.0)).when(F.col("_any"), F.lit(0.85)).otherwise(F.lit(0.0))
+    accuracy = F.when(F.coalesce(F.col(meta_ok), F.lit(False)), F.lit(1.0)).when(c.has_relaxed_match(F.col(answer)), F.lit(0.85)).otherwise(F.lit(0.0))
     n = F.size("citations_valid")
     quality = F.when(n > 0, F.least(F.lit(1.0), 0.6 + 0.1 * (n - 1))).otherwise(F.lit(0.0))
-    return rows.withColumns({"source_accuracy": accuracy, "citation_quality": F.round(quality, 4)}).drop("_any")
+    return rows.withColumns({"source_accuracy": accuracy, "citation_quality": F.round(quality, 4)})
