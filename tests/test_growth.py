@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexspark import fixed_values as fv
 from lexspark.functions import citations as c
-from lexspark.operators import graph_build as gb, lexical_scores as ls, relaxed_scores as rs
+from lexspark.operators import graph_build as gb, lexical_scores as ls, postings, relaxed_scores as rs, stored_index
 from lexspark.plans import inputs as src
 
 
@@ -78,3 +78,22 @@ def test_links_are_dealt_out_before_they_are_distinct(spark):
         want |= {(key, rep[x]) for n in re.findall(r"\d+", text) if (x := f"FSMA 2000 s.{n}") in rep and x != own}
     got = [tuple(r) for r in made.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_lists_are_written_where_their_range_lies(spark, tmp_path, monkeypatch):
+    """No list is exchanged or sorted between the indexing of a range and its files; a merged index finds the same."""
+    docs = spark.createDataFrame([(f"d{i:03d}", " ".join(f"w{i * j % 37}" for j in range(1, 12))) for i in range(200)], "doc_key string, text string")
+    asked = spark.createDataFrame([("q", "w1 w2 w36"), ("r", "w0")], "query_id string, text string")
+    monkeypatch.setattr(stored_index, "RANGE", 16)
+    plans, commit = [], stored_index.StoredIndex._commit
+    monkeypatch.setattr(stored_index.StoredIndex, "_commit", lambda self, packed, *a, **k: plans.append(packed) or commit(self, packed, *a, **k))
+    half = docs.where("doc_key < 'd100'")
+    index = stored_index.StoredIndex.create(half, str(tmp_path / "index"), buckets=4)
+    assert plan_of(plans[0]).count("Exchange") == 1 and "MapInArrow" in plan_of(plans[0]).split("Exchange")[0]
+    files = [f for f in index._read_blocks().inputFiles() if "bucket=0" in f]
+    assert 0 < len(files) <= plans[0].rdd.getNumPartitions()  # a file a task: each was open once
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    hits = lambda found: sorted(tuple(r) for r in found.select("query_id", "doc_key", "score", "rank").collect())
+    want = hits(postings.bm25_scores(asked, docs, 5))
+    grown = index.append(docs)
+    assert hits(grown.bm25(asked, 5)) == want and hits(grown.merge().bm25(asked, 5)) == want
