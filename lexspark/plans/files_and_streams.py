@@ -51,7 +51,9 @@ def _write_tables(spark, sf):
     root = scratch_path(spark, "tables")
     rows = src.table(spark, sf, "events").withColumn("grp", F.col("user_id"))
     placed = rows.repartition("grp").sortWithinPartitions("grp", "event_id")
-    placed.select("grp", "event_id", "event_type", F.col("value").cast("decimal(20,2)").alias("value")).write.partitionBy("grp").option("header", "true").csv(root + "/csv")
+    # each task moves its own files into place, so the driver does not move one folder a user
+    writer = placed.select("grp", "event_id", "event_type", F.col("value").cast("decimal(20,2)").alias("value")).write.partitionBy("grp")
+    writer.option("header", "true").option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(root + "/csv")
     return root
 
 

@@ -15,6 +15,7 @@ from lexspark.functions.chunking import chunk_recursive
 from lexspark.functions.text import file_slug, file_stem, paragraphs
 from lexspark.operators.sizing import union_all
 from lexspark.plugins import extract_pages
+from lexspark.session import cut_lineage
 from lexspark.operators.rows import explode_rows, number_in_order, posexplode_rows
 
 # rows of a table file that make one document, whatever the file's size and splits
@@ -44,34 +45,41 @@ def _joined_in_order(cell: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "i", cell.alias("v")))), lambda s: s["v"]), " ")
 
 
-def _rows_to_documents(rows: DataFrame, root: str, cells: list[Column], rows_per_part: int) -> DataFrame:
+def _placed(rows: DataFrame, root: str, *columns: Column) -> DataFrame:
+    """Rows with their file's key (k) and their place in it (b, i)."""
+    return rows.select(
+        static_key(root, F.col("_metadata.file_path")).alias("k"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("i"), *columns)
+
+
+def _listed(numbered: DataFrame, cells: list[str], rows_per_part: int) -> DataFrame:
     """Cells of each rows_per_part rows of a file, in row order (or column by
     column for several cells). Later parts of a file have #1, #2, ... in their key."""
-    placed = rows.select(
-        static_key(root, F.col("_metadata.file_path")).alias("k"), F.col("_metadata.file_block_start").alias("b"),
-        F.monotonically_increasing_id().alias("i"), *[x.alias(f"v{n}") for n, x in enumerate(cells)])
-    numbered = number_in_order(placed, ["k"], ["b", "i"], "at").withColumn("part", F.floor(F.col("at") / rows_per_part))
-    listed = numbered.groupBy("k", "part").agg(
-        *[_joined_in_order(F.col(f"v{n}")).alias(f"t{n}") for n in range(len(cells))])
+    listed = numbered.withColumn("part", F.floor(F.col("at") / rows_per_part)).groupBy("k", "part").agg(
+        *[_joined_in_order(F.col(c)).alias(f"t_{c}") for c in cells])
     key = F.when(F.col("part") == 0, F.col("k")).otherwise(F.concat("k", F.lit("#"), F.col("part").cast("string")))
-    return listed.select(key.alias("doc_key"), F.concat_ws(" ", *[f"t{n}" for n in range(len(cells))]).alias("text"))
+    return listed.select(key.alias("doc_key"), F.concat_ws(" ", *[f"t_{c}" for c in cells]).alias("text"))
 
 
 def read_tables(spark: SparkSession, root: str, glob: str = TABLE_GLOB, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """CSV files flattened row by row; files may differ in their columns. Empty
-    cells are left out."""
-    lines = _reader(spark, glob).text(root)
-    widest = lines.agg(F.max(F.regexp_count("value", F.lit(","))).alias("n")).first()["n"]
+    cells are left out. Folders are listed and files opened once, however many
+    there are: lines are stored with their place, blank ones left out, and the first one of a file is its header."""
+    lines = _reader(spark, glob).text(root).where(F.col("value").rlike(r"[^\x00-\x20]"))
+    placed = cut_lineage(_placed(lines, root, "value"))
+    widest = placed.agg(F.max(F.regexp_count("value", F.lit(","))).alias("n")).first()["n"]
     schema = ", ".join(f"c{i} string" for i in range((widest or 0) + 1))
-    rows = _reader(spark, glob).schema(schema).option("header", "true").option("enforceSchema", "true").option("escape", '"').csv(root)
-    return _rows_to_documents(rows, root, [F.concat_ws(" ", *rows.columns)], rows_per_part)
+    numbered = number_in_order(placed, ["k"], ["b", "i"], "n").where("n > 0").withColumn("at", F.col("n") - 1)
+    cells = numbered.withColumn("cells", F.from_csv("value", schema, {"escape": '"'}))
+    return _listed(cells.select("k", "b", "i", "at", F.concat_ws(" ", "cells.*").alias("v")), ["v"], rows_per_part)
 
 
 def read_parquet_texts(spark: SparkSession, root: str, glob: str = PARQUET_GLOB, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """The string columns of Parquet files, one column after the other."""
     rows = _reader(spark, glob).option("mergeSchema", "true").parquet(root)
     names = [f.name for f in rows.schema.fields if f.dataType.typeName() == "string"]
-    return _rows_to_documents(rows, root, [F.col(f"`{n}`") for n in names], rows_per_part)
+    columns = [F.col(f"`{n}`").alias(f"v{i}") for i, n in enumerate(names)]
+    return _listed(number_in_order(_placed(rows, root, *columns), ["k"], ["b", "i"], "at"), [f"v{i}" for i in range(len(names))], rows_per_part)
 
 
 def read_pages(spark: SparkSession, root: str, extractor=None, glob: str = BINARY_GLOB) -> DataFrame:

@@ -237,3 +237,15 @@ def test_first_greeting_stream(spark, tmp_path):
     spark.createDataFrame([("s", 3, "hello"), ("s", 1, "what does FSMA section 19 say about banks"), ("t", 2, "thanks!")], schema).write.parquet(src)
     jobs.stream_first_greetings(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "st"))
     assert {tuple(r) for r in spark.read.parquet(out).select("session_id", "turn").collect()} == {("s", 3), ("t", 2)}
+
+
+def test_tables_are_read_once_with_odd_lines(spark, tmp_path, monkeypatch):
+    """Folders are listed once however many files they hold; blank lines, quoted commas and quotes, short rows and bare headers as a CSV reader has them."""
+    (tmp_path / "a.csv").write_text('\n  \nx,y,z\n1,"two, or ""2""",\n\n3\n,,""\n', newline="")
+    (tmp_path / "b.csv").write_text("x\r\nonly\r\n", newline="")
+    (tmp_path / "c.csv").write_text("x,y\n")
+    listings, reader = [], files._reader
+    monkeypatch.setattr(files, "_reader", lambda *args: listings.append(args) or reader(*args))
+    got = {r["doc_key"]: r["text"] for r in files.read_tables(spark, str(tmp_path)).collect()}
+    assert got == {"static::a.csv": '1 two, or "2" 3 ', "static::b.csv": "only"}
+    assert len(listings) == 1
