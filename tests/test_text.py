@@ -116,3 +116,9 @@ def test_chunkers(one):
     fixed = one(lambda x: chunking.chunk_fixed(x, 10, 2), "0123456789abcdefg")
     assert fixed == ["0123456789", "89abcdefg", "g"]
     assert one(lambda x: chunking.chunk_fixed(x, 10, 2), "short") == ["short"]
+
+
+def test_cheaper_patterns_find_the_same(one):
+    assert one(t.squeeze, " a \t b\nc  d\x0be\u00a0f ") == "a b c d e\u00a0f"
+    assert one(lambda x: c.invalid_citations(x, "strict"), "see cobs 4; Uk  Mar 9x; mlr 12; fine") == ["see cobs 4; Uk Mar 9x; mlr 12; fine", "see cobs 4", "Uk Mar 9x", "mlr 12"]
+    assert one(lambda x: markdown.claims(x, 1), "- `**One a_b*c two.  Next!**_`\n__x__") == ["One a_b*c two.", "Next!", "x"]
