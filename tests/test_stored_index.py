@@ -166,3 +166,17 @@ def test_no_search_scans_or_moves_text(spark, rows, tmp_path, monkeypatch):
             assert not ("Exchange" in line and ("text#" in line or "low#" in line))
         assert "SortMergeJoin" not in p or "texts" not in p
     assert as_rows(hits, "query_id", "doc_key") == as_rows(postings.phrase_search(q, texts, 5), "query_id", "doc_key")
+
+
+def test_a_merge_moves_lists_not_postings(spark, rows, small_ranges, monkeypatch):
+    """Stored rows are cut by new range and packed: no posting is a row of its own, also when new places come in several passes."""
+    docs = frame(spark, rows[:90])
+    grown = new_index(spark, frame(spark, rows[:70]), buckets=2).append(frame(spark, [*rows[60:90], ("none", None)]))
+    monkeypatch.setattr(stored_index, "MOVES_AT_ONCE", 50)
+    plans, commit = [], StoredIndex._commit
+    monkeypatch.setattr(StoredIndex, "_commit", lambda self, packed, *more, **how: plans.append(packed._jdf.queryExecution().optimizedPlan().toString()) or commit(self, packed, *more, **how))
+    merged = grown.merge()
+    assert "Generate" not in plans[0] and "binary" in stored_index.MOVED_SCHEMA
+    names = ("doc_key", "tok", "tf", "first_pos")
+    assert as_rows(merged.postings(), *names) == as_rows(new_index(spark, docs).postings(), *names)
+    assert merged.totals.n_docs == 91 and merged.stats().first() == grown.stats().first()
