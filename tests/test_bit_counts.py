@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.operators import bit_counts, hybrid, postings, stored_index
+from lexspark.operators import bit_counts, hybrid, postings, ranking, stored_index
 from lexspark.operators.stored_index import StoredIndex
 from lexspark.session import scratch_path
 
@@ -64,3 +64,21 @@ def test_hit_text_is_blanked_once(spark, monkeypatch):
     got = hybrid.keyword_snippets(hits, asked, docs).collect()
     assert len(got) == 20 and {r["snippet"] for r in got} == {"One, two; THREE"}
     assert [w.count() for w in written if "blanked" in w.columns] == [1]
+
+
+def test_questions_are_not_sent_to_every_part(spark, monkeypatch):
+    """Questions times parts are never rows: parts meet a copy of the questions, and a task gives k rows a question for all its parts."""
+    monkeypatch.setattr(stored_index, "RANGE", 8)
+    monkeypatch.setattr(stored_index, "PART", 1)
+    monkeypatch.setattr(stored_index, "TASKS_A_CORE", 0.25)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(20)]
+    docs = spark.createDataFrame([(f"d{i:03d}", " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(120)], "doc_key string, text string")
+    asked = spark.createDataFrame([(f"q{i}", " ".join(rng.choices(words, k=rng.randint(1, 9)))) for i in range(15)], "query_id string, text string")
+    found = []
+    monkeypatch.setattr(stored_index, "top_k", lambda hits, k: found.append(hits) or ranking.top_k(hits, k))
+    row = lambda df: sorted(map(tuple, df.select("query_id", "doc_key", "score", "rank").collect()))
+    hits = StoredIndex.create(docs, scratch_path(spark, "overlap")).keyword_overlap(asked, 2)
+    assert row(hits) == row(postings.keyword_overlap(asked, docs, 2))
+    assert "Join Cross" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert found[0].count() <= 15 * 2  # one task here: before, up to two rows for each of 16 parts

@@ -100,6 +100,18 @@ def test_knn_paths_agree_with_brute_force(spark, monkeypatch):
     assert as_set(dense.knn(q, d, 5, min_score=0.35)) == brute(qm, dm, 5, min_score=0.35)
 
 
+def test_many_queries_are_searched_some_at_a_time(spark, monkeypatch):
+    """Query blocks beyond BLOCKS_AT_ONCE come later, so a vector is not sent once for every query block of the whole table."""
+    (q, qm), (d, dm) = vectors(spark, 40, "query_id", 3), vectors(spark, 60, "doc_key", 4)
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(dense, "BROADCAST_QUERIES", 4)
+    monkeypatch.setattr(dense, "BLOCKS_AT_ONCE", 2)
+    asked, blocked = [], dense._blocked_knn
+    monkeypatch.setattr(dense, "_blocked_knn", lambda queries, *more: asked.append(queries.count()) or blocked(queries, *more))
+    assert as_set(dense.knn(q, d, 3, broadcast_queries=2)) == brute(qm, dm, 3)
+    assert len(asked) == 3 and sum(asked) == 40
+
+
 def test_session_knn_with_one_hot_session(spark, monkeypatch):
     session = lambda i: "hot" if i % 3 else f"s{i % 5}"
     q, qm = vectors(spark, 9, "query_id", 3, session_id=session)

@@ -180,3 +180,17 @@ def test_a_merge_moves_lists_not_postings(spark, rows, small_ranges, monkeypatch
     names = ("doc_key", "tok", "tf", "first_pos")
     assert as_rows(merged.postings(), *names) == as_rows(new_index(spark, docs).postings(), *names)
     assert merged.totals.n_docs == 91 and merged.stats().first() == grown.stats().first()
+
+
+def test_phrase_lists_move_without_their_users(spark, rows, asked, small_ranges, monkeypatch):
+    """What is moved to the ranges does not grow with questions times ranges: no list carries the questions that ask for it."""
+    docs = frame(spark, rows[:150])
+    index = new_index(spark, docs)
+    hit = ("query_id", "doc_key", "hit_pos", "rank")
+    want = as_rows(postings.phrase_search(asked, docs, 4), *hit)
+    moved, intersect = [], stored_index._intersecter
+    monkeypatch.setattr(stored_index, "_intersecter", lambda runs: moved.append(set(runs.columns)) or intersect(runs))
+    monkeypatch.setattr(stored_index, "RUN_ROWS", 30)
+    monkeypatch.setattr(StoredIndex, "_lists", lambda *_: pytest.fail("lists joined with their users"))
+    assert as_rows(index.phrase_search(asked, docs, 4), *hit) == want
+    assert len(moved) > 1 and moved[0] == {"query_id", "place", "size", "no"}
