@@ -82,3 +82,11 @@ def test_questions_are_not_sent_to_every_part(spark, monkeypatch):
     assert row(hits) == row(postings.keyword_overlap(asked, docs, 2))
     assert "Join Cross" not in hits._jdf.queryExecution().optimizedPlan().toString()
     assert found[0].count() <= 15 * 2  # one task here: before, up to two rows for each of 16 parts
+
+
+def test_a_text_that_comes_twice_gives_two_rows(spark):
+    """Every row of a hit document counts once."""
+    docs = spark.createDataFrame([("a", "One two"), ("a", "One two"), ("a", "three"), ("b", "five")], "doc_key string, text string")
+    asked = spark.createDataFrame([("q", "two")], "query_id string, text string")
+    hits = asked.select("query_id", F.lit("a").alias("doc_key"), F.lit(1).alias("rank"))
+    assert sorted(r["snippet"] for r in hybrid.keyword_snippets(hits, asked, docs).collect()) == ["One two", "One two", "three"]
